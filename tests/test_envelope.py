@@ -1,0 +1,52 @@
+"""Decoding and classification of single messages."""
+
+import json
+from datetime import datetime
+
+from cases import READ, SKIPPED
+
+from tidemark.operators import decode, tickets
+from tidemark.schemas import MESSAGE
+
+
+def messages(spark, values, topic="t"):
+    rows = [(topic, 0, i, datetime(2024, 1, 1), None if v is None else bytearray(v)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, MESSAGE)
+
+
+def test_skipped_messages(spark):
+    found = decode.decode_messages(messages(spark, SKIPPED.values())).collect()
+    assert [list(SKIPPED)[row.offset] for row in found] == []
+
+
+def test_read_messages(spark):
+    from pyspark.sql import functions as F
+
+    source = messages(spark, [text.encode() for text, _, _ in READ.values()])
+    bronze = decode.bronze_rows(decode.decode_messages(source)).withColumn("batch_id", F.lit(0).cast("bigint"))
+    rows = {row.offset: row.asDict() for row in tickets.classify_events(bronze).collect()}
+    assert len(rows) == len(READ)
+    for position, (name, (_, outcome, fields)) in enumerate(READ.items()):
+        row = rows[position]
+        assert row["outcome"] == outcome, name
+        assert {key: row[key] for key in fields} == fields, name
+
+
+def test_bronze_wraps_the_message(spark):
+    source = messages(spark, [text.encode() for text, _, _ in READ.values()], topic="a.b")
+    rows = decode.bronze_rows(decode.decode_messages(source)).collect()
+    texts = [text for text, _, _ in READ.values()]
+    for row in rows:
+        assert json.loads(row.raw_payload) == {
+            "topic": "a.b",
+            "partition": 0,
+            "offset": row.offset,
+            "payload": json.loads(texts[row.offset]),
+        }
+
+
+def test_topic_without_name(spark):
+    for topic in (None, ""):
+        rows = decode.bronze_rows(decode.decode_messages(messages(spark, [b"{}"], topic))).collect()
+        assert rows[0].topic == "unknown_topic"
+        assert json.loads(rows[0].raw_payload)["topic"] == "unknown_topic"

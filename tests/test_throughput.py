@@ -1,0 +1,97 @@
+"""Interval counts, gaps, running totals, and the health of a log."""
+
+from datetime import datetime, timedelta
+
+from tidemark.functions import timing
+from tidemark.operators import health, throughput
+from tidemark.schemas import BATCH_LOG, THROUGHPUT
+
+START = datetime(2024, 1, 1, 23, 59, 50)
+
+
+def counts(spark, by_second):
+    return spark.createDataFrame([(START + timedelta(seconds=s), n) for s, n in by_second.items()], THROUGHPUT)
+
+
+def test_gaps_are_filled_across_chunks(spark):
+    by_second = {0: 5, 1: 7, 9: 2, 10: 1, 31: 4}
+    points = throughput.fill_intervals(counts(spark, by_second), per_chunk=10)
+    found = {int((r.interval_start - START).total_seconds()): r.events_in_interval for r in points.collect()}
+    assert found == {s: by_second.get(s, 0) for s in range(32)}
+
+
+def test_gaps_of_half_seconds(spark):
+    points = throughput.fill_intervals(counts(spark, {0: 5, 2: 7}), interval_sec=0.5, per_chunk=2)
+    rated = throughput.with_rate(points, 0.5).orderBy("interval_start").collect()
+    assert [r.events_in_interval for r in rated] == [5, 0, 0, 0, 7]
+    assert [r.events_per_sec for r in rated] == [10, 0, 0, 0, 14]
+
+
+def test_no_events_no_points(spark):
+    assert throughput.fill_intervals(counts(spark, {}).where("false")).collect() == []
+
+
+def test_running_total_over_chunks(spark):
+    by_second = {s: s % 7 for s in range(200)}
+    totals = throughput.with_running_total(counts(spark, by_second), chunk="30 seconds")
+    found = [r.total_received for r in totals.orderBy("interval_start").collect()]
+    expected, running = [], 0
+    for s in range(200):
+        running += by_second[s]
+        expected.append(running)
+    assert found == expected
+
+
+def test_rate_is_cut_not_rounded(spark):
+    rows = throughput.with_rate(counts(spark, {0: 5}), 3.0).collect()
+    assert (rows[0].interval_sec, rows[0].events_per_sec) == (3.0, 1)
+    rows = spark.range(1).select(timing.per_second(timing.F.lit(5), timing.F.lit(0.0)).alias("r")).collect()
+    assert rows[0].r == 0
+
+
+def test_last_points(spark):
+    points = throughput.with_rate(counts(spark, {s: s for s in range(100)}))
+    found = throughput.last_points(points).collect()
+    assert [r.events_per_sec for r in found] == list(range(99, 39, -1))
+    assert found[0].time == "00:01:29"
+
+
+def test_time_text(spark):
+    row = spark.sql("SELECT 1771704000.25D AS s").select(timing.epoch_to_iso_utc(timing.F.col("s")).alias("t")).first()
+    assert row.t == "2026-02-21T20:00:00.250000+00:00"
+
+
+def log(spark, *rows):
+    """Rows are (batch, kind, received, error)."""
+    return spark.createDataFrame(
+        [
+            (error is None, received, 1, 0, 0, False, error, START + timedelta(seconds=n), kind, batch)
+            for n, (batch, kind, received, error) in enumerate(rows)
+        ],
+        BATCH_LOG,
+    )
+
+
+def report(spark, *rows):
+    return health.worker_status(health.worker_metrics(log(spark, *rows))).first()
+
+
+def test_error_shows_until_the_next_good_batch(spark):
+    good, bad = (0, "batch", 10, None), (1, "failure", 7, "Silver merge failed: x")
+    row = report(spark, good, bad)
+    assert (row.events_received, row.batches_ok, row.batches_failed) == (10, 1, 1)
+    assert (row.last_error, row.status) == ("Silver merge failed: x", "degraded")
+    assert row.last_batch_at == START + timedelta(seconds=1)
+    row = report(spark, good, bad, (1, "batch", 7, None))
+    assert (row.events_received, row.batches_ok, row.batches_failed) == (17, 2, 1)
+    assert (row.last_error, row.status) == (None, "ok")
+
+
+def test_gold_refresh_is_not_a_batch(spark):
+    row = report(spark, (0, "batch", 10, None), (0, "gold", None, None))
+    assert (row.batches_ok, row.last_batch_at) == (1, START)
+
+
+def test_empty_log(spark):
+    row = health.worker_status(health.worker_metrics(log(spark, (0, "batch", 1, None)).where("false"))).first()
+    assert tuple(row) == (0, 0, 0, None, None, "ok")

@@ -3,27 +3,18 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the white space JSON allows around a value.
-JSON_SPACE = " \t\r\n"
-
-
-def message_text(value: Column) -> Column:
-    """Text of a message, NULL when the bytes are absent or not valid UTF-8."""
-    text = value.cast("string")
-    return F.when(F.is_valid_utf8(text), text)
+# One pair of braces around everything but the white space JSON allows there.
+_IN_BRACES = r'^[ \t\r\n]*\{[ \t\r\n]*("(?s:.*))?\}[ \t\r\n]*\z'
 
 
 def is_json_object(text: Column) -> Column:
-    """True when the whole text is one JSON object.
+    """True when the whole text is one JSON object in valid UTF-8; false, not NULL, for all else.
 
     Spark's JSON functions stop after the first value, so `{"a":1} x` would pass. Parsed as the only
     element of an array, anything after the object is an error or a second element.
     """
-    body = F.trim(text, F.lit(JSON_SPACE))
     as_element = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
-    return F.coalesce(
-        body.rlike(r'^\{[ \t\r\n]*["}]') & body.endswith("}") & (as_element == 1), F.lit(False)
-    )
+    return F.coalesce(F.is_valid_utf8(text) & text.rlike(_IN_BRACES) & (as_element == 1), F.lit(False))
 
 
 def topic_or_unknown(topic: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.messages import is_json_object, message_text, topic_or_unknown, wrap_event
+from tidemark.functions.messages import is_json_object, topic_or_unknown, wrap_event
 
 # Fixed value: tables the capture includes.
 CAPTURED_TABLES = ".*Tickets$"
@@ -19,7 +19,7 @@ def captured_tables(changes: DataFrame, pattern: str = CAPTURED_TABLES) -> DataF
 def decode_messages(messages: DataFrame) -> DataFrame:
     """Messages holding a JSON object, with `text` in place of `value`; all others are skipped."""
     kept = [F.col(name) for name in messages.columns if name != "value"]
-    return messages.select(*kept, message_text(F.col("value")).alias("text")).where(is_json_object(F.col("text")))
+    return messages.select(*kept, F.col("value").cast("string").alias("text")).where(is_json_object(F.col("text")))
 
 
 def bronze_rows(decoded: DataFrame) -> DataFrame:

@@ -35,4 +35,4 @@ def worker_metrics(batch_log: DataFrame) -> DataFrame:
 def worker_status(metrics: DataFrame) -> DataFrame:
     """`degraded` while the last attempt has an error, else `ok`."""
     status = F.when(F.coalesce(F.col("last_error"), F.lit("")) != "", "degraded").otherwise("ok")
-    return metrics.select(status.alias("status"), "last_error")
+    return metrics.withColumn("status", status)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import envelope
+from tidemark.functions.once import with_computed_once
 from tidemark.schemas import ENVELOPE, SILVER
 
 # Position of an event; `offset` breaks ties of `ts_ms`, the rest makes the order total.
@@ -17,7 +18,7 @@ def classify_events(bronze: DataFrame) -> DataFrame:
     body = F.col("event.payload.payload")
     image = F.col("image")
     return (
-        bronze.withColumn("event", F.from_json("raw_payload", ENVELOPE))
+        with_computed_once(bronze, event=F.from_json("raw_payload", ENVELOPE))
         .select(
             *POSITION,
             envelope.event_outcome(body).alias("outcome"),

@@ -23,8 +23,11 @@ CUT_OVER = "2024-01-16 00:00:00"
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events; a table in fewer pieces than there are cores is spread, as one small file cannot be split."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return events.repartition(cores, "event_id") if events.rdd.getNumPartitions() < cores else events
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +212,7 @@ def worker_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worker_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.worker_status(_metrics(spark, sf_dir))
+    return health.worker_status(_metrics(spark, sf_dir)).select("status", "last_error")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -7,10 +7,12 @@ the same messages can be built by another SQL engine for comparison.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Event numbers with this remainder of 97 take the named form.
+from tidemark.functions.once import with_computed_once
+
+# Event numbers with this remainder of PERIOD take the named form.
 IRREGULAR = {
     "snapshot_op": 5,
     "null_value": 13,
@@ -41,15 +43,49 @@ REPLAY_START_MICROS = 1_704_067_200_000_000
 REPLAY_SPEEDUP = 10_000
 
 
-def _is(name: str) -> Column:
-    return F.col("event_id") % PERIOD == IRREGULAR[name]
+def _choose(default: str, **forms: str) -> str:
+    """SQL text: `default`, or the value given for the irregular form the event takes."""
+    cases = " ".join(f"WHEN {IRREGULAR[name]} THEN {value}" for name, value in forms.items())
+    return f"CASE form {cases} ELSE {default} END"
+
 
+def _with_parts(events: DataFrame, irregular: bool) -> DataFrame:
+    """Database, table, operation and row image of each event."""
+    user_id = _choose("user_id", null_id="NULL")
+    image = f"""to_json(
+        named_struct('id', {user_id}, 'project_id', event_id % 2 + 1, 'reporter_id', event_id % 3 + 1,
+                     'title', 'Task ' || event_id, 'description', props, 'status', event_type,
+                     'priority', element_at(array('Low', 'Medium', 'High', 'Critical'), int(event_id % 4 + 1))),
+        map('ignoreNullFields', 'false'))"""
+    form = f"event_id % {PERIOD}" if irregular else "-1"
+    numbered = events.selectExpr(
+        "event_id", "ts", "user_id", "event_type", "props", f"{form} AS form", "string(event_id % 2 + 1) AS server"
+    )
+    plain_op = "CASE WHEN event_id % 11 = 0 THEN 'd' WHEN event_id % 3 = 0 THEN 'c' ELSE 'u' END"
+    return numbered.selectExpr(
+        "*",
+        "'db_' || server AS db",
+        _choose("'Tickets'", foreign_table="'Users'", similar_table="'ClosedTickets'") + " AS table",
+        _choose(plain_op, snapshot_op="'r'", truncate_op="'t'") + " AS op",
+        _choose(image, empty_image="'{}'", no_image="'null'") + " AS image",
+    )
 
-def _choose(default: Column, **forms: Column | str) -> Column:
-    """`default`, or the value given for the irregular form the event takes."""
-    for name, value in forms.items():
-        default = F.when(_is(name), value).otherwise(default)
-    return default
+
+def _envelope_text() -> str:
+    ts_ms = _choose(
+        """',"ts_ms":' || event_id * 7919 % 100""",
+        text_ts="""',"ts_ms":"5"'""",
+        no_ts="''",
+        fraction_ts="""',"ts_ms":1.0'""",
+    )
+    source = _choose(
+        """'{"db":"' || db || '","table":"' || table || '"}'""",
+        bad_source="""'"none"'""",
+        no_db="""'{"table":"Tickets"}'""",
+        null_db="""'{"db":null,"table":"Tickets"}'""",
+    )
+    return f"""concat('{{"schema":{{}},"payload":{{"op":"', op, '"', {ts_ms}, ',"source":', {source},
+        ',"before":', if(op = 'd', image, 'null'), ',"after":', if(op = 'd', 'null', image), '}}}}')"""
 
 
 def change_messages(events: DataFrame, batch_rows: int = 500, irregular: bool = True) -> DataFrame:
@@ -57,77 +93,28 @@ def change_messages(events: DataFrame, batch_rows: int = 500, irregular: bool =
 
     `irregular=False` gives the plain inserts, updates and deletes only, as many as there are events.
     """
-    n = F.col("event_id")
-    choose = _choose if irregular else (lambda default, **_: default)
-    server = (n % 2 + 1).cast("string")
-    db = F.concat(F.lit("db_"), server)
-    table = choose(F.lit("Tickets"), foreign_table=F.lit("Users"), similar_table=F.lit("ClosedTickets"))
-    is_delete = n % 11 == 0
-
-    image = F.to_json(
-        F.struct(
-            choose(F.col("user_id"), null_id=F.lit(None).cast("bigint")).alias("id"),
-            (n % 2 + 1).alias("project_id"),
-            (n % 3 + 1).alias("reporter_id"),
-            F.concat(F.lit("Task "), n.cast("string")).alias("title"),
-            F.col("props").alias("description"),
-            F.col("event_type").alias("status"),
-            F.element_at(F.array(*map(F.lit, ("Low", "Medium", "High", "Critical"))), (n % 4 + 1).cast("int")).alias(
-                "priority"
-            ),
-        ),
-        {"ignoreNullFields": "false"},
-    )
-    image = choose(image, empty_image=F.lit("{}"), no_image=F.lit("null"))
-    op = choose(
-        F.when(is_delete, "d").when(n % 3 == 0, "c").otherwise("u"), snapshot_op=F.lit("r"), truncate_op=F.lit("t")
-    )
-    image_is_before = op == "d"
-    ts_ms = choose(
-        F.concat(F.lit(',"ts_ms":'), (n * 7919 % 100).cast("string")),
-        text_ts=F.lit(',"ts_ms":"5"'),
-        no_ts=F.lit(""),
-        fraction_ts=F.lit(',"ts_ms":1.0'),
+    value = _choose(
+        "binary(plain)",
+        null_value="NULL",
+        bad_utf8="X'FF7B'",
+        trailing_text="binary(plain || ' x')",
+        bad_json="binary('{bad')",
+        not_object="binary('[1]')",
+        no_payload="binary('{}')",
+        text_payload="""binary('{"schema":{},"payload":"{}"}')""",
     )
-    named_source = F.concat(F.lit('{"db":"'), db, F.lit('","table":"'), table, F.lit('"}'))
-    source = choose(
-        named_source,
-        bad_source=F.lit('"none"'),
-        no_db=F.lit('{"table":"Tickets"}'),
-        null_db=F.lit('{"db":null,"table":"Tickets"}'),
+    topic = _choose(
+        "'tickets_server_' || server || '.' || db || '.dbo.' || table",
+        other_topic="'schema-changes.tickets_server_' || server",
     )
-    text = F.concat(
-        F.lit('{"schema":{},"payload":{"op":"'),
-        op,
-        F.lit('"'),
-        ts_ms,
-        F.lit(',"source":'),
-        source,
-        F.lit(',"before":'),
-        F.when(image_is_before, image).otherwise("null"),
-        F.lit(',"after":'),
-        F.when(image_is_before, F.lit("null")).otherwise(image),
-        F.lit("}}"),
-    )
-    text = choose(
-        text,
-        trailing_text=F.concat(text, F.lit(" x")),
-        bad_json=F.lit("{bad"),
-        not_object=F.lit("[1]"),
-        no_payload=F.lit("{}"),
-        text_payload=F.lit('{"schema":{},"payload":"{}"}'),
-    )
-    value = choose(text.cast("binary"), null_value=F.lit(None).cast("binary"), bad_utf8=F.unhex(F.lit("FF7B")))
-    since_start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))")
-    replayed = F.floor(since_start / REPLAY_SPEEDUP).cast("bigint") + REPLAY_START_MICROS
-
-    topic = F.concat(F.lit("tickets_server_"), server, F.lit("."), db, F.lit(".dbo."), table)
-    return events.select(
-        F.floor(n / batch_rows).cast("bigint").alias("batch_id"),
-        choose(topic, other_topic=F.concat(F.lit("schema-changes.tickets_server_"), server)).alias("topic"),
-        (F.col("user_id") % 4).cast("int").alias("partition"),
-        n.alias("offset"),
-        F.timestamp_micros(replayed).alias("timestamp"),
-        F.concat(db, F.lit(".dbo."), table).alias("source_table"),
-        value.alias("value"),
+    since_start = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))"
+    parts = _with_parts(events, irregular).selectExpr("*", f"{_envelope_text()} AS plain")
+    return with_computed_once(parts, value=F.expr(value)).selectExpr(
+        f"event_id div {batch_rows} AS batch_id",
+        f"{topic} AS topic",
+        "int(user_id % 4) AS partition",
+        "event_id AS offset",
+        f"timestamp_micros({since_start} div {REPLAY_SPEEDUP} + {REPLAY_START_MICROS}) AS timestamp",
+        "db || '.dbo.' || table AS source_table",
+        "value",
     )
