@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One pair of braces around everything but the white space JSON allows there.
+# One pair of braces around everything but the white space JSON allows there. Most texts need no regex.
 _IN_BRACES = r'^[ \t\r\n]*\{[ \t\r\n]*("(?s:.*))?\}[ \t\r\n]*\z'
 
 
@@ -13,8 +13,9 @@ def is_json_object(text: Column) -> Column:
     Spark's JSON functions stop after the first value, so `{"a":1} x` would pass. Parsed as the only
     element of an array, anything after the object is an error or a second element.
     """
+    in_braces = F.when(text.startswith('{"') & text.endswith("}"), True).otherwise(text.rlike(_IN_BRACES))
     as_element = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
-    return F.coalesce(F.is_valid_utf8(text) & text.rlike(_IN_BRACES) & (as_element == 1), F.lit(False))
+    return F.coalesce(F.is_valid_utf8(text) & in_braces & (as_element == 1), F.lit(False))
 
 
 def topic_or_unknown(topic: Column) -> Column:

@@ -59,24 +59,17 @@ def first_batch(winners: DataFrame) -> DataFrame:
     return winners.where(IS_UPSERT).select(*SILVER.fieldNames())
 
 
-def _with_spread(rows: DataFrame) -> DataFrame:
-    """Adds a join column: 0 for a complete key, a hash of the row where the key can match nothing.
-
-    Without it all rows without key would land in one task of the join.
-    """
-    others = [name for name in rows.columns if name not in KEY]
-    return rows.withColumn("_spread", F.when(_key_incomplete(), F.xxhash64(*others)).otherwise(F.lit(0)))
-
-
-def merge_changes(target: DataFrame, winners: DataFrame) -> DataFrame:
+def merge_changes(target: DataFrame, winners: DataFrame, broadcast_keys: bool = False) -> DataFrame:
     """MERGE of one change per key into Silver: matched rows go, all non-delete changes come in.
 
     Covers update (old row out, new row in), delete (old row out) and insert (new row in). `ts_ms` is
-    not compared. A column only one side has is NULL on the other. Spark broadcasts the keys of the
-    winners if their measured size allows it and shuffles both sides otherwise.
+    not compared. A column only one side has is NULL on the other. `broadcast_keys` is for callers who
+    counted the winners: the target then stays where it is. Otherwise both sides are shuffled, unless
+    Spark finds the keys small. Neither side has a complete key twice; if the target has many rows
+    without key, AQE splits the partition they fall into.
     """
-    keys = winners.select(*KEY).withColumn("_spread", F.lit(0).cast("bigint"))
-    kept = _with_spread(target).join(keys, [*KEY, "_spread"], "left_anti").drop("_spread")
+    keys = winners.select(*KEY)
+    kept = target.join(F.broadcast(keys) if broadcast_keys else keys, KEY, "left_anti")
     return kept.unionByName(winners.where(IS_UPSERT), allowMissingColumns=True)
 
 

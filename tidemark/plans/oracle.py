@@ -127,7 +127,7 @@ _OUTCOMES = """,
 outcomes AS (
   SELECT c.batch_id, count(*) AS received, any_value(coalesce(w.processed, 0)) AS processed,
     count(*) FILTER (c.outcome = 'failed') AS failed, count(*) FILTER (c.outcome = 'ignored') AS ignored,
-    max(c."timestamp") AS finished_at
+    make_timestamp((c.batch_id + 1704067200) * 1000000) AS finished_at
   FROM classified c LEFT JOIN (SELECT batch_id, count(*) AS processed FROM winners GROUP BY 1) w USING (batch_id)
   GROUP BY c.batch_id
 ),

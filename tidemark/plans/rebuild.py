@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import silver, tickets
+from tidemark.session import session_for
 from tidemark.streaming.tables import TicketTables
 
 
@@ -22,6 +23,7 @@ def rebuild_silver(tables: TicketTables) -> int:
     """
     through = tables.committed_through()
     if through >= 0:
-        bronze = tables.bronze().where(F.col("batch_id") <= through)
-        tables.write_full_state(state_from_bronze(bronze), through)
+        sized = TicketTables(session_for(tables.spark, tables.size_of("bronze")), tables.root)
+        bronze = sized.bronze().where(F.col("batch_id") <= through)
+        sized.write_full_state(state_from_bronze(bronze), through)
     return through

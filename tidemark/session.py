@@ -1,10 +1,10 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings, sizes of large jobs, and the shared scratch folder."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def job_builder(app_name: str) -> SparkSession.Builder:
@@ -31,3 +31,39 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="tidemark-")
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """`rows`, computed once and kept in the shared folder, for small results that are used several times."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return rows.checkpoint()
+
+
+MIB = 1 << 20
+
+
+def job_sizes(input_bytes: int) -> dict[str, str]:
+    """Settings for one large job over so many bytes of Parquet.
+
+    Shuffles start with a partition per 512 MiB of input and AQE joins those that stay small. Splits
+    grow beyond 128 MiB where there would be more than 50,000 of them: the driver keeps a record per
+    pair of task and partition block.
+    """
+    partitions = min(max(input_bytes // (512 * MIB), 200), 20_000)
+    split = max(input_bytes // 50_000, 128 * MIB)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(split),
+    }
+
+
+def session_for(spark: SparkSession, input_bytes: int) -> SparkSession:
+    """A session of its own for a large job, so that its sizes do not reach the micro-batches."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    for name, value in job_sizes(input_bytes).items():
+        session.conf.set(name, value)
+    return session

@@ -24,6 +24,9 @@ from tidemark.operators import silver
 
 _WRITTEN = "_SUCCESS"
 
+# Pending changes up to this number are matched by broadcast; a key takes some tens of bytes.
+BROADCAST_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class TicketTables:
@@ -118,7 +121,8 @@ class TicketTables:
             return silver.last_change(pending).where(silver.IS_UPSERT)
         # The folder is read as a table of its own: its number is not a column.
         stored = self.spark.read.schema(schemas.SILVER_STORE).parquet(self.path("silver", f"through={base}"))
-        return silver.merge_changes(stored, silver.last_change(pending))
+        few = pending.count() <= BROADCAST_ROWS
+        return silver.merge_changes(stored, silver.last_change(pending), broadcast_keys=few)
 
     def silver(self) -> DataFrame | None:
         rows = self.silver_rows(self.committed_through())

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions import envelope
 from tidemark.operators import decode, gold, health, silver, tickets
 from tidemark.schemas import SILVER_STORE
+from tidemark.session import session_for
 from tidemark.streaming.tables import TicketTables
 
 logger = logging.getLogger(__name__)
@@ -127,15 +128,20 @@ class TicketWorker:
 
     def rewrite_silver(self) -> bool:
         through = self._through
-        rows = self.tables.silver_rows(through)
-        if rows is None or through == self.tables.full_state_through(through):
+        base = self.tables.full_state_through(through)
+        if base == through:
+            return False
+        state_bytes = self.tables.size_of("silver", f"through={base}") if base >= 0 else 0
+        tables = TicketTables(session_for(self.spark, state_bytes), self.tables.root)
+        rows = tables.silver_rows(through)
+        if rows is None:
             return False
-        self.tables.write_full_state(rows, through)
-        before = self.tables.drop_older("silver")
+        tables.write_full_state(rows, through)
+        before = tables.drop_older("silver")
         if before is not None:
-            for n in self.tables.numbered("changes", "batch_id"):
+            for n in tables.numbered("changes", "batch_id"):
                 if n <= before:
-                    self.tables.remove("changes", f"batch_id={n}")
+                    tables.remove("changes", f"batch_id={n}")
         return True
 
     # The job
