@@ -21,6 +21,9 @@ def duck():
     return connection
 
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+
+
 def _rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return Counter(tuple(row[i] for i in order) for row in rows)
@@ -38,5 +41,7 @@ def test_matches_duckdb(spark, duck, name):
     expected = result.fetchall()
     assert sorted(found.columns) == sorted(columns)
     assert expected
+    types = dict(found.dtypes)
+    assert types == {c[0]: TYPES[str(c[1])] for c in result.description}
     got = _rows(found.columns, [tuple(r) for r in found.collect()])
     assert got == _rows(columns, expected)

@@ -123,6 +123,12 @@ batch AS (
 )
 _MATCHES_TARGET = "EXISTS (SELECT 1 FROM target t WHERE t.id = b.id AND t.source_db = b.source_db)"
 
+_ONE_BATCH = """,
+batch AS (
+  SELECT * FROM changes
+  QUALIFY row_number() OVER (PARTITION BY id, source_db ORDER BY ts_ms DESC, "offset" DESC) = 1
+)"""
+
 _OUTCOMES = """,
 outcomes AS (
   SELECT c.batch_id, count(*) AS received, any_value(coalesce(w.processed, 0)) AS processed,
@@ -169,6 +175,10 @@ def _on_gold(select: str) -> str:
     return _query(_FEED + _CHANGES + _SILVER + _GOLD, select)
 
 
+def _on_one_batch(select: str) -> str:
+    return _query(_FEED + _CHANGES + _ONE_BATCH, select)
+
+
 def _on_merge(select: str) -> str:
     return _query(_FEED + _CHANGES + _MERGE, select)
 
@@ -210,12 +220,7 @@ FROM decoded""",
     "ts_ms_default": _on_changes("SELECT ts_ms, count(*) AS events FROM changes GROUP BY ts_ms"),
     "source_db_default": _on_changes("SELECT source_db, count(*) AS events FROM changes GROUP BY source_db"),
     "latest_per_key": _on_silver(f"""SELECT batch_id, "offset", {_SILVER_COLUMNS} FROM winners"""),
-    "silver_first_batch": _on_changes(
-        f"""SELECT {_SILVER_COLUMNS} FROM (
-  SELECT * FROM changes
-  QUALIFY row_number() OVER (PARTITION BY id, source_db ORDER BY ts_ms DESC, "offset" DESC) = 1)
-WHERE op <> 'd'"""
-    ),
+    "silver_first_batch": _on_one_batch(f"SELECT {_SILVER_COLUMNS} FROM batch WHERE op <> 'd'"),
     "silver_merge": _on_merge(
         f"""SELECT {_SILVER_COLUMNS} FROM target t
 WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE t.id = b.id AND t.source_db = b.source_db)
@@ -261,6 +266,16 @@ FROM points"""
     "throughput_last60": _on_points(
         f"""SELECT {_START_TEXT}, strftime(points.interval_start, '%H:%M:%S') AS "time", events_in_interval AS events_per_sec
 FROM points ORDER BY points.interval_start DESC LIMIT 60"""
+    ),
+    "stream_silver": _on_one_batch(f"SELECT {_SILVER_COLUMNS} FROM batch WHERE op <> 'd'"),
+    "stream_gold": _on_one_batch(
+        """SELECT source_db, status, count(*) AS "count" FROM batch WHERE op <> 'd' GROUP BY source_db, status"""
+    ),
+    "stream_batch_log": _on_one_batch(
+        """SELECT CAST(0 AS BIGINT) AS batch_id, TRUE AS success, count(*) AS received,
+  (SELECT count(*) FROM batch) AS processed,
+  count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'ignored') AS ignored
+FROM classified"""
     ),
     "worker_metrics": _on_log(
         """SELECT events_received, batches_ok, batches_failed,

@@ -6,6 +6,7 @@ CUT_OVER is the target and everything after it arrives as one batch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import timing
 from tidemark.operators import decode, gold, health, silver, throughput, tickets
 from tidemark.schemas import SILVER
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, shared_folder
 from tidemark.sources.replay import REPLAY_START_MICROS, change_messages
 from tidemark.sources.streams import fan_in, on_topics
+from tidemark.streaming.tables import TicketTables
+from tidemark.streaming.worker import TicketWorker
 
 TOPIC_PATTERN = "^tickets_server_.*"
 DATABASES = ("db_1", "db_2", "unknown")
@@ -206,6 +209,31 @@ def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> TicketTables:
+    """The tables after the events went through the worker as a stream of files, all in one batch.
+
+    The file source takes a single file only by way of a pattern.
+    """
+    schema = read_events(spark, sf_dir).schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    worker = TicketWorker(spark, f"{shared_folder(spark)}/lake-{uuid.uuid4().hex}")
+    worker.run(on_topics(change_messages(events), TOPIC_PATTERN), available_now=True)
+    return worker.tables
+
+
+def stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir).silver()
+
+
+def stream_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir).gold()
+
+
+def stream_batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _streamed(spark, sf_dir).log().where(F.col("kind") == health.BATCH)
+    return log.select("batch_id", "success", "received", "processed", "failed", "ignored")
+
+
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.worker_metrics(batch_log(spark, sf_dir))
 
@@ -245,6 +273,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "throughput_windows": throughput_windows,
     "throughput_running_total": throughput_running_total,
     "throughput_last60": throughput_last60,
+    "stream_silver": stream_silver,
+    "stream_gold": stream_gold,
+    "stream_batch_log": stream_batch_log,
     "worker_metrics": worker_metrics,
     "worker_status": worker_status,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,10 @@ class BrokerOptions:
     max_batch_rows: int = 20_000
     flush_interval: str = "1s"
 
+    def for_monitor(self) -> BrokerOptions:
+        """The monitor only counts what arrives from now on."""
+        return replace(self, starting_offsets="latest")
+
     def reader_options(self) -> dict[str, str]:
         """A batch starts at `max_batch_rows` waiting messages, or `flush_interval` after the last one."""
         rows = str(self.max_batch_rows)
@@ -33,10 +37,6 @@ class BrokerOptions:
         }
 
 
-# The monitor only counts what arrives from now on.
-MONITOR_OFFSETS = "latest"
-
-
 def broker_messages(spark: SparkSession, options: BrokerOptions) -> DataFrame:
     """Messages of all topics matching the pattern; needs the Kafka connector on the class path."""
     stream = spark.readStream.format("kafka").options(**options.reader_options()).load()

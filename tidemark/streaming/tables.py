@@ -59,10 +59,8 @@ class TicketTables:
 
     def newest_written(self, folder: str, key: str, at_most: int | None = None) -> int:
         """Highest number of a folder that was written to the end, -1 if there is none."""
-        hadoop_path, files = self._file_system()
         for n in reversed(self.numbered(folder, key)):
-            in_range = at_most is None or n <= at_most
-            if in_range and files.exists(hadoop_path(self.path(folder, f"{key}={n}", _WRITTEN))):
+            if (at_most is None or n <= at_most) and self.exists(folder, f"{key}={n}", _WRITTEN):
                 return n
         return -1
 
@@ -145,18 +143,23 @@ class TicketTables:
     def drop_older(self, table: str) -> int | None:
         """Keeps the newest version and the one before, for those who still read it.
 
-        Returns the number of the one before, None if the newest is the only one.
+        Returns the number of the one before, None if the newest is the only one. What a crash left
+        half written goes too.
         """
-        *older, _ = self.numbered(table, "through")
-        for n in older[:-1]:
-            self.remove(table, f"through={n}")
-        return older[-1] if older else None
+        versions = self.numbered(table, "through")
+        kept = [n for n in versions if self.exists(table, f"through={n}", _WRITTEN)][-2:]
+        for n in versions:
+            if n not in kept:
+                self.remove(table, f"through={n}")
+        return kept[0] if len(kept) == 2 else None
 
     def write_log(self, kind: str, batch_id: int, error_message: str | None = None, **values: int | bool | None) -> None:
-        schema = T.StructType(schemas.BATCH_LOG.fields[:-2])
+        """One row, by overwrite for what can be repeated and by append for a failure, of which there may be more."""
         row = {"success": error_message is None, "error_message": error_message, "gold_recomputed": False, **values}
-        row = {field.name: row.get(field.name) for field in schema.fields}
-        entry = self.spark.createDataFrame([tuple(row.values())], schema).coalesce(1)
-        entry = entry.withColumn("finished_at", F.current_timestamp())
-        mode = "append" if error_message else "overwrite"
-        entry.write.mode(mode).parquet(self.log_path(kind, batch_id))
+        columns = [
+            F.lit(row.get(field.name)).cast(field.dataType).alias(field.name)
+            for field in schemas.BATCH_LOG.fields
+            if field.name not in ("finished_at", "kind", "batch_id")
+        ]
+        entry = self.spark.range(1, numPartitions=1).select(*columns, F.current_timestamp().alias("finished_at"))
+        entry.write.mode("append" if error_message else "overwrite").parquet(self.log_path(kind, batch_id))

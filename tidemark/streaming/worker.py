@@ -46,7 +46,13 @@ class TicketWorker:
     # One micro-batch
 
     def apply_batch(self, messages: DataFrame, batch_id: int) -> None:
-        """Bronze first, then the deciding changes, both written so that a repeat changes nothing."""
+        """Bronze first, then the deciding changes, both written so that a repeat changes nothing.
+
+        Only the newest batch can come again. An older number belongs to another checkpoint, and
+        writing it would replace rows that are still good.
+        """
+        if batch_id < self._through:
+            raise ValueError(f"batch {batch_id} is older than batch {self._through} of {self.tables.root}")
         step = "Bronze write"
         try:
             self._write_bronze(messages, batch_id)
