@@ -1,0 +1,138 @@
+"""What the plans must keep: one parse, small shuffles, narrow scans, no nested loops."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import gold, silver, tickets
+from tidemark.plans.queries import QUERIES
+from tidemark.schemas import BRONZE, SILVER_STORE
+from tidemark.session import job_sizes
+
+SF_DIR = "/root/testdata/sf0.001"
+EAGER = {"stream_silver", "stream_gold", "stream_batch_log"}
+
+
+@pytest.fixture(scope="module")
+def bronze(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("plans") / "bronze")
+    spark.createDataFrame([], BRONZE).write.parquet(path)
+    return spark.read.schema(BRONZE).parquet(path)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("plans") / "silver")
+    spark.createDataFrame([], SILVER_STORE).write.parquet(path)
+    return spark.read.schema(SILVER_STORE).parquet(path)
+
+
+def plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def scans(frame) -> list[set[str]]:
+    text = plan(frame)
+    return [set(re.findall(r"(\w+):", found)) for found in re.findall(r"ReadSchema: struct<([^>]*)>", text)]
+
+
+def test_json_is_parsed_once(bronze):
+    changes = tickets.ticket_changes(tickets.classify_events(bronze))
+    for frame in (changes, silver.silver_state(changes), gold.gold_counts(silver.silver_state(changes))):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_state_takes_one_shuffle_of_winners(bronze):
+    state = silver.silver_state(tickets.ticket_changes(tickets.classify_events(bronze)))
+    steps = re.findall(r"(WindowGroupLimit|Exchange hashpartitioning|Window \[|Scan parquet|FileScan)", plan(state))
+    # From the result down: one row per key is kept in the task already, before the only shuffle.
+    assert steps[:4] == ["Window [", "WindowGroupLimit", "Exchange hashpartitioning", "WindowGroupLimit"]
+    assert plan(state).count("Exchange") == 1
+
+
+def test_gold_reads_two_columns_of_silver(stored):
+    assert scans(gold.gold_counts(stored)) == [{"source_db", "status"}]
+
+
+def test_gold_of_a_merge_reads_no_more_than_it_needs(stored):
+    merged = silver.merge_changes(stored, stored.where("batch_id > 5"), broadcast_keys=True)
+    target, keys, added = scans(gold.gold_counts(merged))
+    assert target == {"id", "source_db", "status"}
+    assert keys <= {"id", "source_db", "batch_id"}
+    assert added == {"op", "source_db", "status", "batch_id"}
+
+
+def test_merge_moves_the_target_only_without_a_bound(spark, stored):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bounded = plan(silver.merge_changes(stored, stored, broadcast_keys=True))
+        unbounded = plan(silver.merge_changes(stored, stored))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in bounded and "Exchange hashpartitioning" not in bounded
+    assert "SortMergeJoin" in unbounded and unbounded.count("Exchange hashpartitioning") == 2
+
+
+def test_counts_are_combined_before_the_shuffle(bronze):
+    text = plan(tickets.batch_outcomes(tickets.classify_events(bronze)))
+    assert text.count("partial_count(1)") == 1 and text.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
+def test_no_nested_loops_and_no_python(spark, name):
+    text = plan(QUERIES[name](spark, SF_DIR))
+    for step in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "Arrow"):
+        assert step not in text
+
+
+def test_first_filter_reaches_the_scan(spark):
+    text = plan(QUERIES["silver_merge_inserts"](spark, SF_DIR))
+    assert re.search(r"PushedFilters: \[[^]]*LessThan\(ts,", text)
+    assert re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(ts,", text)
+
+
+def test_job_sizes_grow_and_stop():
+    small, large, huge = (job_sizes(n) for n in (1 << 20, 10 << 40, 10 << 50))
+    partitions, split = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes"
+    assert (small[partitions], small[split]) == ("200", str(128 << 20))
+    assert int(large[partitions]) == 20_000 and int(large[split]) > 128 << 20
+    assert huge[partitions] == "20000" and (10 << 50) // int(huge[split]) <= 50_001
+
+
+def test_one_hot_key_leaves_one_row_per_task(spark, bronze):
+    """A third of all rows in one key: what reaches the shuffle is bounded by the number of tasks."""
+    rows = spark.range(0, 60_000, numPartitions=6).select(
+        F.lit(0).cast("bigint").alias("batch_id"),
+        F.lit("t").alias("topic"),
+        F.lit(0).alias("partition"),
+        F.col("id").alias("offset"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 100 + 1000).cast("bigint").alias("id"),
+        *(F.lit(None).cast("bigint").alias(name) for name in ("project_id", "reporter_id")),
+        *(F.lit("x").alias(name) for name in ("status", "priority", "source_db")),
+        F.lit("u").alias("op"),
+        (F.col("id") % 50).alias("ts_ms"),
+    )
+    state = silver.silver_state(rows)
+    assert state.count() == 101
+    state.collect()
+    exchange = _first(state._jdf.queryExecution().executedPlan(), "ShuffleExchangeExec")
+    records = exchange.metrics().apply("shuffleRecordsWritten").value()
+    assert records <= 6 * 101
+
+
+def _first(node, name):
+    """The first node of the executed plan with this class name, looking through adaptive stages."""
+    if node.getClass().getSimpleName() == name:
+        return node
+    wrapped = {"AdaptiveSparkPlanExec": "executedPlan", "ResultQueryStageExec": "plan", "ShuffleQueryStageExec": "plan"}
+    inner = wrapped.get(node.getClass().getSimpleName())
+    children = [getattr(node, inner)()] if inner else []
+    listed = node.children()
+    children += [listed.apply(i) for i in range(listed.size())]
+    for child in children:
+        found = _first(child, name)
+        if found is not None:
+            return found
+    return None

@@ -257,8 +257,47 @@ def test_monitor_counts_and_raw_feed(spark, feed, tmp_path):
     assert spark.read.parquet(f"{root}/raw_feed").count() == decode_messages(feed).count() + 1
 
 
+def test_unreadable_gold_is_no_gold(spark, tmp_path):
+    worker = TicketWorker(spark, str(tmp_path / "lake"))
+    worker.apply_batch(message(spark, envelope()), 0)
+    worker.refresh_gold()
+    assert gold_report(worker.tables).first().summary == {"Open": 1}
+    folder = tmp_path / "lake" / "gold" / "through=0"
+    for file in folder.glob("part-*"):
+        file.write_bytes(b"not parquet")
+    for file in folder.glob(".part-*"):  # the local file system keeps checksums
+        file.unlink()
+    assert gold_report(worker.tables) is None
+
+
+def test_half_written_versions_are_not_used(spark, feed, tmp_path):
+    worker = TicketWorker(spark, str(tmp_path / "lake"))
+    for batch_id in range(BATCHES):
+        worker.apply_batch(feed.where(F.col("batch_id") == batch_id), batch_id)
+        worker.rewrite_silver()
+        if batch_id == 2:
+            (tmp_path / "lake" / "silver" / "through=2" / "_SUCCESS").unlink()
+            state = silver.silver_state(expected_changes(feed.where("batch_id <= 2")))
+            assert rows_of(worker.tables.silver()) == rows_of(state)
+    assert worker.tables.numbered("silver", "through") == [1, 3]
+    assert worker.tables.numbered("changes", "batch_id") == [2, 3]
+    worker.refresh_gold()
+    check_tables(feed, worker.tables)
+
+
+def test_a_foreign_checkpoint_is_refused(spark, tmp_path):
+    worker = TicketWorker(spark, str(tmp_path / "lake"))
+    for batch_id in (0, 1):
+        worker.apply_batch(message(spark, envelope(), start=batch_id), batch_id)
+    before = rows_of(worker.tables.bronze())
+    with pytest.raises(ValueError, match="batch 0 is older than batch 1"):
+        TicketWorker(spark, str(tmp_path / "lake")).apply_batch(message(spark, "{}", start=9), 0)
+    assert rows_of(worker.tables.bronze()) == before
+
+
 def test_broker_options():
-    options = BrokerOptions(max_batch_rows=5, flush_interval="2s").reader_options()
+    options = BrokerOptions("host:9092", max_batch_rows=5, flush_interval="2s").reader_options()
+    assert BrokerOptions("host:9092").for_monitor().reader_options()["startingOffsets"] == "latest"
     assert options["subscribePattern"] == "^tickets_server_.*"
     assert options["startingOffsets"] == "earliest"
     assert (options["minOffsetsPerTrigger"], options["maxOffsetsPerTrigger"]) == ("5", "5")
@@ -267,7 +306,7 @@ def test_broker_options():
 
 def test_broker_needs_its_connector(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
-        broker_messages(spark, BrokerOptions())
+        broker_messages(spark, BrokerOptions("localhost:9"))
 
 
 def test_stored_schema(spark, tmp_path):

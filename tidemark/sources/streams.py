@@ -12,9 +12,9 @@ from tidemark.schemas import MESSAGE
 
 @dataclass(frozen=True)
 class BrokerOptions:
-    """Defaults are fixed values; the topic pattern is the deployment's own topic prefix."""
+    """Batch size, interval and starting point are fixed values; servers and topics are the deployment's."""
 
-    bootstrap_servers: str = "localhost:19092"
+    bootstrap_servers: str
     topic_pattern: str = "^tickets_server_.*"
     starting_offsets: str = "earliest"
     max_batch_rows: int = 20_000

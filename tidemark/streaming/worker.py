@@ -191,7 +191,11 @@ def gold_report(tables: TicketTables) -> DataFrame | None:
     """Gold as a viewer wants it on connecting, None if it is missing or cannot be read."""
     try:
         table = tables.gold()
-        return None if table is None else gold.gold_summary(table)
+        if table is None:
+            return None
+        summary = gold.gold_summary(table)
+        summary.isEmpty()  # reads the few rows now, as an unreadable file shows only then
+        return summary
     except Exception as error:
         logger.warning("Failed reading Gold summary table: %s", error)
         return None
