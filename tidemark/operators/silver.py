@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.envelope import DELETE
 from tidemark.schemas import SILVER
 
-KEY = ["id", "source_db"]
+KEY = ["source_db", "id"]
 IS_UPSERT = f"op <> '{DELETE}'"
 IS_DELETE = f"op = '{DELETE}'"
 _WITHIN_BATCH = ["ts_ms", "offset", "topic", "partition"]

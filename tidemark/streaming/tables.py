@@ -137,7 +137,7 @@ class TicketTables:
 
     def write_full_state(self, rows: DataFrame, through: int) -> None:
         """Full state after batch `through`; sorted inside each file, so key ranges can be skipped."""
-        ordered = rows.select(*schemas.SILVER_STORE.fieldNames()).sortWithinPartitions("source_db", "id")
+        ordered = rows.select(*schemas.SILVER_STORE.fieldNames()).sortWithinPartitions(*silver.KEY)
         ordered.write.mode("overwrite").parquet(self.path("silver", f"through={through}"))
 
     def drop_older(self, table: str) -> int | None:
