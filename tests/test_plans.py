@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import gold, silver, tickets
 from tidemark.plans.queries import QUERIES
-from tidemark.schemas import BRONZE, SILVER_STORE
+from tidemark.plans.rebuild import state_from_bronze
+from tidemark.schemas import BRONZE_STORE, SILVER_STORE
 from tidemark.session import job_sizes
 
 SF_DIR = "/root/testdata/sf0.001"
-EAGER = {"stream_silver", "stream_gold", "stream_batch_log"}
+EAGER = {  # run while they are built
+    "stream_silver",
+    "stream_gold",
+    "stream_batch_log",
+}
 
 
 @pytest.fixture(scope="module")
 def bronze(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("plans") / "bronze")
-    spark.createDataFrame([], BRONZE).write.parquet(path)
-    return spark.read.schema(BRONZE).parquet(path)
+    spark.createDataFrame([], BRONZE_STORE).write.parquet(path)
+    return spark.read.schema(BRONZE_STORE).parquet(path)
+
+
+@pytest.fixture(scope="module")
+def raw(bronze):
+    return bronze.select(*tickets.POSITION, "raw_payload")
 
 
 @pytest.fixture(scope="module")
@@ -37,14 +47,21 @@ def scans(frame) -> list[set[str]]:
     return [set(re.findall(r"(\w+):", found)) for found in re.findall(r"ReadSchema: struct<([^>]*)>", text)]
 
 
-def test_json_is_parsed_once(bronze):
-    changes = tickets.ticket_changes(tickets.classify_events(bronze))
+def test_json_is_parsed_once(raw):
+    changes = tickets.ticket_changes(tickets.classify_events(raw))
     for frame in (changes, silver.silver_state(changes), gold.gold_counts(silver.silver_state(changes))):
         assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
 
 
-def test_state_takes_one_shuffle_of_winners(bronze):
-    state = silver.silver_state(tickets.ticket_changes(tickets.classify_events(bronze)))
+def test_stored_events_are_read_without_their_text(bronze):
+    for frame in (state_from_bronze(bronze), bronze.groupBy("outcome").count()):
+        assert "from_json" not in plan(frame)
+        assert all("raw_payload" not in columns for columns in scans(frame))
+    assert "from_json" in plan(state_from_bronze(bronze, parse_again=True))
+
+
+def test_state_takes_one_shuffle_of_winners(raw):
+    state = silver.silver_state(tickets.ticket_changes(tickets.classify_events(raw)))
     steps = re.findall(r"(WindowGroupLimit|Exchange hashpartitioning|Window \[|Scan parquet|FileScan)", plan(state))
     # From the result down: one row per key is kept in the task already, before the only shuffle.
     assert steps[:4] == ["Window [", "WindowGroupLimit", "Exchange hashpartitioning", "WindowGroupLimit"]
@@ -76,7 +93,7 @@ def test_merge_moves_the_target_only_without_a_bound(spark, stored):
 
 
 def test_counts_are_combined_before_the_shuffle(bronze):
-    text = plan(tickets.batch_outcomes(tickets.classify_events(bronze)))
+    text = plan(tickets.batch_outcomes(bronze))
     assert text.count("partial_count(1)") == 1 and text.count("Exchange hashpartitioning") == 2
 
 
@@ -101,7 +118,7 @@ def test_job_sizes_grow_and_stop():
     assert huge[partitions] == "20000" and (10 << 50) // int(huge[split]) <= 50_001
 
 
-def test_one_hot_key_leaves_one_row_per_task(spark, bronze):
+def test_one_hot_key_leaves_one_row_per_task(spark):
     """A third of all rows in one key: what reaches the shuffle is bounded by the number of tasks."""
     rows = spark.range(0, 60_000, numPartitions=6).select(
         F.lit(0).cast("bigint").alias("batch_id"),

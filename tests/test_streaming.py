@@ -176,9 +176,10 @@ def test_rebuild_from_bronze(spark, feed, tmp_path):
     for batch_id in range(BATCHES):
         worker.apply_batch(feed.where(F.col("batch_id") == batch_id), batch_id)
     merged = rows_of(worker.tables.silver())
-    assert rebuild_silver(worker.tables) == BATCHES - 1
-    assert worker.tables.numbered("silver", "through") == [BATCHES - 1]
-    assert rows_of(worker.tables.silver()) == merged
+    for parse_again in (False, True):
+        assert rebuild_silver(worker.tables, parse_again) == BATCHES - 1
+        assert worker.tables.numbered("silver", "through") == [BATCHES - 1]
+        assert rows_of(worker.tables.silver()) == merged
 
 
 def test_no_silver_before_the_first_upsert(spark, tmp_path):

@@ -14,13 +14,13 @@ POSITION = ["batch_id", "topic", "partition", "offset"]
 
 
 def classify_events(bronze: DataFrame) -> DataFrame:
-    """Outcome and ticket fields of every Bronze row; the fields count only where the outcome is `ok`."""
+    """Adds outcome and ticket fields to Bronze rows; the fields count only where the outcome is `ok`."""
     body = F.col("event.payload.payload")
     image = F.col("image")
     return (
         with_computed_once(bronze, event=F.from_json("raw_payload", ENVELOPE))
         .select(
-            *POSITION,
+            *bronze.columns,
             envelope.event_outcome(body).alias("outcome"),
             envelope.row_image(body).alias("image"),
             envelope.source_database(body, F.col("raw_payload")).alias("source_db"),
@@ -28,13 +28,9 @@ def classify_events(bronze: DataFrame) -> DataFrame:
             envelope.change_time(body).alias("ts_ms"),
         )
         .select(
-            *POSITION,
+            *bronze.columns,
             "outcome",
-            image["id"].alias("id"),
-            image["project_id"].alias("project_id"),
-            image["reporter_id"].alias("reporter_id"),
-            image["status"].alias("status"),
-            image["priority"].alias("priority"),
+            *(image[name].alias(name) for name in ("id", "project_id", "reporter_id", "status", "priority")),
             "source_db",
             "op",
             "ts_ms",

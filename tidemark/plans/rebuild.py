@@ -10,13 +10,18 @@ from tidemark.session import session_for
 from tidemark.streaming.tables import TicketTables
 
 
-def state_from_bronze(bronze: DataFrame) -> DataFrame:
-    """Every ticket's deciding change, read from the raw rows; one shuffle, of winners only."""
-    events = tickets.classify_events(bronze)
-    return silver.last_change(tickets.ticket_changes(events)).where(silver.IS_UPSERT)
+def state_from_bronze(bronze: DataFrame, parse_again: bool = False) -> DataFrame:
+    """Every ticket's deciding change; one shuffle, of winners only.
+
+    Reads the stored ticket fields, a few columns beside the raw text. `parse_again` reads the text
+    instead, for rows stored before a change to the parsing.
+    """
+    if parse_again:
+        bronze = tickets.classify_events(bronze.select(*tickets.POSITION, "raw_payload"))
+    return silver.last_change(tickets.ticket_changes(bronze)).where(silver.IS_UPSERT)
 
 
-def rebuild_silver(tables: TicketTables) -> int:
+def rebuild_silver(tables: TicketTables, parse_again: bool = False) -> int:
     """Writes the full state after the last committed batch and returns that batch, -1 if there is none.
 
     For a stopped worker: the pending changes up to that batch are part of the new state.
@@ -25,5 +30,5 @@ def rebuild_silver(tables: TicketTables) -> int:
     if through >= 0:
         sized = TicketTables(session_for(tables.spark, tables.size_of("bronze")), tables.root)
         bronze = sized.bronze().where(F.col("batch_id") <= through)
-        sized.write_full_state(state_from_bronze(bronze), through)
+        sized.write_full_state(state_from_bronze(bronze, parse_again), through)
     return through

@@ -13,16 +13,6 @@ MESSAGE = T.StructType(
     ]
 )
 
-BRONZE = T.StructType(
-    [
-        T.StructField("topic", T.StringType()),
-        T.StructField("partition", T.IntegerType()),
-        T.StructField("offset", T.LongType()),
-        T.StructField("raw_payload", T.StringType()),
-        T.StructField("batch_id", T.LongType()),
-    ]
-)
-
 _ROW_IMAGE = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -75,6 +65,19 @@ SILVER = T.StructType(
     ]
 )
 
+# What is stored: the raw row with what was read from it, so that nothing after it parses JSON again.
+BRONZE_STORE = T.StructType(
+    [
+        T.StructField("topic", T.StringType()),
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("raw_payload", T.StringType()),
+        T.StructField("outcome", T.StringType()),
+        *SILVER.fields,
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
 # What is stored: Silver plus the batch that wrote the row.
 SILVER_STORE = T.StructType([*SILVER.fields, T.StructField("batch_id", T.LongType())])
 

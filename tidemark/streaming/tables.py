@@ -1,6 +1,6 @@
 """Stored tables under one root folder, as plain Parquet.
 
-    bronze/batch_id=N      raw rows of batch N
+    bronze/batch_id=N      raw rows of batch N, with outcome and ticket fields
     changes/batch_id=N     one deciding change per ticket of batch N, deletes included
     silver/through=N       full state after batch N, written from time to time
     gold/through=N         counts after batch N
@@ -86,10 +86,10 @@ class TicketTables:
 
     def bronze(self) -> DataFrame:
         """All batches, one that is being written among them: filter by `committed_through`."""
-        return self._read(schemas.BRONZE, "bronze", *([self.path("bronze")] if self.exists("bronze") else []))
+        return self._read(schemas.BRONZE_STORE, "bronze", *([self.path("bronze")] if self.exists("bronze") else []))
 
     def bronze_batch(self, batch_id: int) -> DataFrame:
-        return self._read(schemas.BRONZE, "bronze", self.batch_path("bronze", batch_id))
+        return self._read(schemas.BRONZE_STORE, "bronze", self.batch_path("bronze", batch_id))
 
     def changes_batch(self, batch_id: int) -> DataFrame:
         return self._read(schemas.SILVER_STORE, "changes", self.batch_path("changes", batch_id))

@@ -9,7 +9,6 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -67,25 +66,22 @@ class TicketWorker:
             self._changed_through = batch_id
 
     def _write_bronze(self, messages: DataFrame, batch_id: int) -> None:
-        rows = decode.bronze_rows(decode.decode_messages(messages))
+        """The only pass over the messages: decoded, parsed and stored with the raw text."""
+        rows = tickets.classify_events(decode.bronze_rows(decode.decode_messages(messages)))
         rows.write.mode("overwrite").parquet(self.tables.batch_path("bronze", batch_id))
 
     def _write_changes(self, batch_id: int) -> dict[str, int]:
-        """Reads the batch back from Bronze: the table is the cut in the lineage, the source is read once.
+        """Reads the batch back from Bronze, without the raw text: the table is the cut in the lineage.
 
-        The parsed rows are kept for the second pass, which counts outcomes; a lost executor only
-        costs parsing its part again. Counts come from what was written, never from task side effects.
+        Counts come from what was written, never from task side effects, which a lost executor repeats.
         """
-        events = tickets.classify_events(self.tables.bronze_batch(batch_id)).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            winners = silver.latest_per_key(tickets.ticket_changes(events))
-            # The order the winners have already, so Spark drops this sort.
-            ordered = winners.sortWithinPartitions("batch_id", *silver.KEY)
-            stored = ordered.select(*(name for name in SILVER_STORE.fieldNames() if name != "batch_id"))
-            stored.write.mode("overwrite").parquet(self.tables.batch_path("changes", batch_id))
-            outcomes = {row["outcome"]: row["count"] for row in events.groupBy("outcome").count().collect()}
-        finally:
-            events.unpersist()
+        events = self.tables.bronze_batch(batch_id)
+        winners = silver.latest_per_key(tickets.ticket_changes(events))
+        # The order the winners have already, so Spark drops this sort.
+        ordered = winners.sortWithinPartitions("batch_id", *silver.KEY)
+        stored = ordered.select(*(name for name in SILVER_STORE.fieldNames() if name != "batch_id"))
+        stored.write.mode("overwrite").parquet(self.tables.batch_path("changes", batch_id))
+        outcomes = {row["outcome"]: row["count"] for row in events.groupBy("outcome").count().collect()}
         return {
             "received": sum(outcomes.values()),
             "processed": self.tables.changes_batch(batch_id).count(),
@@ -114,7 +110,7 @@ class TicketWorker:
             if rows is None:
                 return None
             path = self.tables.path("gold", f"through={through}")
-            gold.gold_counts(rows).coalesce(1).write.mode("overwrite").parquet(path)
+            gold.gold_counts(rows).repartition(1).write.mode("overwrite").parquet(path)
             self.tables.drop_older("gold")
             self.tables.write_log(health.GOLD_REFRESH, through, processed=0, failed=0, gold_recomputed=True)
         self._gold_through = through
