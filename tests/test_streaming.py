@@ -302,7 +302,8 @@ def test_broker_options():
     assert options["subscribePattern"] == "^tickets_server_.*"
     assert options["startingOffsets"] == "earliest"
     assert (options["minOffsetsPerTrigger"], options["maxOffsetsPerTrigger"]) == ("5", "5")
-    assert options["maxTriggerDelay"] == "2s"
+    assert options["maxTriggerDelay"] == "2s" and "minPartitions" not in options
+    assert BrokerOptions("host:9092", min_partitions=64).reader_options()["minPartitions"] == "64"
 
 
 def test_broker_needs_its_connector(spark):

@@ -26,12 +26,16 @@ DATABASES = ("db_1", "db_2", "unknown")
 CUT_OVER = "2024-01-16 00:00:00"
 
 
+def _spread(events: DataFrame, pieces: int) -> DataFrame:
+    """Spreads a table that comes in fewer pieces than there are cores, as one small file cannot be split."""
+    cores = events.sparkSession.sparkContext.defaultParallelism
+    return events.repartition(cores, "event_id") if pieces < cores else events
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events; a table in fewer pieces than there are cores is spread, as one small file cannot be split."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return events.repartition(cores, "event_id") if events.rdd.getNumPartitions() < cores else events
+    return _spread(events, events.rdd.getNumPartitions())
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,8 +218,9 @@ def _streamed(spark: SparkSession, sf_dir: str) -> TicketTables:
 
     The file source takes a single file only by way of a pattern.
     """
-    schema = read_events(spark, sf_dir).schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    table = read_events(spark, sf_dir)
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
+    events = _spread(stream, len(table.inputFiles()))
     worker = TicketWorker(spark, f"{shared_folder(spark)}/lake-{uuid.uuid4().hex}")
     worker.run(on_topics(change_messages(events), TOPIC_PATTERN), available_now=True)
     return worker.tables

@@ -19,6 +19,7 @@ class BrokerOptions:
     starting_offsets: str = "earliest"
     max_batch_rows: int = 20_000
     flush_interval: str = "1s"
+    min_partitions: int | None = None
 
     def for_monitor(self) -> BrokerOptions:
         """The monitor only counts what arrives from now on."""
@@ -27,7 +28,10 @@ class BrokerOptions:
     def reader_options(self) -> dict[str, str]:
         """A batch starts at `max_batch_rows` waiting messages, or `flush_interval` after the last one."""
         rows = str(self.max_batch_rows)
+        # Topics with few partitions: reads each in several pieces, so that all cores can parse.
+        pieces = {} if self.min_partitions is None else {"minPartitions": str(self.min_partitions)}
         return {
+            **pieces,
             "kafka.bootstrap.servers": self.bootstrap_servers,
             "subscribePattern": self.topic_pattern,
             "startingOffsets": self.starting_offsets,
