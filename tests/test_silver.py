@@ -94,7 +94,11 @@ def test_merging_batch_by_batch_equals_fold(spark, seed):
     state = spark.createDataFrame([], SILVER_STORE)
     for batch_id in range(5):
         batch = spark.createDataFrame([row for row in changes if row[0] == batch_id], CHANGES)
-        merged = silver.merge_changes(state, silver.latest_per_key(batch).select(*SILVER_STORE.fieldNames()))
+        deciding = silver.latest_per_key(batch).select(*SILVER_STORE.fieldNames())
+        merged = silver.merge_changes(state, deciding)
+        added = deciding.where(silver.IS_UPSERT)
+        counts = gold.gold_after_changes(gold.gold_counts(state), silver.replaced_rows(state, deciding), added)
+        assert Counter(map(tuple, counts.collect())) == Counter(map(tuple, gold.gold_counts(merged).collect()))
         state = spark.createDataFrame(merged.select(*SILVER_STORE.fieldNames()).collect(), SILVER_STORE)
     assert rows_of(state) == fold(changes)
 

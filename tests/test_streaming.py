@@ -1,6 +1,7 @@
 """The streaming jobs on files: same result as the batch queries, also after a crash and a replay."""
 
 import os
+import re
 import time
 from collections import Counter
 
@@ -148,7 +149,9 @@ def test_full_state_is_rewritten_and_old_changes_go(spark, feed, tmp_path):
         assert not worker.rewrite_silver()
         state = silver.silver_state(expected_changes(feed.where(F.col("batch_id") <= batch_id)))
         assert rows_of(worker.tables.silver()) == rows_of(state)
+        assert rows_of(worker.refresh_gold()) == rows_of(gold.gold_counts(state))
     assert worker.tables.numbered("silver", "through") == [2, 3]
+    assert worker.tables.numbered("counts", "through") == [2, 3]
     assert worker.tables.numbered("changes", "batch_id") == [3]
     worker.refresh_gold()
     check_tables(feed, worker.tables)
@@ -165,6 +168,12 @@ def test_rewrite_waits_for_enough_changes(spark, feed, tmp_path):
     assert worker.rewrite_silver_if_due()
     for batch_id in (2, 3):
         worker.apply_batch(feed.where(F.col("batch_id") == batch_id), batch_id)
+        state = silver.silver_state(expected_changes(feed.where(F.col("batch_id") <= batch_id)))
+        assert rows_of(worker.refresh_gold()) == rows_of(gold.gold_counts(state))
+    # The full state is read only where ids of pending changes can be, and stays where it is.
+    text = worker.tables.gold_rows(3)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(id,\d+\), LessThanOrEqual\(id,\d+\)", text)
+    assert "LeftSemi, BuildRight" in text and "SortMergeJoin" not in text
     assert not worker.rewrite_silver_if_due()
     worker.refresh_gold()
     check_tables(feed, worker.tables)
@@ -214,7 +223,7 @@ def test_batch_of_ignored_rows(spark, tmp_path):
 
 def test_gold_failure_ends_the_job(spark, landed, tmp_path, monkeypatch):
     worker = TicketWorker(spark, str(tmp_path / "lake"))
-    monkeypatch.setattr(gold, "gold_counts", lambda rows: 1 / 0)
+    monkeypatch.setattr(TicketTables, "gold_rows", lambda *_: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         worker.run(file_messages(spark, landed), available_now=True)
     report = worker_report(worker.tables).first()

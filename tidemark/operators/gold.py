@@ -13,6 +13,18 @@ def gold_counts(silver: DataFrame) -> DataFrame:
     return silver.groupBy("source_db", "status").agg(F.count(F.lit(1)).alias("count"))
 
 
+def gold_after_changes(counts: DataFrame, replaced: DataFrame, added: DataFrame) -> DataFrame:
+    """Gold of a Silver whose `counts` are known and that then lost some rows and got others.
+
+    The same as counting it anew, at the cost of the rows that changed.
+    """
+    parts = [counts.select("source_db", "status", "count")]
+    for rows, step in ((replaced, -1), (added, 1)):
+        parts.append(rows.select("source_db", "status", F.lit(step).cast("bigint").alias("count")))
+    changed = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return changed.groupBy("source_db", "status").agg(F.sum("count").alias("count")).where(F.col("count") > 0)
+
+
 def named_groups(gold: DataFrame) -> DataFrame:
     """Gold without the groups that lack a database or status."""
     return gold.where(F.col("source_db").isNotNull() & F.col("status").isNotNull())

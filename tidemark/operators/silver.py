@@ -73,6 +73,12 @@ def merge_changes(target: DataFrame, winners: DataFrame, broadcast_keys: bool =
     return kept.unionByName(winners.where(IS_UPSERT), allowMissingColumns=True)
 
 
+def replaced_rows(target: DataFrame, winners: DataFrame, broadcast_keys: bool = False) -> DataFrame:
+    """The rows a merge takes out of Silver, by update or delete."""
+    keys = winners.select(*KEY)
+    return target.join(F.broadcast(keys) if broadcast_keys else keys, KEY, "left_semi")
+
+
 def merge_updates(target: DataFrame, winners: DataFrame) -> DataFrame:
     """The rows a merge changes in place, with their new values."""
     return winners.where(IS_UPSERT).join(target.select(*KEY), KEY, "left_semi")
@@ -80,7 +86,7 @@ def merge_updates(target: DataFrame, winners: DataFrame) -> DataFrame:
 
 def merge_deletes(target: DataFrame, winners: DataFrame) -> DataFrame:
     """The rows a merge removes, with their old values."""
-    return target.join(winners.where(IS_DELETE).select(*KEY), KEY, "left_semi")
+    return replaced_rows(target, winners.where(IS_DELETE))
 
 
 def merge_inserts(target: DataFrame, winners: DataFrame) -> DataFrame:

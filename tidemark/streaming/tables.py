@@ -3,6 +3,7 @@
     bronze/batch_id=N      raw rows of batch N, with outcome and ticket fields
     changes/batch_id=N     one deciding change per ticket of batch N, deletes included
     silver/through=N       full state after batch N, written from time to time
+    counts/through=N       its rows per database and status
     gold/through=N         counts after batch N
     log/kind=K/batch_id=N  what became of batch N
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schemas
-from tidemark.operators import silver
+from tidemark.operators import gold, silver
 
 _WRITTEN = "_SUCCESS"
 
@@ -109,6 +110,10 @@ class TicketTables:
         """Batch of the newest full state not after `through`, -1 if there is none."""
         return self.newest_written("silver", "through", at_most=through)
 
+    def _full_state(self, base: int) -> DataFrame:
+        # The folder is read as a table of its own: its number is not a column.
+        return self.spark.read.schema(schemas.SILVER_STORE).parquet(self.path("silver", f"through={base}"))
+
     def silver_rows(self, through: int) -> DataFrame | None:
         """Silver after batch `through` as stored rows; None if no ticket was ever written."""
         base = self.full_state_through(through)
@@ -117,10 +122,33 @@ class TicketTables:
             if pending.where(silver.IS_UPSERT).isEmpty():
                 return None
             return silver.last_change(pending).where(silver.IS_UPSERT)
-        # The folder is read as a table of its own: its number is not a column.
-        stored = self.spark.read.schema(schemas.SILVER_STORE).parquet(self.path("silver", f"through={base}"))
         few = pending.count() <= BROADCAST_ROWS
-        return silver.merge_changes(stored, silver.last_change(pending), broadcast_keys=few)
+        return silver.merge_changes(self._full_state(base), silver.last_change(pending), broadcast_keys=few)
+
+    def gold_rows(self, through: int) -> DataFrame | None:
+        """Gold after batch `through`; None if no ticket was ever written.
+
+        The counts of the full state are taken over. Of its rows only those the pending changes replace
+        are needed: the range of their ids goes to the scan, which skips files and row groups beside it,
+        as most of them are where new tickets get rising ids.
+        """
+        base = self.full_state_through(through)
+        if base < 0:
+            rows = self.silver_rows(through)
+            return None if rows is None else gold.gold_counts(rows)
+        pending = self.changes_between(base, through)
+        size = pending.agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first"), F.max("id").alias("last")).first()
+        winners = silver.last_change(pending)
+        near = self._full_state(base).where(F.col("id").between(F.lit(size["first"]), F.lit(size["last"])))
+        replaced = silver.replaced_rows(near, winners, broadcast_keys=size["rows"] <= BROADCAST_ROWS)
+        return gold.gold_after_changes(self._counts(base), replaced, winners.where(silver.IS_UPSERT))
+
+    def _counts(self, base: int) -> DataFrame:
+        """Counts of a full state, made by whoever needs them first."""
+        path = self.path("counts", f"through={base}")
+        if not self.exists("counts", f"through={base}", _WRITTEN):
+            gold.gold_counts(self._full_state(base)).repartition(1).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schemas.GOLD).parquet(path)
 
     def silver(self) -> DataFrame | None:
         rows = self.silver_rows(self.committed_through())
@@ -138,6 +166,7 @@ class TicketTables:
     def write_full_state(self, rows: DataFrame, through: int) -> None:
         """Full state after batch `through`; sorted inside each file, so key ranges can be skipped."""
         ordered = rows.select(*schemas.SILVER_STORE.fieldNames()).sortWithinPartitions(*silver.KEY)
+        self.remove("counts", f"through={through}")
         ordered.write.mode("overwrite").parquet(self.path("silver", f"through={through}"))
 
     def drop_older(self, table: str) -> int | None:
@@ -151,6 +180,8 @@ class TicketTables:
         for n in versions:
             if n not in kept:
                 self.remove(table, f"through={n}")
+                if table == "silver":
+                    self.remove("counts", f"through={n}")
         return kept[0] if len(kept) == 2 else None
 
     def write_log(self, kind: str, batch_id: int, error_message: str | None = None, **values: int | bool | None) -> None:

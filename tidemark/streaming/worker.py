@@ -103,14 +103,14 @@ class TicketWorker:
     # Between batches
 
     def refresh_gold(self) -> DataFrame | None:
-        """Counts Silver anew into Gold; None, and nothing written, while there is no Silver."""
+        """Brings Gold to the last batch; None, and nothing written, while there is no Silver."""
         through = self._through
         if through < 0 or through != self.tables.newest_written("gold", "through"):
-            rows = self.tables.silver_rows(through)
+            rows = self.tables.gold_rows(through)
             if rows is None:
                 return None
             path = self.tables.path("gold", f"through={through}")
-            gold.gold_counts(rows).repartition(1).write.mode("overwrite").parquet(path)
+            rows.repartition(1).write.mode("overwrite").parquet(path)
             self.tables.drop_older("gold")
             self.tables.write_log(health.GOLD_REFRESH, through, processed=0, failed=0, gold_recomputed=True)
         self._gold_through = through
