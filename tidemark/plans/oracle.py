@@ -129,6 +129,11 @@ batch AS (
   QUALIFY row_number() OVER (PARTITION BY id, source_db ORDER BY ts_ms DESC, "offset" DESC) = 1
 )"""
 
+_MERGED = f"""SELECT {_SILVER_COLUMNS} FROM target t
+WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE t.id = b.id AND t.source_db = b.source_db)
+UNION ALL
+SELECT {_SILVER_COLUMNS} FROM batch WHERE op <> 'd'"""
+
 _OUTCOMES = """,
 outcomes AS (
   SELECT c.batch_id, count(*) AS received, any_value(coalesce(w.processed, 0)) AS processed,
@@ -221,12 +226,7 @@ FROM decoded""",
     "source_db_default": _on_changes("SELECT source_db, count(*) AS events FROM changes GROUP BY source_db"),
     "latest_per_key": _on_silver(f"""SELECT batch_id, "offset", {_SILVER_COLUMNS} FROM winners"""),
     "silver_first_batch": _on_one_batch(f"SELECT {_SILVER_COLUMNS} FROM batch WHERE op <> 'd'"),
-    "silver_merge": _on_merge(
-        f"""SELECT {_SILVER_COLUMNS} FROM target t
-WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE t.id = b.id AND t.source_db = b.source_db)
-UNION ALL
-SELECT {_SILVER_COLUMNS} FROM batch WHERE op <> 'd'"""
-    ),
+    "silver_merge": _on_merge(_MERGED),
     "silver_merge_updates": _on_merge(
         f"SELECT {_SILVER_COLUMNS} FROM batch b WHERE op <> 'd' AND {_MATCHES_TARGET}"
     ),
@@ -240,6 +240,9 @@ WHERE EXISTS (SELECT 1 FROM batch b WHERE t.id = b.id AND t.source_db = b.source
     "silver_null_keys": _on_silver(f"SELECT {_SILVER_COLUMNS} FROM silver WHERE id IS NULL OR source_db IS NULL"),
     "silver_state": _on_silver(f"SELECT {_SILVER_COLUMNS} FROM silver"),
     "gold_counts": _on_gold("""SELECT source_db, status, "count" FROM gold"""),
+    "gold_refresh": _on_merge(
+        f"""SELECT source_db, status, count(*) AS "count" FROM ({_MERGED}) merged GROUP BY source_db, status"""
+    ),
     "gold_summary_map": _on_gold("""SELECT source_db, status, "count" FROM named"""),
     "gold_pivot": _on_gold(
         """SELECT status,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import timing
 from tidemark.operators import decode, gold, health, silver, throughput, tickets
 from tidemark.schemas import SILVER
-from tidemark.session import checkpointed, shared_folder
+from tidemark.session import shared_folder, stored_once
 from tidemark.sources.replay import REPLAY_START_MICROS, change_messages
 from tidemark.sources.streams import fan_in, on_topics
 from tidemark.streaming.tables import TicketTables
@@ -134,7 +134,7 @@ def silver_first_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def silver_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch is used twice, so its winners are kept, as the worker keeps them before merging."""
     target, winners = merge_sides(spark, sf_dir)
-    return silver.merge_changes(target, checkpointed(winners))
+    return silver.merge_changes(target, stored_once(winners))
 
 
 def silver_merge_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +153,13 @@ def silver_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state(spark, sf_dir).where("id IS NULL OR source_db IS NULL")
 
 
+def gold_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold after the merge, from the counts before it and the rows the merge takes out and puts in."""
+    target, winners = map(stored_once, merge_sides(spark, sf_dir))
+    added = winners.where(silver.IS_UPSERT)
+    return gold.gold_after_changes(gold.gold_counts(target), silver.replaced_rows(target, winners), added)
+
+
 def gold_summary_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = gold.gold_summary(gold_table(spark, sf_dir))
     return summary.select("source_db", F.explode("summary").alias("status", "count"))
@@ -171,7 +178,7 @@ def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = checkpointed(throughput.interval_counts(decoded(spark, sf_dir)))
+    counts = stored_once(throughput.interval_counts(decoded(spark, sf_dir)))
     return throughput.with_rate(throughput.fill_intervals(counts, per_chunk=60))
 
 
@@ -271,6 +278,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "silver_null_keys": silver_null_keys,
     "silver_state": state,
     "gold_counts": gold_table,
+    "gold_refresh": gold_refresh,
     "gold_summary_map": gold_summary_map,
     "gold_pivot": gold_pivot,
     "gold_dimensions": gold_dimensions,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,12 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """`rows`, computed once and kept in the shared folder, for small results that are used several times."""
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return rows.checkpoint()
+def stored_once(rows: DataFrame) -> DataFrame:
+    """`rows`, written to the shared folder and read back, for a result that is used several times."""
+    path = f"{shared_folder(rows.sparkSession)}/stored-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 MIB = 1 << 20
