@@ -178,7 +178,8 @@ def test_gold_views_leave_out_unnamed_groups(spark):
         (None, "Open", 1),
         ("b", None, 1),
     }
-    assert {r.source_db: r.summary for r in gold.gold_summary(table).collect()} == {"a": {"Open": 2}, "b": {"Closed": 1}}
+    summary = {r.source_db: r.summary for r in gold.gold_summary(table).collect()}
+    assert summary == {"a": {"Open": 2}, "b": {"Closed": 1}}
     for databases in (None, ["a", "b"]):
         pivoted = gold.gold_pivot(table, databases)
         assert sorted(map(tuple, pivoted.select("status", "a", "b").collect())) == [("Closed", 0, 1), ("Open", 2, 0)]

@@ -4,6 +4,7 @@ import os
 import re
 import time
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from cases import envelope
@@ -177,6 +178,9 @@ def test_rewrite_waits_for_enough_changes(spark, feed, tmp_path):
     assert not worker.rewrite_silver_if_due()
     worker.refresh_gold()
     check_tables(feed, worker.tables)
+    worker.options = replace(worker.options, max_pending_batches=2)
+    assert worker.rewrite_silver_if_due()
+    check_tables(feed, worker.tables)
 
 
 def test_rebuild_from_bronze(spark, feed, tmp_path):

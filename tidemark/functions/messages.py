@@ -18,8 +18,12 @@ def is_json_object(text: Column) -> Column:
     return F.coalesce(F.is_valid_utf8(text) & in_braces & (as_element == 1), F.lit(False))
 
 
+# Fixed value: stands in for a topic that has no name.
+UNKNOWN_TOPIC = "unknown_topic"
+
+
 def topic_or_unknown(topic: Column) -> Column:
-    return F.when(topic != "", topic).otherwise("unknown_topic")
+    return F.when(topic != "", topic).otherwise(UNKNOWN_TOPIC)
 
 
 def wrap_event(topic: Column, partition: Column, offset: Column, text: Column) -> Column:

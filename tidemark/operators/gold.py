@@ -47,5 +47,5 @@ def gold_pivot(gold: DataFrame, databases: Sequence[str] | None = None) -> DataF
 
 def gold_dimensions(gold: DataFrame) -> DataFrame:
     """The distinct databases and statuses of Gold, in one pass."""
-    entries = F.array(*(F.struct(F.lit(name).alias("dimension"), F.col(name).alias("value")) for name in ("source_db", "status")))
-    return named_groups(gold).select(F.inline(entries)).distinct()
+    entries = (F.struct(F.lit(name).alias("dimension"), F.col(name).alias("value")) for name in ("source_db", "status"))
+    return named_groups(gold).select(F.inline(F.array(*entries))).distinct()

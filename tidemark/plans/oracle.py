@@ -17,7 +17,8 @@ parts AS (
   SELECT *,
     'db_' || server AS db,
     CASE form WHEN 53 THEN 'Users' WHEN 59 THEN 'ClosedTickets' ELSE 'Tickets' END AS tab,
-    CASE WHEN form = 5 THEN 'r' WHEN form = 61 THEN 't' WHEN n % 11 = 0 THEN 'd' WHEN n % 3 = 0 THEN 'c' ELSE 'u' END AS op,
+    CASE WHEN form = 5 THEN 'r' WHEN form = 61 THEN 't'
+      WHEN n % 11 = 0 THEN 'd' WHEN n % 3 = 0 THEN 'c' ELSE 'u' END AS op,
     CASE form WHEN 71 THEN ',"ts_ms":"5"' WHEN 73 THEN '' WHEN 17 THEN ',"ts_ms":1.0'
       ELSE ',"ts_ms":' || CAST(n * 7919 % 100 AS VARCHAR) END AS ts_part,
     CASE form WHEN 23 THEN '{}' WHEN 67 THEN 'null' ELSE CAST(to_json(struct_pack(
@@ -204,7 +205,9 @@ ORACLE_SQL: dict[str, str] = {
     "feed_union": _query(
         _FEED,
         """SELECT topic, "partition", count(*) AS messages, min("offset") AS first_offset, max("offset") AS last_offset
-FROM feed WHERE topic LIKE 'tickets!_server!_1.%' ESCAPE '!' OR topic LIKE 'tickets!_server!_2.%' ESCAPE '!' GROUP BY ALL""",
+FROM feed
+WHERE topic LIKE 'tickets!_server!_1.%' ESCAPE '!' OR topic LIKE 'tickets!_server!_2.%' ESCAPE '!'
+GROUP BY ALL""",
     ),
     "capture_table_filter": _query(
         _FEED, """SELECT "offset", source_table FROM feed WHERE regexp_full_match(source_table, '.*Tickets$')"""
@@ -267,7 +270,8 @@ FROM points"""
 FROM points"""
     ),
     "throughput_last60": _on_points(
-        f"""SELECT {_START_TEXT}, strftime(points.interval_start, '%H:%M:%S') AS "time", events_in_interval AS events_per_sec
+        f"""SELECT {_START_TEXT}, strftime(points.interval_start, '%H:%M:%S') AS "time",
+  events_in_interval AS events_per_sec
 FROM points ORDER BY points.interval_start DESC LIMIT 60"""
     ),
     "stream_silver": _on_one_batch(f"SELECT {_SILVER_COLUMNS} FROM batch WHERE op <> 'd'"),

@@ -137,10 +137,10 @@ class TicketTables:
             rows = self.silver_rows(through)
             return None if rows is None else gold.gold_counts(rows)
         pending = self.changes_between(base, through)
-        size = pending.agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first"), F.max("id").alias("last")).first()
+        rows, first, last = pending.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
         winners = silver.last_change(pending)
-        near = self._full_state(base).where(F.col("id").between(F.lit(size["first"]), F.lit(size["last"])))
-        replaced = silver.replaced_rows(near, winners, broadcast_keys=size["rows"] <= BROADCAST_ROWS)
+        near = self._full_state(base).where(F.col("id").between(F.lit(first), F.lit(last)))
+        replaced = silver.replaced_rows(near, winners, broadcast_keys=rows <= BROADCAST_ROWS)
         return gold.gold_after_changes(self._counts(base), replaced, winners.where(silver.IS_UPSERT))
 
     def _counts(self, base: int) -> DataFrame:
@@ -184,7 +184,9 @@ class TicketTables:
                     self.remove("counts", f"through={n}")
         return kept[0] if len(kept) == 2 else None
 
-    def write_log(self, kind: str, batch_id: int, error_message: str | None = None, **values: int | bool | None) -> None:
+    def write_log(
+        self, kind: str, batch_id: int, error_message: str | None = None, **values: int | bool | None
+    ) -> None:
         """One row, by overwrite for what can be repeated and by append for a failure, of which there may be more."""
         row = {"success": error_message is None, "error_message": error_message, "gold_recomputed": False, **values}
         columns = [

@@ -10,6 +10,7 @@ import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import envelope
@@ -20,16 +21,21 @@ from tidemark.streaming.tables import TicketTables
 
 logger = logging.getLogger(__name__)
 
+# The steps an error message names.
+BRONZE_STEP, SILVER_STEP, GOLD_STEP = "Bronze write", "Silver merge", "Gold aggregation"
+
 
 @dataclass(frozen=True)
 class WorkerOptions:
     """`gold_refresh_sec` is a fixed value; the others decide when the full Silver state is rewritten.
 
-    With a share of 0.2 a byte of Silver is rewritten at most about five times as often as it changes.
+    It is rewritten once the pending changes have grown to `pending_share` of its size, so a byte of it is
+    written about five times for a byte changed; or once there are so many folders that reading them takes longer.
     """
 
     gold_refresh_sec: float = 10.0
     min_pending_batches: int = 100
+    max_pending_batches: int = 2_000
     pending_share: float = 0.2
 
 
@@ -52,10 +58,10 @@ class TicketWorker:
         """
         if batch_id < self._through:
             raise ValueError(f"batch {batch_id} is older than batch {self._through} of {self.tables.root}")
-        step = "Bronze write"
+        step = BRONZE_STEP
         try:
             self._write_bronze(messages, batch_id)
-            step = "Silver merge"
+            step = SILVER_STEP
             counts = self._write_changes(batch_id)
             self.tables.write_log(health.BATCH, batch_id, **counts)
         except Exception as error:
@@ -81,12 +87,15 @@ class TicketWorker:
         ordered = winners.sortWithinPartitions("batch_id", *silver.KEY)
         stored = ordered.select(*(name for name in SILVER_STORE.fieldNames() if name != "batch_id"))
         stored.write.mode("overwrite").parquet(self.tables.batch_path("changes", batch_id))
-        outcomes = {row["outcome"]: row["count"] for row in events.groupBy("outcome").count().collect()}
+        processed = self.tables.changes_batch(batch_id).select(F.lit("processed").alias("outcome"))
+        counted = events.select("outcome").unionByName(processed).groupBy("outcome").count()
+        counts = {row["outcome"]: row["count"] for row in counted.collect()}
+        by_outcome = {outcome: counts.get(outcome, 0) for outcome in (envelope.OK, envelope.FAILED, envelope.IGNORED)}
         return {
-            "received": sum(outcomes.values()),
-            "processed": self.tables.changes_batch(batch_id).count(),
-            "failed": outcomes.get(envelope.FAILED, 0),
-            "ignored": outcomes.get(envelope.IGNORED, 0),
+            "received": sum(by_outcome.values()),
+            "processed": counts.get("processed", 0),
+            "failed": by_outcome[envelope.FAILED],
+            "ignored": by_outcome[envelope.IGNORED],
         }
 
     def _log_failure(self, batch_id: int, message: str) -> None:
@@ -123,7 +132,7 @@ class TicketWorker:
         pending = [n for n in self.tables.numbered("changes", "batch_id") if base < n <= through]
         if len(pending) < max(self.options.min_pending_batches, 1):
             return False
-        if base >= 0:
+        if base >= 0 and len(pending) < self.options.max_pending_batches:
             pending_bytes = sum(self.tables.size_of("changes", f"batch_id={n}") for n in pending)
             if pending_bytes < self.options.pending_share * self.tables.size_of("silver", f"through={base}"):
                 return False
@@ -179,7 +188,7 @@ class TicketWorker:
         try:
             self.refresh_gold()
         except Exception as error:
-            self._log_failure(through, f"Gold aggregation failed: {error}")
+            self._log_failure(through, f"{GOLD_STEP} failed: {error}")
             raise
         self.rewrite_silver_if_due()
 
