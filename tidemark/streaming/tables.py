@@ -96,8 +96,8 @@ class TicketTables:
         return self._read(schemas.SILVER_STORE, "changes", self.batch_path("changes", batch_id))
 
     def changes_between(self, after: int, through: int) -> DataFrame:
-        ids = [n for n in self.numbered("changes", "batch_id") if after < n <= through]
-        return self._read(schemas.SILVER_STORE, "changes", *(self.batch_path("changes", n) for n in ids))
+        folders = (self.batch_path("changes", n) for n in self.pending_batches(after, through))
+        return self._read(schemas.SILVER_STORE, "changes", *folders)
 
     def log(self) -> DataFrame:
         return self._read(schemas.BATCH_LOG, "log", *([self.path("log")] if self.exists("log") else []))
@@ -110,6 +110,15 @@ class TicketTables:
         """Batch of the newest full state not after `through`, -1 if there is none."""
         return self.newest_written("silver", "through", at_most=through)
 
+    def pending_batches(self, base: int, through: int) -> list[int]:
+        """Batches whose changes the full state `base` does not hold yet."""
+        return [n for n in self.numbered("changes", "batch_id") if base < n <= through]
+
+    def state_sizes(self, base: int, through: int) -> tuple[int, int]:
+        """Bytes of the full state `base`, 0 if there is none, and of the changes after it."""
+        state_bytes = self.size_of("silver", f"through={base}") if base >= 0 else 0
+        return state_bytes, sum(self.size_of("changes", f"batch_id={n}") for n in self.pending_batches(base, through))
+
     def _full_state(self, base: int) -> DataFrame:
         # The folder is read as a table of its own: its number is not a column.
         return self.spark.read.schema(schemas.SILVER_STORE).parquet(self.path("silver", f"through={base}"))

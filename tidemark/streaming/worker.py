@@ -129,12 +129,12 @@ class TicketWorker:
         """Writes a new full state once the pending changes are many, and large beside the last one."""
         through = self._through
         base = self.tables.full_state_through(through)
-        pending = [n for n in self.tables.numbered("changes", "batch_id") if base < n <= through]
+        pending = self.tables.pending_batches(base, through)
         if len(pending) < max(self.options.min_pending_batches, 1):
             return False
-        if base >= 0 and len(pending) < self.options.max_pending_batches:
-            pending_bytes = sum(self.tables.size_of("changes", f"batch_id={n}") for n in pending)
-            if pending_bytes < self.options.pending_share * self.tables.size_of("silver", f"through={base}"):
+        if len(pending) < self.options.max_pending_batches:
+            state_bytes, pending_bytes = self.tables.state_sizes(base, through)
+            if pending_bytes < self.options.pending_share * state_bytes:
                 return False
         return self.rewrite_silver()
 
@@ -143,8 +143,8 @@ class TicketWorker:
         base = self.tables.full_state_through(through)
         if base == through:
             return False
-        state_bytes = self.tables.size_of("silver", f"through={base}") if base >= 0 else 0
-        tables = TicketTables(session_for(self.spark, state_bytes), self.tables.root)
+        session = session_for(self.spark, sum(self.tables.state_sizes(base, through)))
+        tables = TicketTables(session, self.tables.root)
         rows = tables.silver_rows(through)
         if rows is None:
             return False
