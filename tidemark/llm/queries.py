@@ -9,7 +9,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, licences, line_templates, mixing, quality, token_files, url_filter
+from tidemark.llm import (
+    decontaminate,
+    jaccard,
+    language,
+    licences,
+    line_templates,
+    mixing,
+    quality,
+    token_files,
+    url_filter,
+)
 from tidemark.session import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +35,10 @@ def row_key() -> Column:
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of the documents such that each source has a share by the root of its size."""
     docs = _table(spark, sf_dir, "documents")
@@ -77,6 +91,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mix_sources": op2_mix_sources,
     "op3_licence_scan": op3_licence_scan,
     "op4_line_dedup": op4_line_dedup,
