@@ -17,6 +17,7 @@ from tidemark.llm import (
     line_templates,
     mixing,
     quality,
+    repeats,
     token_files,
     url_filter,
 )
@@ -58,6 +59,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents' ids written to a new file set, and what reading it back gives."""
     folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licence_scan": op3_licence_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_repeated_bytes": op6_repeated_bytes,
     "op7_token_ids": op7_token_ids,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
@@ -43,3 +46,41 @@ def cut(frame: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def frees_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Has the queries made within drop their shuffle files when they end; a lost one is computed again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+@dataclass
+class Stored:
+    """A table in the shared folder, until it is removed."""
+
+    frame: DataFrame
+    path: str
+
+    def remove(self) -> None:
+        spark = self.frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(frame: DataFrame) -> Stored:
+    """`frame` as compressed Parquet in the shared folder; for what is too large for a checkpoint."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return Stored(spark.read.schema(frame.schema).parquet(path), path)
