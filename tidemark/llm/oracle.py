@@ -1,3 +1,80 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
-ORACLE_SQL: dict[str, str] = {}
+_MIX = """
+WITH RECURSIVE counts AS (
+  SELECT source, CAST(count(*) AS DOUBLE) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source
+),
+rates AS (
+  SELECT source, weight / (SELECT sum(weight) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts
+),
+terms(source, rate, k, log_term, total) AS (
+  SELECT source, rate, CAST(0 AS BIGINT), -rate, exp(-rate) FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, log_term + ln(rate) - ln(k + 1), total + exp(log_term + ln(rate) - ln(k + 1))
+  FROM terms WHERE k < CAST(ceil(rate + 12 * sqrt(rate)) AS BIGINT) + 30
+),
+cdfs AS (SELECT source, list(total ORDER BY k) AS cdf FROM terms GROUP BY source),
+draws AS (
+  SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') AS name,
+    CAST('0x' || substr(md5('20240:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM documents
+),
+counted AS (
+  SELECT draws.*, len(list_filter(cdf, lambda c: c < u)) AS copies
+  FROM draws JOIN cdfs ON draws.source IS NOT DISTINCT FROM cdfs.source
+),
+copied AS (SELECT *, unnest(range(0, copies)) AS copy FROM counted)
+SELECT doc_id, text, lang, source, n_chars, copy, md5('20240:' || name || ':' || copy) AS mix_key FROM copied
+"""
+
+_LINES = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, text,
+    coalesce('=' || doc_id, '') || ':' || md5(coalesce(text, '')) AS k, string_split(text, chr(10)) AS parts
+  FROM documents
+),
+numbered AS (SELECT rid, k, parts, unnest(range(0, len(parts))) AS line_no FROM docs),
+plain AS (
+  SELECT rid, k, line_no, trim(regexp_replace(parts[line_no + 1], '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain,
+    parts[line_no + 1] AS line
+  FROM numbered
+),
+masked AS (
+  SELECT *, string_split(masked, ' ') AS tokens FROM (
+    SELECT *, regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM plain WHERE plain <> ''
+  )
+),
+placed AS (SELECT *, len(tokens) || ':' || array_to_string(tokens[1:3], ' ') AS leaf FROM masked),
+leaves AS (SELECT leaf FROM placed GROUP BY leaf HAVING count(DISTINCT k) >= 10),
+within AS (SELECT placed.* FROM placed JOIN leaves USING (leaf)),
+exploded AS (SELECT rid, k, line_no, leaf, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS place FROM within),
+counts AS (SELECT leaf, place, token, count(*) AS n FROM exploded GROUP BY leaf, place, token),
+tops AS (
+  SELECT leaf, place, token, n, sum(n) OVER (PARTITION BY leaf, place) AS total,
+    row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) AS rank
+  FROM counts
+),
+constants AS (SELECT leaf, place, token FROM tops WHERE rank = 1 AND n >= 0.5 * total AND token <> '<*>'),
+likeness AS (
+  SELECT e.rid, e.line_no, count(c.token) / count(*) AS share
+  FROM exploded e LEFT JOIN constants c ON e.leaf = c.leaf AND e.place = c.place AND e.token = c.token
+  GROUP BY e.rid, e.line_no
+),
+judged AS (
+  SELECT w.rid, w.k, w.line_no, CASE WHEN share >= 0.6 THEN 'leaf:' || w.leaf ELSE 'line:' || w.masked END AS template
+  FROM within w JOIN likeness USING (rid, line_no)
+),
+recurring AS (SELECT template FROM judged GROUP BY template HAVING count(DISTINCT k) >= 10),
+dropped AS (SELECT rid, line_no FROM judged JOIN recurring USING (template)),
+kept AS (
+  SELECT p.rid, string_agg(p.line, chr(10) ORDER BY p.line_no) FILTER (d.rid IS NULL) AS text,
+    count(*) FILTER (p.plain <> '') AS n_lines, count(d.rid) AS n_dropped
+  FROM plain p LEFT JOIN dropped d ON p.rid = d.rid AND p.line_no = d.line_no
+  GROUP BY p.rid
+)
+SELECT docs.doc_id, CASE WHEN docs.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _MIX, "op4_line_dedup": _LINES}
