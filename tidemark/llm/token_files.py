@@ -34,50 +34,114 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.scratch import map_arrow
+from tidemark.llm.words import byte_table, slices, split_words
 
 END_ID = 2
 #: Sample for the dictionary: documents, and bytes of each that are used to train it.
 DICTIONARY_DOCS, DICTIONARY_DOC_BYTES, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
 BLOCK_BYTES = 1 << 20
-#: Encoded chunks that a worker remembers.
-CACHED_CHUNKS = 150_000
+#: Chunks whose ids a worker remembers.
+REMEMBERED_CHUNKS = 1_000_000
+CHUNK_BYTES = byte_table(" \n")
+WORD_END = "</w>"
+#: What stays a token of its own behind a word.
+POINTS = (".", ",", ";", ":", "!", "?")
 
 
-class Encoder(dict):
-    """Id arrays of chunks between blanks and line ends, as bytes.
+class Encoder:
+    """Encodes whole columns by looking up the id arrays of chunks between blanks and line ends.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so chunks can be
-    encoded alone; each is encoded once while it is remembered.
+    encoded alone; each is encoded once while its 64-bit hash is remembered. Every run of letters ends with
+    a token that ends a word, so new chunks of letters alone are encoded together and parted at those
+    tokens, and so are those with a point behind.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        new = list({c for c in chunks if c not in self})
-        if len(self) + len(new) > CACHED_CHUNKS:
-            self.clear()
-            new = list(set(chunks))
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[chunk] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, chunks))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # sorted hashes of chunks, where their ids are in flat, and how many
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _put(self, ids: np.ndarray) -> int:
+        first, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[first : self.used] = ids
+        return first
+
+    def _one_by_one(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        size = np.array([len(ids) for ids in found], np.int64)
+        first = self._put(np.array([i for ids in found for i in ids], np.uint32))
+        return first + np.cumsum(size) - size, size
+
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that are runs of letters, or these with a point behind, which is a token of its own."""
+        text = " ".join(chunks)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        words = np.array([1 + (c[-1] in POINTS) for c in chunks], np.int64)
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != words.sum() or last[-1] != len(ids):
+            return self._one_by_one(chunks)
+        last = last[np.cumsum(words) - 1]
+        first = np.concatenate([[0], last[:-1]])
+        return self._put(ids) + first, last - first
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        """Adds sorted hashes, with their chunks."""
+        first, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        plain = np.array([c.isalpha() or (c[-1] in POINTS and c[:-1].isalpha()) for c in chunks])
+        for rows, encode in ((np.flatnonzero(~plain), self._one_by_one), (np.flatnonzero(plain), self._together)):
+            for low in range(0, len(rows), 1000):
+                part = rows[low : low + 1000]
+                first[part], size[part] = encode([chunks[i] for i in part])
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.first, self.size = np.insert(self.first, at, first), np.insert(self.size, at, size)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in slices(texts):
+            words = split_words(data, offsets, CHUNK_BYTES)
+            hashes, where, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            new = np.ones(len(hashes), bool)
+            if len(self.known):
+                new = self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] != hashes
+            if len(self.known) and len(self.known) + new.sum() > REMEMBERED_CHUNKS:
+                self.forget()
+                new[:] = True
+            if new.any():
+                content, at = data.tobytes(), where[new]
+                places = zip(words.start[at].tolist(), words.end[at].tolist())
+                self._learn(hashes[new], [content[a:b].decode() for a, b in places])
+            at = np.searchsorted(self.known, hashes)[which]
+            first, size = self.first[at], self.size[at]
+            before = np.concatenate([[0], np.cumsum(size)])
+            ids = self.flat[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
+            ends = before[words.first]
+            for low, high in zip(ends[:-1], ends[1:]):
+                yield ids[low:high]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def id_bytes(path: str, texts: pa.Array, end_id: int) -> Iterator[bytes]:
+    """The id array of each text, with the end id, as bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
-def id_bytes(path: str, text: str | None, end_id: int) -> bytes:
-    return encoder(path).encode(text or "") + np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4").tobytes()
+    for ids in _encoders[path].encode(texts):
+        yield ids.astype("<u4", copy=False).tobytes() + end
 
 
 def train_dictionary(plain: DataFrame, path: str, end_id: int) -> bytes:
@@ -85,7 +149,7 @@ def train_dictionary(plain: DataFrame, path: str, end_id: int) -> bytes:
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [id_bytes(path, t.as_py(), end_id)[:DICTIONARY_DOC_BYTES] for t in batch.column("text")]
+            ids = [found[:DICTIONARY_DOC_BYTES] for found in id_bytes(path, batch.column("text"), end_id)]
             yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
 
     order = [F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.xxhash64("text")]
@@ -150,8 +214,7 @@ def write_ids(
 
         for batch in batches:
             kind = batch.column("id").type
-            for key, text in zip(batch.column("id"), batch.column("text")):
-                array = id_bytes(tokenizer_path, text.as_py(), end_id)
+            for key, array in zip(batch.column("id"), id_bytes(tokenizer_path, batch.column("text"), end_id)):
                 data += frames.compress(array)
                 ids.append(key.as_py())
                 counts.append(len(array) // 4)

@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 
 
-def _table(separators: str) -> np.ndarray:
+def byte_table(separators: str) -> np.ndarray:
+    """Which bytes belong to a word, by the ASCII characters that do not."""
     table = np.ones(256, bool)
     table[[ord(c) for c in separators]] = False
     return table
@@ -24,8 +25,8 @@ def _table(separators: str) -> np.ndarray:
 
 WHITE = " " + "".join(map(chr, range(0x09, 0x0E)))
 #: Bytes of a word: all but white space; or ASCII letters, digits and everything outside ASCII.
-NOT_WHITE = _table(WHITE)
-ALPHANUMERIC = _table("".join(chr(c) for c in range(128) if not chr(c).isalnum()))
+NOT_WHITE = byte_table(WHITE)
+ALPHANUMERIC = byte_table("".join(chr(c) for c in range(128) if not chr(c).isalnum()))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
