@@ -4,7 +4,8 @@ Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; pat
 the end. A rule (host, path) fits its host and all subdomains if the path starts with the rule's; the
 longest wins, of equally long ones the first by name. The rules label the URLs they decide, and trees
 learn from these by lexical features alone: lengths, depth, digit ratios, entropy, parameter counts,
-and statistics of the host's last label and last two labels, taken over all labelled URLs.
+and statistics of the host's suffixes (last label, last two) and of the path's first part, taken over
+all labelled URLs.
 
 Defined results: a null URL or one without `://` has empty host and path and no rule; the trees judge
 it like any other; with labels of one kind only, or none, they give that kind, or allow; repeated
@@ -14,8 +15,9 @@ pages are judged one by one; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,7 @@ MIN_SUFFIX_URLS, MAX_SUFFIXES = 20, 10_000
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "host_labels", "url_digits", "host_digits", "path_digits",
     "entropy", "parameters", "query_length", "hyphens", "has_fragment", "is_https", "suffix_share", "domain_share",
+    "head_share",
 )
 
 
@@ -84,12 +87,13 @@ def entropy(text: str) -> Column:
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """Adds the host's last label and last two, and the features that one URL gives."""
+    """Adds suffix, domain and head (the path's first part), and the features that one URL gives."""
     query = F.regexp_extract("url", r"\?([^#]*)", 1)
     named = urls.withColumns(
         {
             "suffix": F.substring_index("host", ".", -1),
             "domain": F.substring_index("host", ".", -2),
+            "head": F.substring_index(F.substring("path", 2, 1 << 20), "/", 1),
             "url_length": F.length("url"),
             "host_length": F.length("host"),
             "path_length": F.length("path"),
@@ -116,6 +120,40 @@ def suffix_shares(labelled: DataFrame, column: str) -> DataFrame:
     return top.select(column, F.col("share").alias(f"{column}_share"))
 
 
+@dataclass
+class Trees:
+    """Grown trees with the suffix statistics they use; or, without trees, the one probability there is."""
+
+    model: GBTClassificationModel | None
+    shares: dict[str, DataFrame]
+    constant: float = 0.0
+
+    def features(self, urls: DataFrame) -> DataFrame:
+        for name, table in self.shares.items():
+            urls = urls.join(F.broadcast(table), name, "left").fillna(-1.0, [f"{name}_share"])
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(urls)
+
+    def score(self, urls: DataFrame) -> DataFrame:
+        """Adds block_score to lexical() URLs."""
+        if self.model is None:
+            return urls.withColumn("block_score", F.lit(self.constant))
+        scored = self.model.transform(self.features(urls))
+        return scored.withColumn("block_score", vector_to_array("probability")[1])
+
+
+def train(labelled: DataFrame) -> Trees:
+    """Trees from lexical() URLs with `ruled`."""
+    labelled = labelled.withColumn("label", (F.col("ruled") == "block").cast("double"))
+    kinds = [row.label for row in labelled.groupBy("label").count().collect()]
+    if len(kinds) < 2:
+        return Trees(None, {}, kinds[0] if kinds else 0.0)
+    trees = Trees(None, {name: suffix_shares(labelled, name) for name in ("suffix", "domain", "head")})
+    sample = trees.features(labelled.orderBy(F.xxhash64("url"), "id").limit(TRAINING_URLS))
+    grower = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32)
+    trees.model = grower.fit(sample.select("label", "features"))
+    return trees
+
+
 def judge(
     pages: DataFrame,
     id_column: str = "page_id",
@@ -124,24 +162,6 @@ def judge(
 ) -> DataFrame:
     """Per row of `pages`: id, host, path, rule, verdict, and block_score, the trees' probability of block."""
     urls = lexical(decided(split_urls(pages, id_column, url_column), rules))
-    labelled = urls.where("ruled IS NOT NULL").withColumn("label", (F.col("ruled") == "block").cast("double"))
-    kinds = [row.label for row in labelled.groupBy("label").count().collect()]
-    if len(kinds) < 2:
-        block = F.lit(kinds[0] if kinds else 0.0)
-        scored = urls.withColumn("block_score", block)
-    else:
-        shares = {name: suffix_shares(labelled, name) for name in ("suffix", "domain")}
-
-        def full(rows: DataFrame) -> DataFrame:
-            for name, table in shares.items():
-                rows = rows.join(F.broadcast(table), name, "left").fillna(-1.0, [f"{name}_share"])
-            return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-
-        sample = full(labelled).orderBy(F.xxhash64("url"), "id").limit(TRAINING_URLS).select("label", "features")
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32)
-        scored = trees.fit(sample).transform(full(urls))
-        scored = scored.withColumn("block_score", vector_to_array("probability")[1])
+    scored = train(urls.where("ruled IS NOT NULL")).score(urls)
     verdict = F.coalesce("ruled", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
-    return scored.select(
-        F.col("id").alias(id_column), "host", "path", "rule", verdict.alias("verdict"), "block_score"
-    )
+    return scored.select(F.col("id").alias(id_column), "host", "path", "rule", verdict.alias("verdict"), "block_score")
