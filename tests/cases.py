@@ -29,6 +29,9 @@ SKIPPED = {
     "two elements": b'{"a":1},{"b":2}',
     "trailing text": b'{"a":1} x',
     "trailing brace": b'{"a":1}}',
+    "closed array": b'{"a":1}] junk }',
+    "closed array of two": b'{"a":1},0] junk }',
+    "closed array of three": b'{"a":1},0,0] junk }',
     "trailing bracket": b'{"a":1}]',
     "byte order mark": b'\xef\xbb\xbf{"a":1}',
     "single quotes": b"{'a':1}",

@@ -16,6 +16,10 @@ EAGER = {  # run while they are built
     "stream_silver",
     "stream_gold",
     "stream_batch_log",
+    "stream_throughput",
+    "rebuild_gold",
+    "worker_metrics",
+    "worker_status",
 }
 
 
@@ -74,8 +78,8 @@ def test_gold_reads_two_columns_of_silver(stored):
 
 def test_gold_of_a_merge_reads_no_more_than_it_needs(stored):
     merged = silver.merge_changes(stored, stored.where("batch_id > 5"), broadcast_keys=True)
-    target, keys, added = scans(gold.gold_counts(merged))
-    assert target == {"id", "source_db", "status"}
+    target, keys, without_key, added = scans(gold.gold_counts(merged))
+    assert target == without_key == {"id", "source_db", "status"}
     assert keys <= {"id", "source_db", "batch_id"}
     assert added == {"op", "source_db", "status", "batch_id"}
 
@@ -104,6 +108,19 @@ def test_no_nested_loops_and_no_python(spark, name):
         assert step not in text
 
 
+@pytest.mark.parametrize("name", ["topic_subscription", "feed_union", "capture_table_filter"])
+def test_feed_without_text_reads_no_text(spark, name):
+    read = scans(QUERIES[name](spark, SF_DIR))
+    assert len(read) == 1 and "props" not in read[0]
+
+
+def test_rows_without_key_are_not_joined(stored):
+    text = plan(silver.merge_changes(stored, stored.where("batch_id > 5"), broadcast_keys=True))
+    assert text.count("Join") - text.count("JoinKey") >= 1
+    assert re.search(r"isnull\(id#\d+L\) OR isnull\(source_db#\d+\)", text)
+    assert re.search(r"PushedFilters: \[[^]]*IsNotNull\(id\)", text)
+
+
 def test_first_filter_reaches_the_scan(spark):
     text = plan(QUERIES["silver_merge_inserts"](spark, SF_DIR))
     assert re.search(r"PushedFilters: \[[^]]*LessThan\(ts,", text)
@@ -114,8 +131,8 @@ def test_job_sizes_grow_and_stop():
     small, large, huge = (job_sizes(n) for n in (1 << 20, 10 << 40, 10 << 50))
     partitions, split = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes"
     assert (small[partitions], small[split]) == ("200", str(128 << 20))
-    assert int(large[partitions]) == 20_000 and int(large[split]) > 128 << 20
-    assert huge[partitions] == "20000" and (10 << 50) // int(huge[split]) <= 50_001
+    assert int(large[partitions]) == 20_480 and int(large[split]) > 128 << 20
+    assert huge[partitions] == "200000" and (10 << 50) // int(huge[split]) <= 50_001
 
 
 def test_one_hot_key_leaves_one_row_per_task(spark):

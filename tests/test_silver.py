@@ -183,3 +183,12 @@ def test_gold_views_leave_out_unnamed_groups(spark):
     for databases in (None, ["a", "b"]):
         pivoted = gold.gold_pivot(table, databases)
         assert sorted(map(tuple, pivoted.select("status", "a", "b").collect())) == [("Closed", 0, 1), ("Open", 2, 0)]
+
+
+def test_pivot_has_every_database(spark):
+    rows = [("db_1", "Open", 2), ("elsewhere", "Open", 3), ("elsewhere", "Done", 1), (None, "Open", 9)]
+    table = spark.createDataFrame(rows, "source_db string, status string, count bigint")
+    found = {tuple(sorted(row.asDict().items())) for row in gold.gold_pivot(table).collect()}
+    assert found == {
+        (("db_1", 2), ("elsewhere", 3), ("status", "Open")), (("db_1", 0), ("elsewhere", 1), ("status", "Done"))
+    }

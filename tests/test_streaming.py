@@ -1,6 +1,7 @@
 """The streaming jobs on files: same result as the batch queries, also after a crash and a replay."""
 
 import os
+import shutil
 import re
 import time
 from collections import Counter
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import gold, silver, throughput, tickets
 from tidemark.operators.decode import bronze_rows, decode_messages
 from tidemark.plans.queries import read_events
-from tidemark.plans.rebuild import rebuild_silver
+from tidemark.plans.rebuild import rebuild
 from tidemark.schemas import GOLD, MESSAGE, SILVER, SILVER_STORE
 from tidemark.sources.replay import change_messages
 from tidemark.sources.streams import BrokerOptions, broker_messages, file_messages
@@ -185,16 +186,41 @@ def test_rewrite_waits_for_enough_changes(spark, feed, tmp_path):
 
 def test_rebuild_from_bronze(spark, feed, tmp_path):
     worker = TicketWorker(spark, str(tmp_path / "lake"))
-    assert rebuild_silver(worker.tables) == -1
+    assert rebuild(worker.tables) == -1
     for batch_id in range(BATCHES):
         worker.apply_batch(feed.where(F.col("batch_id") == batch_id), batch_id)
     merged = rows_of(worker.tables.silver())
     for parse_again in (False, True):
-        assert rebuild_silver(worker.tables, parse_again) == BATCHES - 1
+        assert rebuild(worker.tables, parse_again) == BATCHES - 1
         assert worker.tables.numbered("silver", "through") == [BATCHES - 1]
         assert rows_of(worker.tables.silver()) == merged
 
 
+def test_gold_follows_a_rebuild(spark, feed, tmp_path):
+    """A Silver read by an older parser, and its Gold, are replaced by what the text says."""
+    worker = TicketWorker(spark, str(tmp_path / "lake"))
+    worker.apply_batch(feed.where("batch_id = 0"), 0)
+    right = rows_of(worker.refresh_gold())
+    path = str(tmp_path / "lake" / "bronze" / "batch_id=0")
+    misread = worker.tables.bronze_batch(0).withColumn("status", F.lit("misread")).drop("batch_id").collect()
+    schema = worker.tables.bronze_batch(0).drop("batch_id").schema
+    spark.createDataFrame(misread, schema).write.mode("overwrite").parquet(path)
+    assert rebuild(worker.tables) == 0
+    assert {row[1] for row in rows_of(worker.tables.gold())} == {"misread"}
+    assert rebuild(worker.tables, parse_again=True) == 0
+    assert rows_of(worker.tables.gold()) == right == rows_of(gold.gold_counts(worker.tables.silver()))
+
+
+def test_a_failing_rewrite_is_logged(spark, feed, tmp_path, monkeypatch):
+    worker = TicketWorker(spark, str(tmp_path / "lake"))
+    worker.apply_batch(feed.where("batch_id = 0"), 0)
+    monkeypatch.setattr(worker, "rewrite_silver_if_due", lambda: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        worker._after_batches()
+    log = worker.tables.log().where("kind = 'failure'").collect()
+    assert [row.error_message.split(":")[0] for row in log] == ["Silver rewrite failed"]
+
+
 def test_no_silver_before_the_first_upsert(spark, tmp_path):
     worker = TicketWorker(spark, str(tmp_path / "lake"))
     assert worker.refresh_gold() is None and worker.tables.silver() is None and gold_report(worker.tables) is None
@@ -253,22 +279,34 @@ def test_gold_follows_while_the_stream_runs(spark, feed, landed, tmp_path, monke
     check_tables(feed, worker.tables)
 
 
-def test_monitor_counts_and_raw_feed(spark, feed, tmp_path):
+def test_monitor_counts_every_message(spark, feed, tmp_path):
     landed, root = str(tmp_path / "landed"), str(tmp_path / "monitor")
-    land(feed, landed, age=10)
-    # A message far ahead moves the watermark past all others.
-    late = message(spark, "{}").withColumn("timestamp", F.lit("2024-02-01 00:00:00").cast("timestamp"))
-    land(late, landed, age=5)
+    # Days ahead of all others, which come later, in batches whose time stamps run backwards.
+    early = message(spark, "{}").withColumn("timestamp", F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    land(early, landed, age=1000)
+    for n, batch_id in enumerate(reversed(range(BATCHES))):
+        land(feed.where(F.col("batch_id") == batch_id), landed, age=100 - n)
     for start in (monitor.start_throughput, monitor.start_raw_feed):
         start(file_messages(spark, landed, files_per_batch=1), root, available_now=True).awaitTermination()
 
-    counts = throughput.interval_counts(decode_messages(feed))
-    expected = throughput.with_running_total(throughput.with_rate(throughput.fill_intervals(counts)))
-    columns = ["interval_start", "events_in_interval", "events_per_sec", "total_received"]
-    found = monitor.throughput_points(spark, root)
-    assert rows_of(found, *columns) == rows_of(expected, *columns)
-    assert found.select(F.max("total_received")).first()[0] == decode_messages(feed).count()
-    assert spark.read.parquet(f"{root}/raw_feed").count() == decode_messages(feed).count() + 1
+    decoded = decode_messages(feed)
+    expected = rows_of(throughput.interval_counts(decoded), "interval_start", "events_in_interval")
+    found = rows_of(monitor.throughput_counts(spark, root), "interval_start", "events_in_interval")
+    assert found - expected == Counter({row: 1 for row in rows_of(throughput.interval_counts(early.selectExpr("timestamp")))})
+    assert expected - found == Counter()
+    total = monitor.throughput_points(spark, root).select(F.max("total_received")).first()[0]
+    assert total == decoded.count() + 1
+    assert spark.read.parquet(f"{root}/raw_feed").count() == decoded.count() + 1
+
+
+def test_monitor_counts_a_repeated_batch_once(spark, feed, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "monitor")
+    land(feed, landed)
+    for _ in range(2):
+        monitor.start_throughput(file_messages(spark, landed), root, available_now=True).awaitTermination()
+        shutil.rmtree(f"{root}/checkpoints/throughput/commits", ignore_errors=True)
+    counts = monitor.throughput_counts(spark, root)
+    assert counts.agg(F.sum("events_in_interval")).first()[0] == decode_messages(feed).count()
 
 
 def test_unreadable_gold_is_no_gold(spark, tmp_path):

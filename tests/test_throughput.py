@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from tidemark.functions import timing
 from tidemark.operators import health, throughput
 from tidemark.schemas import BATCH_LOG, THROUGHPUT
@@ -95,3 +97,13 @@ def test_gold_refresh_is_not_a_batch(spark):
 def test_empty_log(spark):
     row = health.worker_status(health.worker_metrics(log(spark, (0, "batch", 1, None)).where("false"))).first()
     assert tuple(row) == (0, 0, 0, None, None, "ok")
+
+
+def test_one_old_message_does_not_stretch_the_time_line(spark):
+    rows = [("1970-01-01 00:00:05", 1), ("2024-01-01 00:00:00", 2), ("2024-01-01 00:00:10", 3)]
+    counts = spark.createDataFrame(rows, "at string, events_in_interval bigint").select(
+        F.col("at").cast("timestamp").alias("interval_start"), "events_in_interval"
+    )
+    filled = throughput.fill_intervals(counts, history_sec=60)
+    assert filled.count() == 62
+    assert filled.agg(F.sum("events_in_interval")).first()[0] == 6

@@ -10,12 +10,18 @@ _IN_BRACES = r'^[ \t\r\n]*\{[ \t\r\n]*("(?s:.*))?\}[ \t\r\n]*\z'
 def is_json_object(text: Column) -> Column:
     """True when the whole text is one JSON object in valid UTF-8; false, not NULL, for all else.
 
-    Spark's JSON functions stop after the first value, so `{"a":1} x` would pass. Parsed as the only
-    element of an array, anything after the object is an error or a second element.
+    Spark's JSON functions stop after the first value, so `{"a":1} x` would pass. Parsed as the first
+    of two elements of an array, anything after the object is an error or a further element, unless it
+    closes the array: `{"a":1},0] x }`. Then the number of elements does not depend on what follows, so
+    texts that have a bracket to close it must also be the first of three elements.
     """
     in_braces = F.when(text.startswith('{"') & text.endswith("}"), True).otherwise(text.rlike(_IN_BRACES))
-    as_element = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
-    return F.coalesce(F.is_valid_utf8(text) & in_braces & (as_element == 1), F.lit(False))
+
+    def elements(more: str) -> Column:
+        return F.json_array_length(F.concat(F.lit("["), text, F.lit(f"{more}]")))
+
+    whole = (elements(",0") == 2) & (~F.contains(text, F.lit("]")) | (elements(",0,0") == 3))
+    return F.coalesce(F.is_valid_utf8(text) & in_braces & whole, F.lit(False))
 
 
 # Fixed value: stands in for a topic that has no name.

@@ -64,19 +64,21 @@ def merge_changes(target: DataFrame, winners: DataFrame, broadcast_keys: bool =
 
     Covers update (old row out, new row in), delete (old row out) and insert (new row in). `ts_ms` is
     not compared. A column only one side has is NULL on the other. `broadcast_keys` is for callers who
-    counted the winners: the target then stays where it is. Otherwise both sides are shuffled, unless
-    Spark finds the keys small. Neither side has a complete key twice; if the target has many rows
-    without key, AQE splits the partition they fall into.
+    know that the winners are small: the target then stays where it is. Otherwise both sides are shuffled,
+    unless Spark finds the keys small. Neither side has a complete key twice; rows without a complete key
+    match nothing and are led around the join, as they would all meet in one partition.
     """
-    keys = winners.select(*KEY)
-    kept = target.join(F.broadcast(keys) if broadcast_keys else keys, KEY, "left_anti")
+    keys = winners.where(~_key_incomplete()).select(*KEY)
+    with_key = target.where(~_key_incomplete())
+    kept = with_key.join(F.broadcast(keys) if broadcast_keys else keys, KEY, "left_anti")
+    kept = kept.unionByName(target.where(_key_incomplete()))
     return kept.unionByName(winners.where(IS_UPSERT), allowMissingColumns=True)
 
 
 def replaced_rows(target: DataFrame, winners: DataFrame, broadcast_keys: bool = False) -> DataFrame:
     """The rows a merge takes out of Silver, by update or delete."""
-    keys = winners.select(*KEY)
-    return target.join(F.broadcast(keys) if broadcast_keys else keys, KEY, "left_semi")
+    keys = winners.where(~_key_incomplete()).select(*KEY)
+    return target.where(~_key_incomplete()).join(F.broadcast(keys) if broadcast_keys else keys, KEY, "left_semi")
 
 
 def merge_updates(target: DataFrame, winners: DataFrame) -> DataFrame:
@@ -91,4 +93,6 @@ def merge_deletes(target: DataFrame, winners: DataFrame) -> DataFrame:
 
 def merge_inserts(target: DataFrame, winners: DataFrame) -> DataFrame:
     """The rows a merge adds, those with incomplete keys among them."""
-    return winners.where(IS_UPSERT).join(target.select(*KEY), KEY, "left_anti")
+    upserts = winners.where(IS_UPSERT)
+    new = upserts.where(~_key_incomplete()).join(target.select(*KEY), KEY, "left_anti")
+    return new.unionByName(upserts.where(_key_incomplete()))

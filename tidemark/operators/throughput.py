@@ -11,6 +11,9 @@ from tidemark.functions.timing import clock_label, per_second
 INTERVAL_SEC = 1.0
 CHART_POINTS = 60
 
+# Empty intervals are laid out this long before the newest one; counts are kept whatever their age.
+HISTORY_SEC = 31 * 24 * 3600
+
 
 def _duration(seconds: float) -> str:
     return f"{round(seconds * 1_000_000)} microseconds"
@@ -25,17 +28,25 @@ def interval_counts(decoded: DataFrame, interval_sec: float = INTERVAL_SEC) -> D
     )
 
 
-def fill_intervals(counts: DataFrame, interval_sec: float = INTERVAL_SEC, per_chunk: int = 3600) -> DataFrame:
+def fill_intervals(
+    counts: DataFrame,
+    interval_sec: float = INTERVAL_SEC,
+    per_chunk: int = 3600,
+    history_sec: float = HISTORY_SEC,
+) -> DataFrame:
     """Adds the intervals without events between the first and the last one.
 
     The time line is laid out in chunks first and then inside each chunk, so a long history is built
-    by many tasks and no array holds more than `per_chunk` intervals.
+    by many tasks and no array holds more than `per_chunk` intervals. One message stamped years ago
+    does not stretch it: it reaches back from the last interval by whole intervals of `history_sec` at most.
     """
+    history = F.expr(f"INTERVAL '{round(history_sec / interval_sec) * interval_sec:.6f}' SECOND")
     step = F.expr(f"INTERVAL '{interval_sec:.6f}' SECOND")
     chunk = F.expr(f"INTERVAL '{interval_sec * per_chunk:.6f}' SECOND")
     chunks = (
         counts.agg(F.min("interval_start").alias("first"), F.max("interval_start").alias("last"))
         .where("first IS NOT NULL")
+        .withColumn("first", F.greatest(F.col("first"), F.col("last") - history))
         .select(F.explode(F.sequence("first", "last", chunk)).alias("start"), "last")
         .repartition("start")
     )

@@ -138,19 +138,9 @@ SELECT {_SILVER_COLUMNS} FROM batch WHERE op <> 'd'"""
 _OUTCOMES = """,
 outcomes AS (
   SELECT c.batch_id, count(*) AS received, any_value(coalesce(w.processed, 0)) AS processed,
-    count(*) FILTER (c.outcome = 'failed') AS failed, count(*) FILTER (c.outcome = 'ignored') AS ignored,
-    make_timestamp((c.batch_id + 1704067200) * 1000000) AS finished_at
+    count(*) FILTER (c.outcome = 'failed') AS failed, count(*) FILTER (c.outcome = 'ignored') AS ignored
   FROM classified c LEFT JOIN (SELECT batch_id, count(*) AS processed FROM winners GROUP BY 1) w USING (batch_id)
   GROUP BY c.batch_id
-),
-metrics AS (
-  SELECT CAST(coalesce(sum(received) FILTER (batch_id % 5 <> 4), 0) AS BIGINT) AS events_received,
-    count(*) FILTER (batch_id % 5 <> 4) AS batches_ok, count(*) FILTER (batch_id % 5 = 4) AS batches_failed,
-    max(finished_at) AS last_at, max_by(batch_id, (finished_at, batch_id)) AS last_batch
-  FROM outcomes
-),
-reported AS (
-  SELECT *, CASE WHEN last_batch % 5 = 4 THEN 'Silver merge failed: batch ' || last_batch END AS last_error FROM metrics
 )"""
 
 _POINTS = """,
@@ -162,6 +152,14 @@ points AS (
   FROM (SELECT unnest(generate_series(min(s), max(s), INTERVAL 1 SECOND)) AS s FROM counted) l
   LEFT JOIN counted k ON l.s = k.s
 )"""
+_POINTS_3S = """,
+counted AS (
+  SELECT epoch_us("timestamp") // 3000000 AS i, count(*) AS c FROM decoded GROUP BY 1
+),
+points AS (
+  SELECT make_timestamp(l.i * 3000000) AS interval_start, coalesce(k.c, 0) AS events_in_interval
+  FROM (SELECT unnest(generate_series(min(i), max(i))) AS i FROM counted) l LEFT JOIN counted k ON l.i = k.i
+)"""
 _START_TEXT = "strftime(interval_start, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS interval_start"
 
 
@@ -193,6 +191,13 @@ def _on_log(select: str) -> str:
     return _query(_FEED + _CHANGES + _WINNERS + _OUTCOMES, select)
 
 
+_STREAM_FEED = _FEED.replace("n // 500", "n // (SELECT CAST(ceil(count(*) / 24.0) AS BIGINT) FROM events)")
+
+
+def _on_stream(select: str) -> str:
+    return _query(_STREAM_FEED + _CHANGES + _SILVER + _GOLD + _OUTCOMES, select)
+
+
 def _on_points(select: str) -> str:
     return _query(_FEED + _POINTS, select)
 
@@ -230,6 +235,12 @@ FROM decoded""",
     "latest_per_key": _on_silver(f"""SELECT batch_id, "offset", {_SILVER_COLUMNS} FROM winners"""),
     "silver_first_batch": _on_one_batch(f"SELECT {_SILVER_COLUMNS} FROM batch WHERE op <> 'd'"),
     "silver_merge": _on_merge(_MERGED),
+    "silver_added_column": _on_merge(
+        f"""SELECT {_SILVER_COLUMNS.replace("priority", "NULL AS priority")} FROM target t
+WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE t.id = b.id AND t.source_db = b.source_db)
+UNION ALL
+SELECT {_SILVER_COLUMNS} FROM batch WHERE op <> 'd'"""
+    ),
     "silver_merge_updates": _on_merge(
         f"SELECT {_SILVER_COLUMNS} FROM batch b WHERE op <> 'd' AND {_MATCHES_TARGET}"
     ),
@@ -254,6 +265,7 @@ WHERE EXISTS (SELECT 1 FROM batch b WHERE t.id = b.id AND t.source_db = b.source
   CAST(coalesce(sum("count") FILTER (source_db = 'unknown'), 0) AS BIGINT) AS "unknown"
 FROM named GROUP BY status"""
     ),
+    "gold_of_no_tickets": _on_gold("""SELECT source_db, status, "count" FROM gold WHERE FALSE"""),
     "gold_dimensions": _on_gold(
         """SELECT 'source_db' AS dimension, source_db AS "value" FROM named
 UNION SELECT 'status', status FROM named"""
@@ -263,6 +275,12 @@ UNION SELECT 'status', status FROM named"""
         f"""SELECT {_START_TEXT}, events_in_interval, CAST(1.0 AS DOUBLE) AS interval_sec,
   CAST(floor(events_in_interval / 1.0) AS BIGINT) AS events_per_sec
 FROM points"""
+    ),
+    "throughput_3s": _query(
+        _FEED + _POINTS_3S,
+        f"""SELECT {_START_TEXT}, events_in_interval, CAST(3.0 AS DOUBLE) AS interval_sec,
+  CAST(floor(events_in_interval / 3.0) AS BIGINT) AS events_per_sec
+FROM points""",
     ),
     "throughput_running_total": _on_points(
         f"""SELECT {_START_TEXT}, events_in_interval,
@@ -274,22 +292,20 @@ FROM points"""
   events_in_interval AS events_per_sec
 FROM points ORDER BY points.interval_start DESC LIMIT 60"""
     ),
-    "stream_silver": _on_one_batch(f"SELECT {_SILVER_COLUMNS} FROM batch WHERE op <> 'd'"),
-    "stream_gold": _on_one_batch(
-        """SELECT source_db, status, count(*) AS "count" FROM batch WHERE op <> 'd' GROUP BY source_db, status"""
-    ),
-    "stream_batch_log": _on_one_batch(
-        """SELECT CAST(0 AS BIGINT) AS batch_id, TRUE AS success, count(*) AS received,
-  (SELECT count(*) FROM batch) AS processed,
-  count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'ignored') AS ignored
-FROM classified"""
-    ),
-    "worker_metrics": _on_log(
-        """SELECT events_received, batches_ok, batches_failed,
-  strftime(last_at, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS last_batch_at, last_error
-FROM reported"""
+    "stream_silver": _on_stream(f"SELECT {_SILVER_COLUMNS} FROM silver"),
+    "stream_gold": _on_stream("""SELECT source_db, status, "count" FROM gold"""),
+    "rebuild_gold": _on_stream("""SELECT source_db, status, "count" FROM gold"""),
+    "stream_batch_log": _on_stream("SELECT batch_id, TRUE AS success, received, processed, failed, ignored FROM outcomes"),
+    "stream_throughput": _on_points(
+        f"""SELECT {_START_TEXT}, events_in_interval, CAST(1.0 AS DOUBLE) AS interval_sec,
+  CAST(floor(events_in_interval / 1.0) AS BIGINT) AS events_per_sec,
+  CAST(sum(events_in_interval) OVER (ORDER BY points.interval_start) AS BIGINT) AS total_received
+FROM points"""
     ),
-    "worker_status": _on_log(
-        "SELECT CASE WHEN last_error IS NULL THEN 'ok' ELSE 'degraded' END AS status, last_error FROM reported"
+    "worker_metrics": _on_stream(
+        """SELECT CAST(sum(received) AS BIGINT) AS events_received, count(*) AS batches_ok,
+  CAST(1 AS BIGINT) AS batches_failed, 'Bronze write failed' AS last_error
+FROM outcomes"""
     ),
+    "worker_status": _on_stream("SELECT 'degraded' AS status, 'Bronze write failed' AS last_error"),
 }

@@ -9,33 +9,27 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import timing
 from tidemark.operators import decode, gold, health, silver, throughput, tickets
-from tidemark.schemas import SILVER
+from tidemark.plans import rebuild
+from tidemark.schemas import MESSAGE, SILVER
 from tidemark.session import shared_folder, stored_once
-from tidemark.sources.replay import REPLAY_START_MICROS, change_messages
-from tidemark.sources.streams import fan_in, on_topics
+from tidemark.sources.replay import change_messages
+from tidemark.sources.streams import file_messages, on_topics
+from tidemark.streaming import monitor
 from tidemark.streaming.tables import TicketTables
-from tidemark.streaming.worker import TicketWorker
+from tidemark.streaming.worker import TicketWorker, WorkerOptions
 
 TOPIC_PATTERN = "^tickets_server_.*"
-DATABASES = ("db_1", "db_2", "unknown")
 CUT_OVER = "2024-01-16 00:00:00"
 
 
-def _spread(events: DataFrame, pieces: int) -> DataFrame:
-    """Spreads a table that comes in fewer pieces than there are cores, as one small file cannot be split."""
-    cores = events.sparkSession.sparkContext.defaultParallelism
-    return events.repartition(cores, "event_id") if pieces < cores else events
-
-
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return _spread(events, events.rdd.getNumPartitions())
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,19 +73,21 @@ def merge_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def topic_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).select("topic", "partition", "offset")
+    every = change_messages(read_events(spark, sf_dir), with_value=False)
+    return on_topics(every, TOPIC_PATTERN).select("topic", "partition", "offset")
 
 
 def feed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = change_messages(read_events(spark, sf_dir))
-    servers = (on_topics(every, f"^tickets_server_{server}[.]") for server in (1, 2))
-    return fan_in(*servers).groupBy("topic", "partition").agg(
+    """The topics of both servers in one pass."""
+    every = change_messages(read_events(spark, sf_dir), with_value=False)
+    both = on_topics(every, *(f"^tickets_server_{server}[.]" for server in (1, 2)))
+    return both.groupBy("topic", "partition").agg(
         F.count(F.lit(1)).alias("messages"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset")
     )
 
 
 def capture_table_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = change_messages(read_events(spark, sf_dir))
+    every = change_messages(read_events(spark, sf_dir), with_value=False)
     return decode.captured_tables(every).select("offset", "source_table")
 
 
@@ -137,6 +133,12 @@ def silver_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.merge_changes(target, stored_once(winners))
 
 
+def silver_added_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge of a batch with a column that Silver does not have yet."""
+    target, winners = merge_sides(spark, sf_dir)
+    return silver.merge_changes(target.drop("priority"), stored_once(winners))
+
+
 def silver_merge_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.merge_updates(*merge_sides(spark, sf_dir))
 
@@ -166,7 +168,14 @@ def gold_summary_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold.gold_pivot(gold_table(spark, sf_dir), DATABASES)
+    """A column for every database that Gold names."""
+    return gold.gold_pivot(stored_once(gold_table(spark, sf_dir)))
+
+
+def gold_of_no_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold of a Silver that the deletes of all changes leave empty: typed, without rows."""
+    deletes = changes(spark, sf_dir).where(silver.IS_DELETE)
+    return gold.gold_counts(silver.silver_state(deletes))
 
 
 def gold_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,6 +191,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throughput.with_rate(throughput.fill_intervals(counts, per_chunk=60))
 
 
+def throughput_3s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals that do not divide their events evenly, so that rates are cut."""
+    counts = stored_once(throughput.interval_counts(decoded(spark, sf_dir), 3.0))
+    return _with_text_start(throughput.with_rate(throughput.fill_intervals(counts, 3.0), 3.0))
+
+
 def _with_text_start(rows: DataFrame) -> DataFrame:
     return rows.withColumn("interval_start", timing.iso_utc(F.col("interval_start")))
 
@@ -199,63 +214,97 @@ def throughput_last60(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_text_start(throughput.last_points(points(spark, sf_dir)))
 
 
-def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log of a run with one batch a second in which the Silver write of every fifth failed.
+# A run of the streaming jobs
+
+STREAM_BATCHES = 24
+_streams: dict[tuple[str, str], str] = {}
 
-    A failed batch fails whole: nothing of it counts as processed or ignored.
-    """
-    good = F.col("batch_id") % 5 != 4
-    return tickets.batch_outcomes(classified(spark, sf_dir)).select(
-        "batch_id",
-        good.alias("success"),
-        "received",
-        F.when(good, F.col("processed")).otherwise(0).alias("processed"),
-        F.when(good, F.col("failed")).otherwise(F.col("received")).alias("failed"),
-        F.when(good, F.col("ignored")).otherwise(0).alias("ignored"),
-        F.when(~good, F.concat(F.lit("Silver merge failed: batch "), F.col("batch_id").cast("string"))).alias(
-            "error_message"
-        ),
-        F.timestamp_seconds(F.col("batch_id") + REPLAY_START_MICROS // 1_000_000).alias("finished_at"),
-        F.when(good, health.BATCH).otherwise(health.FAILURE).alias("kind"),
-    )
 
+def _landed(events: DataFrame, folder: str, rows: int, batches: range) -> None:
+    """Lands the messages of some batches, a write after the other."""
+    for batch in batches:
+        part = events.where(F.col("event_id").between(batch * rows, (batch + 1) * rows - 1))
+        change_messages(part, batch_rows=rows).select(*MESSAGE.fieldNames()).coalesce(1).write.mode("append").parquet(
+            folder
+        )
 
-def _streamed(spark: SparkSession, sf_dir: str) -> TicketTables:
-    """The tables after the events went through the worker as a stream of files, all in one batch.
 
-    The file source takes a single file only by way of a pattern.
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the tables after the events went through both jobs, one run for all queries of a session.
+
+    The worker takes STREAM_BATCHES landed batches, is stopped half-way, rewrites Silver and goes on; last it
+    is given a batch that cannot be read. The monitor reads the same files newest first, so that
+    time stamps run backwards.
     """
-    table = read_events(spark, sf_dir)
-    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
-    events = _spread(stream, len(table.inputFiles()))
-    worker = TicketWorker(spark, f"{shared_folder(spark)}/lake-{uuid.uuid4().hex}")
-    worker.run(on_topics(change_messages(events), TOPIC_PATTERN), available_now=True)
-    return worker.tables
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _streams:
+        return _streams[key]
+    root = f"{shared_folder(spark)}/lake-{uuid.uuid4().hex}"
+    worker = TicketWorker(spark, f"{root}/tickets", WorkerOptions(gold_refresh_sec=5.0))
+    events = read_events(spark, sf_dir)
+    count, last = events.agg(F.count(F.lit(1)), F.max("event_id")).first()
+    rows, half = -(-count // STREAM_BATCHES), STREAM_BATCHES // 2
+    for batches in (range(half), range(half, last // rows + 1)):
+        _landed(events, f"{root}/landed", rows, batches)
+        landed = file_messages(spark, f"{root}/landed", files_per_batch=1)
+        worker.run(on_topics(landed, TOPIC_PATTERN), available_now=True)
+        if half in batches:
+            break
+        worker.rewrite_silver()
+    unreadable = spark.read.parquet(f"{root}/landed").withColumn("value", F.raise_error(F.lit("unreadable")).cast("binary"))
+    try:
+        worker.apply_batch(unreadable, worker.tables.committed_through() + 1)
+    except Exception as error:
+        if "unreadable" not in str(error):
+            raise
+    backwards = file_messages(spark, f"{root}/landed", files_per_batch=1, latest_first=True)
+    monitor.start_throughput(on_topics(backwards, TOPIC_PATTERN), root, available_now=True).awaitTermination()
+    _streams[key] = root
+    return root
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> TicketTables:
+    return TicketTables(spark, f"{_streamed(spark, sf_dir)}/tickets")
 
 
 def stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir).silver()
+    return _tables(spark, sf_dir).silver()
 
 
 def stream_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir).gold()
+    return _tables(spark, sf_dir).gold()
 
 
 def stream_batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _streamed(spark, sf_dir).log().where(F.col("kind") == health.BATCH)
+    log = _tables(spark, sf_dir).log().where(F.col("kind") == health.BATCH)
     return log.select("batch_id", "success", "received", "processed", "failed", "ignored")
 
 
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.worker_metrics(batch_log(spark, sf_dir))
+def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_text_start(monitor.throughput_points(spark, _streamed(spark, sf_dir)))
+
+
+def rebuild_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold after Silver was made anew from the text in Bronze."""
+    tables = _tables(spark, sf_dir)
+    rebuild.rebuild(tables, parse_again=True)
+    return tables.gold()
 
 
 def worker_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).withColumn("last_batch_at", timing.iso_utc(F.col("last_batch_at")))
+    """Counters of the log that the run left; the time of the run is not part of the result."""
+    metrics = health.worker_metrics(_tables(spark, sf_dir).log())
+    return metrics.select("events_received", "batches_ok", "batches_failed", _failed_step())
 
 
 def worker_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.worker_status(_metrics(spark, sf_dir)).select("status", "last_error")
+    status = health.worker_status(health.worker_metrics(_tables(spark, sf_dir).log()))
+    return status.select("status", _failed_step())
+
+
+def _failed_step() -> Column:
+    """The step that the last error names; what follows is the engine's own text."""
+    return F.substring_index("last_error", ":", 1).alias("last_error")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -272,6 +321,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_per_key": latest_per_key,
     "silver_first_batch": silver_first_batch,
     "silver_merge": silver_merge,
+    "silver_added_column": silver_added_column,
     "silver_merge_updates": silver_merge_updates,
     "silver_merge_deletes": silver_merge_deletes,
     "silver_merge_inserts": silver_merge_inserts,
@@ -281,14 +331,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gold_refresh": gold_refresh,
     "gold_summary_map": gold_summary_map,
     "gold_pivot": gold_pivot,
+    "gold_of_no_tickets": gold_of_no_tickets,
     "gold_dimensions": gold_dimensions,
     "batch_outcomes": batch_outcomes,
     "throughput_windows": throughput_windows,
+    "throughput_3s": throughput_3s,
     "throughput_running_total": throughput_running_total,
     "throughput_last60": throughput_last60,
     "stream_silver": stream_silver,
     "stream_gold": stream_gold,
     "stream_batch_log": stream_batch_log,
+    "stream_throughput": stream_throughput,
+    "rebuild_gold": rebuild_gold,
     "worker_metrics": worker_metrics,
     "worker_status": worker_status,
 }

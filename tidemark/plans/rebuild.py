@@ -21,14 +21,17 @@ def state_from_bronze(bronze: DataFrame, parse_again: bool = False) -> DataFrame
     return silver.last_change(tickets.ticket_changes(bronze)).where(silver.IS_UPSERT)
 
 
-def rebuild_silver(tables: TicketTables, parse_again: bool = False) -> int:
-    """Writes the full state after the last committed batch and returns that batch, -1 if there is none.
+def rebuild(tables: TicketTables, parse_again: bool = False) -> int:
+    """Writes Silver and Gold after the last committed batch and returns that batch, -1 if there is none.
 
-    For a stopped worker: the pending changes up to that batch are part of the new state.
+    For a stopped worker: the pending changes up to that batch are part of the new state. Gold of that
+    batch goes before the new state comes, so that after a crash in between it is missing, not stale.
     """
     through = tables.committed_through()
     if through >= 0:
         sized = TicketTables(session_for(tables.spark, tables.size_of("bronze")), tables.root)
         bronze = sized.bronze().where(F.col("batch_id") <= through)
+        tables.remove("gold", f"through={through}")
         sized.write_full_state(state_from_bronze(bronze, parse_again), through)
+        tables.write_gold(through)
     return through

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +19,7 @@ def job_builder(app_name: str) -> SparkSession.Builder:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
 
@@ -40,23 +40,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored_once(rows: DataFrame) -> DataFrame:
-    """`rows`, written to the shared folder and read back, for a result that is used several times."""
-    path = f"{shared_folder(rows.sparkSession)}/stored-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """`rows`, computed now and kept by checkpoint() in the shared folder, for a result that is used several times.
+
+    Spark removes it once it is no longer used, in sessions with the settings of `job_builder`.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint()
 
 
 MIB = 1 << 20
 
 
-def job_sizes(input_bytes: int) -> dict[str, str]:
+def job_sizes(input_bytes: int, max_partitions: int = 200_000) -> dict[str, str]:
     """Settings for one large job over so many bytes of Parquet.
 
-    Shuffles start with a partition per 512 MiB of input and AQE joins those that stay small. Splits
-    grow beyond 128 MiB where there would be more than 50,000 of them: the driver keeps a record per
-    pair of task and partition block.
+    Shuffles start with a partition per 512 MiB of input, `max_partitions` at most (100 TB), and AQE joins
+    those that stay small. Splits grow beyond 128 MiB where there would be more than 50,000 of them: the
+    driver keeps a record per pair of task and partition block.
     """
-    partitions = min(max(input_bytes // (512 * MIB), 200), 20_000)
+    partitions = min(max(input_bytes // (512 * MIB), 200), max_partitions)
     split = max(input_bytes // 50_000, 128 * MIB)
     return {
         "spark.sql.adaptive.enabled": "true",

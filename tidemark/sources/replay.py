@@ -88,10 +88,13 @@ def _envelope_text() -> str:
         ',"before":', if(op = 'd', image, 'null'), ',"after":', if(op = 'd', 'null', image), '}}}}')"""
 
 
-def change_messages(events: DataFrame, batch_rows: int = 500, irregular: bool = True) -> DataFrame:
+def change_messages(
+    events: DataFrame, batch_rows: int = 500, irregular: bool = True, with_value: bool = True
+) -> DataFrame:
     """Messages with `batch_id` and `source_table` beside the message columns.
 
     `irregular=False` gives the plain inserts, updates and deletes only, as many as there are events.
+    `with_value=False` leaves the text out and so reads no `props`.
     """
     value = _choose(
         "binary(plain)",
@@ -108,13 +111,15 @@ def change_messages(events: DataFrame, batch_rows: int = 500, irregular: bool =
         other_topic="'schema-changes.tickets_server_' || server",
     )
     since_start = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))"
-    parts = _with_parts(events, irregular).selectExpr("*", f"{_envelope_text()} AS plain")
-    return with_computed_once(parts, value=F.expr(value)).selectExpr(
+    parts = _with_parts(events, irregular)
+    if with_value:
+        parts = with_computed_once(parts.selectExpr("*", f"{_envelope_text()} AS plain"), value=F.expr(value))
+    return parts.selectExpr(
         f"event_id div {batch_rows} AS batch_id",
         f"{topic} AS topic",
         "int(user_id % 4) AS partition",
         "event_id AS offset",
         f"timestamp_micros({since_start} div {REPLAY_SPEEDUP} + {REPLAY_START_MICROS}) AS timestamp",
         "db || '.dbo.' || table AS source_table",
-        "value",
+        *(["value"] if with_value else []),
     )

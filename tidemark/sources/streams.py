@@ -17,17 +17,18 @@ class BrokerOptions:
     bootstrap_servers: str
     topic_pattern: str = "^tickets_server_.*"
     starting_offsets: str = "earliest"
-    max_batch_rows: int = 20_000
+    max_batch_rows: int | None = 20_000
     flush_interval: str = "1s"
     min_partitions: int | None = None
 
     def for_monitor(self) -> BrokerOptions:
-        """The monitor only counts what arrives from now on."""
-        return replace(self, starting_offsets="latest")
+        """The monitor only counts what arrives from now on, all of it in each batch."""
+        return replace(self, starting_offsets="latest", max_batch_rows=None)
 
     def reader_options(self) -> dict[str, str]:
         """A batch starts at `max_batch_rows` waiting messages, or `flush_interval` after the last one."""
         rows = str(self.max_batch_rows)
+        size = {"minOffsetsPerTrigger": rows, "maxOffsetsPerTrigger": rows, "maxTriggerDelay": self.flush_interval}
         # Topics with few partitions: reads each in several pieces, so that all cores can parse.
         pieces = {} if self.min_partitions is None else {"minPartitions": str(self.min_partitions)}
         return {
@@ -35,9 +36,7 @@ class BrokerOptions:
             "kafka.bootstrap.servers": self.bootstrap_servers,
             "subscribePattern": self.topic_pattern,
             "startingOffsets": self.starting_offsets,
-            "minOffsetsPerTrigger": rows,
-            "maxOffsetsPerTrigger": rows,
-            "maxTriggerDelay": self.flush_interval,
+            **({} if self.max_batch_rows is None else size),
         }
 
 
@@ -47,17 +46,19 @@ def broker_messages(spark: SparkSession, options: BrokerOptions) -> DataFrame:
     return stream.select(*MESSAGE.fieldNames())
 
 
-def file_messages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+def file_messages(
+    spark: SparkSession, path: str, files_per_batch: int | None = None, latest_first: bool = False
+) -> DataFrame:
     """Messages landed as Parquet files; new files are picked up as they appear."""
-    reader = spark.readStream.schema(MESSAGE)
+    reader = spark.readStream.schema(MESSAGE).option("latestFirst", str(latest_first).lower())
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 
-def on_topics(messages: DataFrame, pattern: str) -> DataFrame:
-    """Subscription by topic pattern, for messages that are already at rest."""
-    return messages.where(F.col("topic").rlike(pattern))
+def on_topics(messages: DataFrame, *patterns: str) -> DataFrame:
+    """Subscription by topic patterns, for messages that are already at rest: one pass for all patterns."""
+    return messages.where(F.col("topic").rlike("|".join(f"(?:{pattern})" for pattern in patterns)))
 
 
 def fan_in(first: DataFrame, *others: DataFrame) -> DataFrame:

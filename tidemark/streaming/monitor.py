@@ -1,8 +1,14 @@
-"""The second job: counts messages per interval and, if wanted, passes the raw messages on."""
+"""The second job: counts all messages per interval and, if wanted, passes the raw messages on.
+
+Every message counts, however late its time stamp: each micro-batch writes the counts of its own
+messages into a folder of its own, by overwrite, and readers add them up. So there is no state and no
+watermark, and a repeated batch counts once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import decode, throughput
@@ -10,36 +16,34 @@ from tidemark.schemas import THROUGHPUT
 
 
 def start_throughput(
-    messages: DataFrame,
-    root: str,
-    interval_sec: float = throughput.INTERVAL_SEC,
-    lateness: str = "5 seconds",
-    available_now: bool = False,
+    messages: DataFrame, root: str, interval_sec: float = throughput.INTERVAL_SEC, available_now: bool = False
 ) -> StreamingQuery:
-    """Appends an interval once the watermark has passed it; at most `lateness` of state is kept."""
-    decoded = decode.decode_messages(messages).withWatermark("timestamp", lateness)
-    counts = throughput.interval_counts(decoded, interval_sec)
-    return _append(counts, root, "throughput", available_now)
+    def count_batch(batch: DataFrame, batch_id: int) -> None:
+        counts = throughput.interval_counts(decode.decode_messages(batch), interval_sec)
+        counts.write.mode("overwrite").parquet(f"{root}/throughput/batch_id={batch_id}")
+
+    writer = messages.select("timestamp", "value").writeStream.foreachBatch(count_batch)
+    return _started(writer, root, "throughput", available_now)
 
 
 def start_raw_feed(messages: DataFrame, root: str, available_now: bool = False) -> StreamingQuery:
-    return _append(decode.raw_feed(decode.decode_messages(messages)), root, "raw_feed", available_now)
+    feed = decode.raw_feed(decode.decode_messages(messages))
+    writer = feed.writeStream.format("parquet").outputMode("append").option("path", f"{root}/raw_feed")
+    return _started(writer, root, "raw_feed", available_now)
 
 
-def _append(rows: DataFrame, root: str, name: str, available_now: bool) -> StreamingQuery:
+def _started(writer, root: str, name: str, available_now: bool) -> StreamingQuery:
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 second"}
-    return (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{root}/{name}")
-        .option("checkpointLocation", f"{root}/checkpoints/{name}")
-        .trigger(**trigger)
-        .start()
-    )
+    return writer.option("checkpointLocation", f"{root}/checkpoints/{name}").trigger(**trigger).start()
+
+
+def throughput_counts(spark: SparkSession, root: str) -> DataFrame:
+    """The counts of all batches, a row per interval with messages."""
+    stored = spark.read.schema(THROUGHPUT).parquet(f"{root}/throughput")
+    return stored.groupBy("interval_start").agg(F.sum("events_in_interval").alias("events_in_interval"))
 
 
-def throughput_points(spark, root: str, interval_sec: float = throughput.INTERVAL_SEC) -> DataFrame:
+def throughput_points(spark: SparkSession, root: str, interval_sec: float = throughput.INTERVAL_SEC) -> DataFrame:
     """The stored counts as chart points, intervals without messages included."""
-    counts = spark.read.schema(THROUGHPUT).parquet(f"{root}/throughput")
-    points = throughput.with_rate(throughput.fill_intervals(counts, interval_sec), interval_sec)
-    return throughput.with_running_total(points)
+    points = throughput.fill_intervals(throughput_counts(spark, root), interval_sec)
+    return throughput.with_running_total(throughput.with_rate(points, interval_sec))

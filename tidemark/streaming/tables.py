@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schemas
-from tidemark.operators import gold, silver
+from tidemark.operators import gold, health, silver
 
 _WRITTEN = "_SUCCESS"
 
-# Pending changes up to this number are matched by broadcast; a key takes some tens of bytes.
-BROADCAST_ROWS = 1_000_000
+# Pending changes of up to so many bytes of Parquet are matched by broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ class TicketTables:
             if pending.where(silver.IS_UPSERT).isEmpty():
                 return None
             return silver.last_change(pending).where(silver.IS_UPSERT)
-        few = pending.count() <= BROADCAST_ROWS
+        few = self.state_sizes(base, through)[1] <= BROADCAST_BYTES
         return silver.merge_changes(self._full_state(base), silver.last_change(pending), broadcast_keys=few)
 
     def gold_rows(self, through: int) -> DataFrame | None:
@@ -146,10 +146,11 @@ class TicketTables:
             rows = self.silver_rows(through)
             return None if rows is None else gold.gold_counts(rows)
         pending = self.changes_between(base, through)
-        rows, first, last = pending.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
+        few = self.state_sizes(base, through)[1] <= BROADCAST_BYTES
+        first, last = pending.agg(F.min("id"), F.max("id")).first()
         winners = silver.last_change(pending)
         near = self._full_state(base).where(F.col("id").between(F.lit(first), F.lit(last)))
-        replaced = silver.replaced_rows(near, winners, broadcast_keys=rows <= BROADCAST_ROWS)
+        replaced = silver.replaced_rows(near, winners, broadcast_keys=few)
         return gold.gold_after_changes(self._counts(base), replaced, winners.where(silver.IS_UPSERT))
 
     def _counts(self, base: int) -> DataFrame:
@@ -172,6 +173,16 @@ class TicketTables:
 
     # Writers
 
+    def write_gold(self, through: int) -> bool:
+        """Gold after batch `through`; False, and nothing written, while there is no Silver."""
+        rows = self.gold_rows(through)
+        if rows is None:
+            return False
+        rows.repartition(1).write.mode("overwrite").parquet(self.path("gold", f"through={through}"))
+        self.drop_older("gold")
+        self.write_log(health.GOLD_REFRESH, through, processed=0, failed=0, gold_recomputed=True)
+        return True
+
     def write_full_state(self, rows: DataFrame, through: int) -> None:
         """Full state after batch `through`; sorted inside each file, so key ranges can be skipped."""
         ordered = rows.select(*schemas.SILVER_STORE.fieldNames()).sortWithinPartitions(*silver.KEY)

@@ -23,6 +23,7 @@ logger = logging.getLogger(__name__)
 
 # The steps an error message names.
 BRONZE_STEP, SILVER_STEP, GOLD_STEP = "Bronze write", "Silver merge", "Gold aggregation"
+REWRITE_STEP = "Silver rewrite"
 
 
 @dataclass(frozen=True)
@@ -115,13 +116,8 @@ class TicketWorker:
         """Brings Gold to the last batch; None, and nothing written, while there is no Silver."""
         through = self._through
         if through < 0 or through != self.tables.newest_written("gold", "through"):
-            rows = self.tables.gold_rows(through)
-            if rows is None:
+            if not self.tables.write_gold(through):
                 return None
-            path = self.tables.path("gold", f"through={through}")
-            rows.repartition(1).write.mode("overwrite").parquet(path)
-            self.tables.drop_older("gold")
-            self.tables.write_log(health.GOLD_REFRESH, through, processed=0, failed=0, gold_recomputed=True)
         self._gold_through = through
         return self.tables.gold()
 
@@ -172,7 +168,7 @@ class TicketWorker:
         try:
             self.refresh_gold()
         except Exception as error:
-            logger.warning("Startup Gold refresh failed: %s", error)
+            logger.warning("Gold is not refreshed before the first batch: %s", error)
         query = self.start(messages, available_now)
         try:
             while not query.awaitTermination(self.options.gold_refresh_sec):
@@ -184,13 +180,14 @@ class TicketWorker:
     def _after_batches(self) -> None:
         if self._changed_through <= self._gold_through:
             return
-        through = self._through
+        step = GOLD_STEP
         try:
             self.refresh_gold()
+            step = REWRITE_STEP
+            self.rewrite_silver_if_due()
         except Exception as error:
-            self._log_failure(through, f"{GOLD_STEP} failed: {error}")
+            self._log_failure(self._through, f"{step} failed: {error}")
             raise
-        self.rewrite_silver_if_due()
 
 
 def gold_report(tables: TicketTables) -> DataFrame | None:
@@ -203,7 +200,7 @@ def gold_report(tables: TicketTables) -> DataFrame | None:
         summary.isEmpty()  # reads the few rows now, as an unreadable file shows only then
         return summary
     except Exception as error:
-        logger.warning("Failed reading Gold summary table: %s", error)
+        logger.warning("No summary, as Gold cannot be read: %s", error)
         return None
 
 
