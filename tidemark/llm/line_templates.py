@@ -90,7 +90,7 @@ def recurring_lines(
     lines = document_lines(docs, id_column, text_column)
     paths = lines.select("_key", "_hash", F.xxhash64(*leaf()).alias("leaf"))
     leaves = cut(in_enough_documents(paths, ["leaf"], min_docs))
-    within = join_counted(lines.withColumn("leaf", F.xxhash64(*leaf())), leaves, ["leaf"])
+    within = cut(join_counted(lines.withColumn("leaf", F.xxhash64(*leaf())), leaves, ["leaf"]))
     patterns = cut(leaf_templates(within))
     same = F.expr(
         "aggregate(zip_with(split(masked, ' ', -1), pattern, (a, b) -> if(a = b, 1, 0)), 0, "
