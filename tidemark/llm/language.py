@@ -124,8 +124,8 @@ def learn(docs: DataFrame) -> Model:
 def word_scores(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of each word in each language, and whether any language uses its script."""
     buckets, first, scripts = word_features(words)
-    if len(first) == 0:
-        return np.zeros((0, len(model.languages)), np.float32), np.zeros(0, bool)
+    if len(first) == 0 or not model.languages:
+        return np.zeros((len(first), len(model.languages)), np.float32), np.zeros(len(first), bool)
     columns = [np.add.reduceat(model.log_p[:, i][buckets], first) for i in range(len(model.languages))]
     scores, possible = np.stack(columns, axis=1), model.candidates[scripts]
     known = possible.any(axis=1)
