@@ -68,6 +68,13 @@ READ = {
     "delete": (envelope(op="d", before=IMAGE, after=None), "ok", {"id": 1, "op": "d", "status": "Open"}),
     "create": (envelope(op="c"), "ok", {"op": "c"}),
     "snapshot": (envelope(op="r"), "ok", {"op": "r"}),
+    "id null": (envelope(after={**IMAGE, "id": None}), "ok", {"id": None, "status": "Open"}),
+    "id text": (envelope(after={**IMAGE, "id": "one"}), "quarantined", {"id": None}),
+    "id text of a number": (envelope(after={**IMAGE, "id": "-5"}), "ok", {"id": -5}),
+    "id fraction": (envelope(after={**IMAGE, "id": 1.5}), "quarantined", {}),
+    "id boolean": (envelope(after={**IMAGE, "id": True}), "quarantined", {}),
+    "id object": (envelope(after={**IMAGE, "id": {"id": 1}}), "quarantined", {}),
+    "id too large": (envelope(after={**IMAGE, "id": 10**20}), "quarantined", {}),
     "empty image": (envelope(after={}), "ok", {"id": None, "status": None, "source_db": "db_1"}),
     "extra fields": (envelope(after={**IMAGE, "title": "T", "assignee_id": 3}), "ok", {"id": 1}),
     "ts missing": (envelope(ts_ms=...), "ok", {"ts_ms": 0}),

@@ -1,7 +1,8 @@
 """Reading a change event: outcome, row image and its fields.
 
 Differences from a dynamically typed reader, all of them on malformed input: a number in a text field
-becomes its text, a wrongly typed `id` becomes NULL, and a boolean `ts_ms` counts as absent.
+becomes its text, an `id` that is no whole number sets the change aside, and a boolean `ts_ms` counts as
+absent.
 """
 
 from pyspark.sql import Column
@@ -13,7 +14,7 @@ OPERATIONS = ("c", "u", "d", "r")
 DELETE = "d"
 UNKNOWN_DB = "unknown"
 
-OK, IGNORED, FAILED = "ok", "ignored", "failed"
+OK, IGNORED, FAILED, QUARANTINED = "ok", "ignored", "failed", "quarantined"
 
 
 def row_image(body: Column) -> Column:
@@ -21,17 +22,24 @@ def row_image(body: Column) -> Column:
     return F.when(body["op"] == DELETE, body["before"]).otherwise(body["after"])
 
 
+def ticket_id(image: Column) -> Column:
+    """The id as a number; NULL if there is none, or it is no whole number."""
+    return F.when(image["id"].rlike(r"^-?\d+$"), image["id"].try_cast("bigint"))
+
+
 def event_outcome(body: Column) -> Column:
-    """`failed`, `ignored` or `ok`; the order of the tests decides which one wins.
+    """`failed`, `ignored`, `quarantined` or `ok`; the order of the tests decides which one wins.
 
-    A NULL `source` also covers an envelope or payload that is not an object.
+    A NULL `source` also covers an envelope or payload that is not an object. Changes with an id that is
+    no whole number would all become one ticket without id; they are kept in Bronze and go no further.
     """
-    source = body["source"]
+    source, image = body["source"], row_image(body)
     return (
         F.when(source.isNull(), FAILED)
         .when(~source["table"].eqNullSafe(TICKET_TABLE), IGNORED)
         .when(~F.coalesce(body["op"].isin(*OPERATIONS), F.lit(False)), FAILED)
-        .when(row_image(body).isNull(), FAILED)
+        .when(image.isNull(), FAILED)
+        .when(image["id"].isNotNull() & ticket_id(image).isNull(), QUARANTINED)
         .otherwise(OK)
     )
 

@@ -30,7 +30,8 @@ def classify_events(bronze: DataFrame) -> DataFrame:
         .select(
             *bronze.columns,
             "outcome",
-            *(image[name].alias(name) for name in ("id", "project_id", "reporter_id", "status", "priority")),
+            envelope.ticket_id(image).alias("id"),
+            *(image[name].alias(name) for name in ("project_id", "reporter_id", "status", "priority")),
             "source_db",
             "op",
             "ts_ms",
@@ -43,8 +44,13 @@ def ticket_changes(events: DataFrame) -> DataFrame:
     return events.where(F.col("outcome") == envelope.OK).select(*POSITION, *SILVER.fieldNames())
 
 
+def quarantined_changes(events: DataFrame) -> DataFrame:
+    """The classified events set aside for the type of their id, with the raw text."""
+    return events.where(F.col("outcome") == envelope.QUARANTINED).select(*POSITION, "raw_payload")
+
+
 def batch_outcomes(events: DataFrame) -> DataFrame:
-    """Counts per batch: rows received, failed and ignored, and tickets touched (`processed`).
+    """Counts per batch: rows received, failed (or set aside) and ignored, and tickets touched (`processed`).
 
     Grouped by ticket first, so a busy batch or ticket is spread and pre-aggregated before it meets
     the one row of its batch.
@@ -60,12 +66,12 @@ def batch_outcomes(events: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("rows"))
     )
 
-    def rows_with(outcome: str):
-        return F.sum(F.when(F.col("outcome") == outcome, F.col("rows")).otherwise(0))
+    def rows_with(*outcomes: str):
+        return F.sum(F.when(F.col("outcome").isin(*outcomes), F.col("rows")).otherwise(0))
 
     return per_ticket.groupBy("batch_id").agg(
         F.sum("rows").alias("received"),
         F.count_if(is_ok).alias("processed"),
-        rows_with(envelope.FAILED).alias("failed"),
+        rows_with(envelope.FAILED, envelope.QUARANTINED).alias("failed"),
         rows_with(envelope.IGNORED).alias("ignored"),
     )

@@ -21,7 +21,7 @@ parts AS (
       WHEN n % 11 = 0 THEN 'd' WHEN n % 3 = 0 THEN 'c' ELSE 'u' END AS op,
     CASE form WHEN 71 THEN ',"ts_ms":"5"' WHEN 73 THEN '' WHEN 17 THEN ',"ts_ms":1.0'
       ELSE ',"ts_ms":' || CAST(n * 7919 % 100 AS VARCHAR) END AS ts_part,
-    CASE form WHEN 23 THEN '{}' WHEN 67 THEN 'null' ELSE CAST(to_json(struct_pack(
+    CASE form WHEN 23 THEN '{}' WHEN 67 THEN 'null' WHEN 90 THEN '{"id":"x' || user_id || '"}' ELSE CAST(to_json(struct_pack(
       id := CASE WHEN form = 89 THEN NULL ELSE user_id END,
       project_id := n % 2 + 1, reporter_id := n % 3 + 1, title := 'Task ' || n, description := props,
       status := event_type, priority := (['Low', 'Medium', 'High', 'Critical'])[n % 4 + 1])) AS VARCHAR) END AS image
@@ -66,12 +66,13 @@ classified AS (
          WHEN json_extract_string(text, '$.payload.source.table') IS DISTINCT FROM 'Tickets' THEN 'ignored'
          WHEN op IS NULL OR op NOT IN ('c', 'u', 'd', 'r') THEN 'failed'
          WHEN json_type(image) IS DISTINCT FROM 'OBJECT' THEN 'failed'
+         WHEN NOT regexp_full_match(json_extract_string(image, '$.id'), '-?[0-9]+') THEN 'quarantined'
          ELSE 'ok' END AS outcome
   FROM bodies
 ),
 changes AS (
   SELECT batch_id, topic, "partition", "offset", ts,
-    CAST(json_extract_string(image, '$.id') AS BIGINT) AS id,
+    TRY_CAST(json_extract_string(image, '$.id') AS BIGINT) AS id,
     CAST(json_extract_string(image, '$.project_id') AS BIGINT) AS project_id,
     CAST(json_extract_string(image, '$.reporter_id') AS BIGINT) AS reporter_id,
     json_extract_string(image, '$.status') AS status,
@@ -138,7 +139,7 @@ SELECT {_SILVER_COLUMNS} FROM batch WHERE op <> 'd'"""
 _OUTCOMES = """,
 outcomes AS (
   SELECT c.batch_id, count(*) AS received, any_value(coalesce(w.processed, 0)) AS processed,
-    count(*) FILTER (c.outcome = 'failed') AS failed, count(*) FILTER (c.outcome = 'ignored') AS ignored
+    count(*) FILTER (c.outcome IN ('failed', 'quarantined')) AS failed, count(*) FILTER (c.outcome = 'ignored') AS ignored
   FROM classified c LEFT JOIN (SELECT batch_id, count(*) AS processed FROM winners GROUP BY 1) w USING (batch_id)
   GROUP BY c.batch_id
 )"""
@@ -230,6 +231,12 @@ FROM decoded""",
     "ticket_changes": _on_changes(
         f"""SELECT batch_id, topic, "partition", "offset", {_SILVER_COLUMNS} FROM changes"""
     ),
+    "quarantined_changes": _on_changes(
+        """SELECT batch_id, topic, "partition", "offset",
+  '{"topic":"' || topic || '","partition":' || "partition" || ',"offset":' || "offset" || ',"payload":' || text || '}'
+    AS raw_payload
+FROM classified WHERE outcome = 'quarantined'"""
+    ),
     "ts_ms_default": _on_changes("SELECT ts_ms, count(*) AS events FROM changes GROUP BY ts_ms"),
     "source_db_default": _on_changes("SELECT source_db, count(*) AS events FROM changes GROUP BY source_db"),
     "latest_per_key": _on_silver(f"""SELECT batch_id, "offset", {_SILVER_COLUMNS} FROM winners"""),

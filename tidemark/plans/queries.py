@@ -48,6 +48,10 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tickets.ticket_changes(classified(spark, sf_dir))
 
 
+def quarantined_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tickets.quarantined_changes(classified(spark, sf_dir))
+
+
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.silver_state(changes(spark, sf_dir))
 
@@ -316,6 +320,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raw_feed": raw_feed,
     "envelope_classify": envelope_classify,
     "ticket_changes": ticket_changes,
+    "quarantined_changes": quarantined_changes,
     "ts_ms_default": ts_ms_default,
     "source_db_default": source_db_default,
     "latest_per_key": latest_per_key,

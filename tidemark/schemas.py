@@ -23,6 +23,9 @@ _ROW_IMAGE = T.StructType(
     ]
 )
 
+# As it is read: the id as text, so that one of another type can be told from none.
+_READ_IMAGE = T.StructType([T.StructField("id", T.StringType()), *_ROW_IMAGE.fields[1:]])
+
 # The part of a Bronze payload that is read; all other fields are skipped by the JSON parser.
 ENVELOPE = T.StructType(
     [
@@ -45,8 +48,8 @@ ENVELOPE = T.StructType(
                                         ]
                                     ),
                                 ),
-                                T.StructField("before", _ROW_IMAGE),
-                                T.StructField("after", _ROW_IMAGE),
+                                T.StructField("before", _READ_IMAGE),
+                                T.StructField("after", _READ_IMAGE),
                             ]
                         ),
                     )

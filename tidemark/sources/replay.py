@@ -34,6 +34,7 @@ IRREGULAR = {
     "no_db": 79,
     "null_db": 83,
     "null_id": 89,
+    "text_id": 90,
     "other_topic": 96,
 }
 PERIOD = 97
@@ -67,7 +68,7 @@ def _with_parts(events: DataFrame, irregular: bool) -> DataFrame:
         "'db_' || server AS db",
         _choose("'Tickets'", foreign_table="'Users'", similar_table="'ClosedTickets'") + " AS table",
         _choose(plain_op, snapshot_op="'r'", truncate_op="'t'") + " AS op",
-        _choose(image, empty_image="'{}'", no_image="'null'") + " AS image",
+        _choose(image, empty_image="'{}'", no_image="'null'", text_id="""'{"id":"x' || user_id || '"}'""") + " AS image",
     )
 
 

@@ -91,12 +91,12 @@ class TicketWorker:
         processed = self.tables.changes_batch(batch_id).select(F.lit("processed").alias("outcome"))
         counted = events.select("outcome").unionByName(processed).groupBy("outcome").count()
         counts = {row["outcome"]: row["count"] for row in counted.collect()}
-        by_outcome = {outcome: counts.get(outcome, 0) for outcome in (envelope.OK, envelope.FAILED, envelope.IGNORED)}
+        processed = counts.pop("processed", 0)
         return {
-            "received": sum(by_outcome.values()),
-            "processed": counts.get("processed", 0),
-            "failed": by_outcome[envelope.FAILED],
-            "ignored": by_outcome[envelope.IGNORED],
+            "received": sum(counts.values()),
+            "processed": processed,
+            "failed": counts.get(envelope.FAILED, 0) + counts.get(envelope.QUARANTINED, 0),
+            "ignored": counts.get(envelope.IGNORED, 0),
         }
 
     def _log_failure(self, batch_id: int, message: str) -> None:
