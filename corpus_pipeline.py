@@ -18,7 +18,7 @@ from tidemark.llm.queries import row_key, token_rows
 from tidemark.session import shared_folder
 
 #: A document stays if this share of its letters is in its main language.
-MIN_LANGUAGE_SHARE = 0.5
+MIN_LANGUAGE_SHARE = 0.4
 
 
 def keep(docs: DataFrame, good: DataFrame) -> DataFrame:
