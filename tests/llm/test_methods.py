@@ -319,7 +319,7 @@ def by_hand(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     judged = {row.doc_id: row for row in language.identify(docs, docs).collect()}
     rows = sorted((row.doc_id, row.text, row.source) for row in docs.collect())
-    rows = [r for r in rows if judged[r[0]].lang_pred != "und" and judged[r[0]].score >= 0.5]
+    rows = [r for r in rows if judged[r[0]].lang_pred != "und" and judged[r[0]].score >= corpus_pipeline.MIN_LANGUAGE_SHARE]
     found = brute.groups([r[:2] for r in rows])
     rows = [r for r, (n, component) in zip(rows, found) if n == 0 or component == r[0]]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
