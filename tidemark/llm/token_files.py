@@ -4,8 +4,8 @@ A file set is a folder of Parquet tables, so that any store Spark reaches will d
 may be repeated:
 
 * `dictionary`: one row with the zstandard dictionary, trained on serialized id arrays of a sample of
-  at most DICTIONARY_DOCS documents (whole corpora compress with it; it changes sizes only), and its
-  hash, the SHA-256 in hex.
+  about DICTIONARY_DOCS documents, twice as many at most (whole corpora compress with it; it changes
+  sizes only), and its hash, the SHA-256 in hex.
 * `blocks`: one row per block of about BLOCK_BYTES. `data` is the frames of successive documents, each
   compressed alone. The other columns are the offset index: `ids`, `offsets` into `data` (one more than
   documents) and `n_tokens`, with the first and last id for skipping whole blocks, the place of the
@@ -145,16 +145,17 @@ def id_bytes(path: str, texts: pa.Array, end_id: int) -> Iterator[bytes]:
 
 
 def train_dictionary(plain: DataFrame, path: str, end_id: int) -> bytes:
-    """A dictionary from the documents with the smallest hashes of id; empty if they are too few."""
+    """A dictionary from the documents whose hash is in a share of all hashes; empty if they are too few."""
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [found[:DICTIONARY_DOC_BYTES] for found in id_bytes(path, batch.column("text"), end_id)]
             yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
 
-    order = [F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.xxhash64("text")]
-    start = plain.select("id", F.substring("text", 1, DICTIONARY_DOC_BYTES).alias("text"))
-    sample = map_arrow(start.orderBy(*order).limit(DICTIONARY_DOCS), serialize, "ids binary")
+    share = DICTIONARY_DOCS / max(plain.count(), DICTIONARY_DOCS)
+    chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40))
+    some = plain.where(chosen).select(F.substring("text", 1, DICTIONARY_DOC_BYTES).alias("text"))
+    sample = map_arrow(some.limit(2 * DICTIONARY_DOCS), serialize, "ids binary")
     samples = [bytes(row.ids) for row in sample.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
