@@ -294,7 +294,10 @@ def test_viterbi_against_all_paths():
 # Components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_a_part", [100_000, 40])
+def test_components(spark, monkeypatch, edges_a_part):
+    """In one forest, and in rounds over several."""
+    monkeypatch.setattr(graph, "FOREST_EDGES", edges_a_part)
     generator = np.random.default_rng(3)
     edges = [tuple(map(int, e)) for e in generator.integers(-200, 200, (260, 2))]
     edges += [(1000 + i, 1001 + i) for i in range(150)] + [(5000, 5000 + i) for i in range(300)] + [(7, 7)]
