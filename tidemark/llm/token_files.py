@@ -41,7 +41,7 @@ END_ID = 2
 DICTIONARY_DOCS, DICTIONARY_DOC_BYTES, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
 BLOCK_BYTES = 1 << 20
 #: Chunks whose ids a worker remembers.
-REMEMBERED_CHUNKS = 1_000_000
+REMEMBERED_CHUNKS = 500_000
 CHUNK_BYTES = byte_table(" \n")
 WORD_END = "</w>"
 #: What stays a token of its own behind a word.
