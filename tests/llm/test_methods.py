@@ -155,6 +155,24 @@ def test_url_trees_on_held_out_urls(spark):
     assert count > 200 and share > 0.9
 
 
+def test_every_suffix_has_a_share(spark):
+    """Also with more than 10,000 of them."""
+    n, each = 10_500, url_filter.MIN_SUFFIX_URLS
+    domain = F.concat(F.lit("d"), (F.col("id") % n).cast("string")).alias("domain")
+    labelled = spark.range(n * each).select(domain, (F.col("id") % 2).cast("double").alias("label"))
+    assert url_filter.suffix_shares(labelled, "domain").count() == n
+
+
+def test_shares_that_are_not_broadcast(spark, monkeypatch):
+    """A shuffled join of the shares gives what a broadcast one does."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = []
+    for size in (url_filter.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", size)
+        found.append(Counter(map(tuple, url_filter.judge(pages).collect())))
+    assert found[0] == found[1]
+
+
 # Token files
 
 

@@ -23,6 +23,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import cut
+
 # Verdict, host, path.
 RULES = (
     ("allow", "com", "/"),
@@ -36,7 +38,10 @@ RULES = (
 TRAINING_URLS = 20_000
 TREES, DEPTH = 12, 4
 #: Suffixes with this many labelled URLs or more have a share of their own; the others count as unknown.
-MIN_SUFFIX_URLS, MAX_SUFFIXES = 20, 10_000
+MIN_SUFFIX_URLS = 20
+#: Bytes of a table of shares (ROW_BYTES a row besides the text) that a join broadcasts; for a larger one the
+#: URLs of each suffix are dealt into SALTS parts.
+BROADCAST_BYTES, ROW_BYTES, SALTS = 8 << 20, 64, 16
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "host_labels", "url_digits", "host_digits", "path_digits",
     "entropy", "parameters", "query_length", "hyphens", "has_fragment", "is_https", "suffix_share", "domain_share",
@@ -114,10 +119,22 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def suffix_shares(labelled: DataFrame, column: str) -> DataFrame:
-    """Rows of a suffix and its share of blocked URLs; the MAX_SUFFIXES most frequent ones at most."""
+    """Rows of a suffix and its share of blocked URLs, for every suffix with MIN_SUFFIX_URLS labelled URLs."""
     counts = labelled.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share"))
-    top = counts.where(F.col("n") >= MIN_SUFFIX_URLS).orderBy(F.desc("n"), column).limit(MAX_SUFFIXES)
-    return top.select(column, F.col("share").alias(f"{column}_share"))
+    return counts.where(F.col("n") >= MIN_SUFFIX_URLS).select(column, F.col("share").alias(f"{column}_share"))
+
+
+def table_bytes(table: DataFrame, column: str) -> int:
+    return table.agg(F.sum(F.octet_length(column) + ROW_BYTES)).first()[0] or 0
+
+
+def join_shares(urls: DataFrame, table: DataFrame, column: str, small: bool) -> DataFrame:
+    """`urls` with the shares of their suffixes, null for unknown ones."""
+    if small:
+        return urls.join(F.broadcast(table), column, "left")
+    dealt = urls.withColumn("_salt", F.pmod(F.xxhash64("url", "id"), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies.hint("merge"), [column, "_salt"], "left").drop("_salt")
 
 
 @dataclass
@@ -127,10 +144,12 @@ class Trees:
     model: GBTClassificationModel | None
     shares: dict[str, DataFrame]
     constant: float = 0.0
+    #: Names of the tables that are broadcast.
+    small: frozenset[str] = frozenset()
 
     def features(self, urls: DataFrame) -> DataFrame:
         for name, table in self.shares.items():
-            urls = urls.join(F.broadcast(table), name, "left").fillna(-1.0, [f"{name}_share"])
+            urls = join_shares(urls, table, name, name in self.small).fillna(-1.0, [f"{name}_share"])
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(urls)
 
     def score(self, urls: DataFrame) -> DataFrame:
@@ -147,8 +166,11 @@ def train(labelled: DataFrame) -> Trees:
     kinds = [row.label for row in labelled.groupBy("label").count().collect()]
     if len(kinds) < 2:
         return Trees(None, {}, kinds[0] if kinds else 0.0)
-    trees = Trees(None, {name: suffix_shares(labelled, name) for name in ("suffix", "domain", "head")})
-    sample = trees.features(labelled.orderBy(F.xxhash64("url"), "id").limit(TRAINING_URLS))
+    trees = Trees(None, {name: cut(suffix_shares(labelled, name)) for name in ("suffix", "domain", "head")})
+    trees.small = frozenset(name for name, table in trees.shares.items() if table_bytes(table, name) <= BROADCAST_BYTES)
+    order = (F.xxhash64("url"), "id")
+    # Sorted again, as the trees depend on the order of their rows and a shuffled join changes it.
+    sample = trees.features(labelled.orderBy(*order).limit(TRAINING_URLS)).orderBy(*order).limit(TRAINING_URLS)
     grower = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32)
     trees.model = grower.fit(sample.select("label", "features"))
     return trees
