@@ -55,6 +55,20 @@ def groups(rows):
     return [(len(s), least.get(root(i)) if s else rows[i][0]) for i, s in enumerate(sets)]
 
 
+def links(rows):
+    """Number of other rows linked with each of (id, text) rows, in order."""
+    sets = [shingles(text) for _, text in rows]
+    holders = {}
+    for i, found in enumerate(sets):
+        for shingle in found:
+            holders.setdefault(shingle, []).append(i)
+    counts = []
+    for i, found in enumerate(sets):
+        shared = Counter(j for shingle in found for j in holders[shingle] if j != i)
+        counts.append(sum(100 * n >= 75 * (len(found) + len(sets[j]) - n) for j, n in shared.items()))
+    return counts
+
+
 def repeats(rows, length=50):
     """n_bytes, n_removed, n_spans, kept_sha256 of (id, text) rows, in order."""
     first = {}

@@ -86,6 +86,24 @@ def test_prefix_keys_meet(boundary):
                 assert keys[i] & keys[j]
 
 
+def test_links_of_documents(spark, odd, documents):
+    for frame in (odd, documents):
+        expected_links = [(n,) for n in brute.links(pairs(frame))]
+        assert rows(jaccard.components(frame), "n_links") == expected(pairs(frame), expected_links)
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_links_of_large_clusters(spark, monkeypatch, block):
+    """Counted over blocks, each pair once, repeated rows included."""
+    documents = edited_copies()
+    documents += documents[:5] + [(3000, documents[7][1])]
+    for name, value in (("CLUSTER", 3), ("BLOCK", 4), ("SALTED", 5), ("LINK_BLOCK", block)):
+        monkeypatch.setattr(jaccard, name, value)
+    frame = spark.createDataFrame(documents, "doc_id bigint, text string").repartition(6)
+    expected_links = [(n,) for n in brute.links(documents)]
+    assert rows(jaccard.components(frame), "n_links") == expected(documents, expected_links)
+
+
 def test_long_lists_in_parts(monkeypatch):
     """A list that comes in parts gives the same classes in one piece."""
     import numpy as np
