@@ -30,18 +30,9 @@ ALPHANUMERIC = byte_table("".join(chr(c) for c in range(128) if not chr(c).isaln
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTE_CODES = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
-
-
-def _powers_up_to(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 64), _MULTIPLIER, np.uint64)
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers
+#: Keeps the first n bytes of an eight-byte word.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,14 +80,23 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span; spans must not be empty."""
+    """A hash of the bytes of each span; spans must not be empty.
+
+    Eight bytes at a time are mixed with their place before they are added up, so that no regular
+    arrangement of bytes cancels out, as it does in a polynomial modulo 2 ** 64.
+    """
     if len(start) == 0:
         return np.zeros(0, np.uint64)
     lengths = end - start
-    begun = np.cumsum(lengths) - lengths
-    within = np.arange(lengths.sum()) - np.repeat(begun, lengths)
-    content = data[within + np.repeat(start, lengths)]
-    terms = _BYTE_CODES[content] * _powers_up_to(int(lengths.max()))[within]
+    blocks = (lengths + 7) >> 3
+    begun = np.cumsum(blocks) - blocks
+    within = np.arange(blocks.sum()) - np.repeat(begun, blocks)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))
+    content = wide[np.repeat(start, blocks) + (within << 3)]
+    last = begun + blocks - 1
+    content[last] &= _FIRST_BYTES[lengths - ((blocks - 1) << 3)]
+    terms = mix(content ^ ((within + 1).astype(np.uint64) * _MULTIPLIER))
     return mix(np.add.reduceat(terms, begun) ^ (lengths.astype(np.uint64) << np.uint64(40)))
 
 
