@@ -77,4 +77,36 @@ SELECT docs.doc_id, CASE WHEN docs.text IS NOT NULL THEN coalesce(kept.text, '')
 FROM docs LEFT JOIN kept USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _MIX, "op4_line_dedup": _LINES}
+_SEARCH = r"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+tokens AS (
+  SELECT rid, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts
+),
+tf AS (SELECT rid, term, count(*) AS tf FROM tokens GROUP BY rid, term),
+sizes AS (SELECT rid, count(*) AS n FROM tokens GROUP BY rid),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+lengths AS (SELECT rid, 100 - 25 + (25 * n * docs) // terms AS m FROM sizes, totals),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, totals GROUP BY term
+),
+items AS (SELECT row_number() OVER () AS item, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
+wanted AS (
+  SELECT item, item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items
+),
+scores AS (
+  SELECT item, any_value(item_id) AS item_id, rid, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM wanted JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (rid)
+  GROUP BY item, rid
+),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank,
+    doc_id, score
+  FROM scores JOIN texts USING (rid) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _MIX, "op4_line_dedup": _LINES, "op13_lexical_search": _SEARCH}

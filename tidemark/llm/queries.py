@@ -1,4 +1,4 @@
-"""One query per operator, over its whole table with production parameters, and the SQL of two of them."""
+"""One query per operator, over its whole table with production parameters, and the SQL of some of them."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from tidemark.llm import (
     decontaminate,
     jaccard,
     language,
+    lexical,
     licences,
     line_templates,
     mixing,
@@ -95,6 +96,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_counts(found)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mix_sources": op2_mix_sources,
@@ -106,4 +111,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op13_lexical_search": op13_lexical_search,
 }
