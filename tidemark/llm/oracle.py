@@ -109,4 +109,72 @@ ranked AS (
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _MIX, "op4_line_dedup": _LINES, "op13_lexical_search": _SEARCH}
+_CRC_STEP = "xor(x >> 1, 3988292384 * (x & 1))"
+_FIELDS = "concat({0})".format(
+    ", ".join(
+        f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+        for c in ("doc_id", "source", "lang", "n_chars{0}", "text")
+    )
+)
+_MANIFEST = f"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS tree, sha256({_FIELDS.format("")}) AS leaf,
+    sha256({_FIELDS.format(" + 1")}) AS altered,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda digit: CAST(ascii(digit) AS BIGINT))), lambda crc, byte: list_reduce(
+        [xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, step: {_CRC_STEP})), 4294967295) AS crc
+  FROM documents
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM rows
+),
+nodes AS (
+  SELECT tree, CAST(0 AS BIGINT) AS level, place, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, any_value(level) + 1, place // 2, sha256(string_agg(h, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS size FROM nodes) WHERE size > 1 GROUP BY tree, place // 2
+),
+heights AS (SELECT tree, max(level) AS height FROM nodes GROUP BY tree),
+subroots AS (
+  SELECT nodes.tree, h, row_number() OVER (ORDER BY nodes.tree) - 1 AS place FROM nodes JOIN heights
+  ON nodes.tree = heights.tree AND level = height
+),
+tops AS (
+  SELECT CAST(0 AS BIGINT) AS level, place, h FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, place // 2, sha256(string_agg(h, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER () AS size FROM tops) WHERE size > 1 GROUP BY place // 2
+),
+top_height AS (SELECT max(level) AS height FROM tops),
+steps AS (
+  SELECT rid, level AS step, place >> CAST(level AS INTEGER) AS node, tree
+  FROM placed JOIN heights USING (tree), LATERAL (SELECT unnest(range(0, height)) AS level)
+),
+top_steps AS (
+  SELECT rid, heights.height + level AS step, level, subroots.place >> CAST(level AS INTEGER) AS node
+  FROM placed JOIN heights USING (tree) JOIN subroots USING (tree), top_height,
+    LATERAL (SELECT unnest(range(0, top_height.height)) AS level)
+),
+siblings AS (
+  SELECT rid, step, node, nodes.h AS sibling FROM steps LEFT JOIN nodes
+  ON nodes.tree = steps.tree AND nodes.level = step AND nodes.place = xor(node, 1)
+  UNION ALL
+  SELECT rid, step, node, tops.h FROM top_steps LEFT JOIN tops ON tops.level = top_steps.level AND tops.place = xor(node, 1)
+),
+proofs AS (SELECT rid, sha256(coalesce(string_agg(sibling, '' ORDER BY step), '')) AS proof_sha256 FROM siblings GROUP BY rid),
+climbs AS (
+  SELECT rid, CAST(0 AS BIGINT) AS step,
+    CASE WHEN crc % 7 = 0 THEN altered ELSE leaf END AS h FROM placed
+  UNION ALL
+  SELECT climbs.rid, climbs.step + 1, sha256(CASE WHEN sibling IS NULL THEN h WHEN node & 1 = 1 THEN sibling || h
+    ELSE h || sibling END)
+  FROM climbs JOIN siblings ON siblings.rid = climbs.rid AND siblings.step = climbs.step
+),
+reached AS (SELECT rid, arg_max(h, step) AS folded_root FROM climbs GROUP BY rid),
+root AS (SELECT h AS root FROM tops, top_height WHERE level = height)
+SELECT doc_id, leaf, subroots.h AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+  folded_root = root AS verified
+FROM placed JOIN subroots USING (tree) JOIN reached USING (rid) LEFT JOIN proofs USING (rid), root
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _MIX, "op4_line_dedup": _LINES, "op12_merkle_manifest": _MANIFEST, "op13_lexical_search": _SEARCH}

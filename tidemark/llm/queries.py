@@ -16,12 +16,14 @@ from tidemark.llm import (
     lexical,
     licences,
     line_templates,
+    merkle,
     mixing,
     quality,
     repeats,
     token_files,
     url_filter,
 )
+from tidemark.llm.scratch import cut, remove
 from tidemark.session import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -96,6 +98,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_counts(found)
 
 
+TAMPERED = "crc32(cast(doc_id AS string)) % 7 = 0"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest is written, proofs are read from it, and some rows claim another number of characters."""
+    docs = _table(spark, sf_dir, "documents")
+    doc_id, source, lang, n_chars, text = (F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    claim = F.when(F.expr(TAMPERED), merkle.leaf(doc_id, source, lang, n_chars + 1, text))
+    folder = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    leaf = merkle.leaf(doc_id, source, lang, n_chars, text)
+    proofs = merkle.write_manifest(docs, folder, leaf, claim=claim).proofs()
+    checked = merkle.folded(proofs.withColumn("claim", F.coalesce("claim", "leaf")), "claim")
+    names = {"leaf": "leaf", "subroot": "subroot", "root": "root", "proof_sha256": "path_digest", "folded_root": "folded_root"}
+    digests = (merkle.hex_text(F.col(column)).alias(name) for name, column in names.items())
+    found = cut(checked.select(F.col("id").alias("doc_id"), *digests, (F.col("folded_root") == F.col("root")).alias("verified")))
+    remove(spark, folder)
+    return found
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -111,5 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_lexical_search": op13_lexical_search,
 }
