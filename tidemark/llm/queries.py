@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    bpe,
     decontaminate,
     jaccard,
     language,
@@ -98,6 +99,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_counts(found)
 
 
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+
+
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BYTE_TOKENIZER)
+    decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 TAMPERED = "crc32(cast(doc_id AS string)) % 7 = 0"
 
 
@@ -132,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_lexical_search": op13_lexical_search,
 }
