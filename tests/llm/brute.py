@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -156,7 +158,75 @@ def url(text):
     return host, path, best[1], best[2]
 
 
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def search(documents, items, k=20):
+    """(item_id, rank, doc_id, score) of (id, text) documents and items."""
+    counts = [Counter(terms(text)) for _, text in documents]
+    df = Counter(term for found in counts for term in found)
+    n_docs, n_terms = sum(bool(c) for c in counts), sum(sum(c.values()) for c in counts)
+    weights = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
+    found = []
+    for item, content in items:
+        wanted, scored = Counter(terms(content)), []
+        for (key, _), tf in zip(documents, counts):
+            m = 100 - 25 + (25 * sum(tf.values()) * n_docs) // max(n_terms, 1)
+            score = sum(c * weights[t] * ((10**9 * tf[t]) // (1000 * tf[t] + 12 * m)) for t, c in wanted.items() if tf[t])
+            if score > 0:
+                scored.append((-score, key is not None, key))
+        ranked = sorted(scored, key=lambda s: (s[0], s[1], s[2] or 0))[:k]
+        found += [(item, rank, key, -score) for rank, (score, _, key) in enumerate(ranked, 1)]
+    return found
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def tree(nodes):
+    """All levels of nodes, and per leaf its steps upwards: the other node of its run, or None, and the node's number."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([h(*levels[-1][i : i + 2]) for i in range(0, len(levels[-1]), 2)])
+    paths = []
+    for i in range(len(nodes)):
+        numbers = [(level, i >> n) for n, level in enumerate(levels[:-1])]
+        paths.append([(level[j ^ 1] if j ^ 1 < len(level) else None, j) for level, j in numbers])
+    return levels[-1][0], paths
+
+
+def manifest(rows):
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of (doc_id, source, lang, n_chars, text) rows."""
+    groups = {}
+    for row in rows:
+        leaf = h(*map(field, row))
+        changed = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 7 == 0 and row[3] is not None
+        claim = h(*map(field, (*row[:3], row[3] + 1, row[4]))) if changed else leaf
+        groups.setdefault(row[2], []).append((row[0] is not None, row[0] or 0, leaf, claim, row[0]))
+    order = sorted(groups, key=lambda lang: (lang is not None, (lang or "").encode()))
+    trees = [tree([leaf for _, _, leaf, _, _ in sorted(groups[lang])]) for lang in order]
+    root, tops = tree([subroot for subroot, _ in trees]) if trees else (None, [])
+    found = []
+    for lang, (subroot, paths), top in zip(order, trees, tops):
+        for (_, _, leaf, claim, key), path in zip(sorted(groups[lang]), paths):
+            node = claim
+            for sibling, number in path + top:
+                pair = [node] if sibling is None else [node, sibling]
+                node = h(*(reversed(pair) if number & 1 else pair))
+            proof = h(*(sibling for sibling, _ in path + top if sibling))
+            found.append((key, leaf, subroot, root, proof, node, node == root))
+    return found
+
+
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from old oak trees at dawn"
+#: Words of equal length and letters whose polynomial hashes modulo powers of two are equal.
+MORSE = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 BASE = " ".join(f"alpha{i}" for i in range(40))
 #: id, text
@@ -193,4 +263,7 @@ ODD = [
     (28, "single" * 5000),
     (29, "q" + "single" * 5000),
     (-5, PASSAGE + " negative"),
+    (30, MORSE),
+    (31, MORSE.translate(str.maketrans("ab", "ba"))),
+    (32, f"{MORSE} {MORSE.translate(str.maketrans('ab', 'ba'))} {MORSE}\n{MORSE}"),
 ]

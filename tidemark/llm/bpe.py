@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,9 @@ WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
 HEAD_WORDS = 4
 #: Bytes of chunks and joins that a task remembers.
 REMEMBERED_BYTES = 8 << 20
+#: Chunks that are encoded in one call, and ids that are decoded at once (more only in one row): both take many times
+#: their size for a moment.
+CALL_CHUNKS, DECODED_IDS = 256, 1 << 17
 #: A word is certain if so many bytes from its start are there: the longest contraction.
 CONTRACTION = 3
 
@@ -143,6 +147,24 @@ class Vocabulary:
         return self.content[np.arange(lengths.sum()) + np.repeat(self.starts[ids] - begun, lengths)]
 
 
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        """The text of each list of ids."""
+        lists = lists.fill_null([])
+        flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        known = (flat >= 0) & (flat < len(self.lengths))
+        known[known] = self.known[flat[known]]
+        ids = flat[known]
+        before = np.append(0, np.cumsum(known))[ends]
+        places = np.append(0, np.cumsum(self.lengths[ids]))[before]
+        parts = [pa.py_buffer(places.astype(np.int64)), pa.py_buffer(self.bytes_of(ids))]
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, *parts])
+        try:
+            return raw.cast(pa.binary()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([value.as_py().decode("utf-8", "replace") for value in raw], pa.string())
+
+
 _vocabularies: dict[str, Vocabulary] = {}
 
 
@@ -162,13 +184,13 @@ class Encoder:
 
     def _learn(self, wanted: set[bytes]) -> None:
         new = [content for content in wanted if content not in self.known]
-        if not new:
-            return
-        found = self.of.tokenizer.encode_batch([content.decode() for content in new], add_special_tokens=False)
-        for content, encoding in zip(new, found):
-            ids = np.array(encoding.ids, np.int32)
-            self.known[content] = Piece(ids, np.array(encoding.word_ids), self.of.lengths[ids], len(content))
-            self.held += len(content)
+        for low in range(0, len(new), CALL_CHUNKS):
+            part = new[low : low + CALL_CHUNKS]
+            found = self.of.tokenizer.encode_batch([content.decode() for content in part], add_special_tokens=False)
+            for content, encoding in zip(part, found):
+                ids = np.array(encoding.ids, np.int32)
+                self.known[content] = Piece(ids, np.array(encoding.word_ids), self.of.lengths[ids], len(content))
+                self.held += len(content)
 
     def _piece(self, content: bytes) -> Piece:
         if content not in self.known:
@@ -292,27 +314,20 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
 def decode(encoded: DataFrame, path: str, ids_column: str = "ids") -> DataFrame:
     """Adds `text`, the text of the ids, special tokens included."""
-    columns = encoded.columns
+    columns_kept = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = vocabulary(path)
         for batch in batches:
-            lists = batch.column(ids_column).fill_null([])
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-            known = (flat >= 0) & (flat < len(of.lengths))
-            known[known] = of.known[flat[known]]
-            ids = flat[known]
-            before = np.append(0, np.cumsum(known))[ends]
-            places = np.append(0, np.cumsum(of.lengths[ids]))[before]
-            content = pa.py_buffer(of.bytes_of(ids).tobytes())
-            offsets = pa.py_buffer(places.astype(np.int64).tobytes())
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, offsets, content])
-            try:
-                text = raw.cast(pa.binary()).cast(pa.string())
-            except pa.ArrowInvalid:
-                text = pa.array([value.as_py().decode("utf-8", "replace") for value in raw], pa.string())
-            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in columns}, "text": text})
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(ids_column)), 0).to_numpy())
+            low = 0
+            while low < batch.num_rows:
+                before = ends[low - 1] if low else 0
+                high = max(int(np.searchsorted(ends, before + DECODED_IDS, "right")), low + 1)
+                part = batch.slice(low, high - low)
+                columns = {c: part.column(c) for c in columns_kept}
+                yield pa.RecordBatch.from_pydict(columns | {"text": of.texts(part.column(ids_column))})
+                low = high
 
     schema = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes)
     return map_arrow(encoded, run, f"{schema}, text string")

@@ -4,7 +4,7 @@ H is the lower-case hex SHA-256 of concatenated texts. Leaves of a group stand i
 several nodes, each two successive ones become their H, and a last one alone becomes the H of itself. What
 remains is the group's subroot; the subroots, in order of the group, give the root in the same way.
 
-A tree is stored as blocks: aligned subtrees of HEIGHT levels above their leaves. The roots of the blocks are
+A tree is stored as blocks: aligned subtrees of `block_height` levels above their leaves. The roots of the blocks are
 the leaves of the next round's blocks, and so on up to a single block, so that a tree over 2**36 rows has
 three rounds. A block keeps its nodes in van Emde Boas order: its upper half of levels first, then the lower
 subtrees from left to right, each again split at half of its height. The address of a node follows from its
@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.scratch import Stored, map_arrow, ship, stored
 
-#: Levels of a block above its leaves.
+#: Levels of a block above its leaves, where nothing else is said.
 HEIGHT = 12
 #: A step of a path: whether the sibling is missing, right or left of the node, and its digest.
 ALONE, RIGHT, LEFT = 0, 1, 2
@@ -170,6 +170,7 @@ class Forest:
     spark: SparkSession
     folder: str
     rounds: int
+    block_height: int
     carried: list[str]
     carried_types: str
     schema: str
@@ -196,26 +197,20 @@ class Forest:
         else:
             paths = paths.join(above.select("tree", "path"), "tree")
         for round in range(self.rounds - 1, 0, -1):
-            schema = "tree string, block bigint, tree_root binary, path binary"
-            paths = map_arrow(self._with(round, paths), _descend, schema)
+            schema = "tree string, tree_root binary, block bigint, path binary"
+            paths = map_arrow(self._with(round, paths), _descend(self.block_height), schema)
         schema = f"tree string, tree_root binary, leaf binary, path binary{', ' * bool(self.carried)}{self.carried_types}"
-        return map_arrow(self._with(0, paths), _expand(self.carried), schema)
+        return map_arrow(self._with(0, paths), _expand(self.block_height, self.carried), schema)
 
 
-def _count(total: int, block: int, height: int) -> int:
-    """Leaves of a block; only the last one of a tree has fewer than fit in."""
-    return min(total - (block << HEIGHT), 1 << height)
-
-
-def _expanded(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _expanded(batch: pa.RecordBatch, row: int, block_height: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Nodes of a block, places of its leaves, and their paths."""
-    of = {name: batch.column(name)[row] for name in ("total", "block", "height", "path")}
-    height = of["height"].as_py()
+    of = {name: batch.column(name)[row].as_py() for name in ("total", "block", "height", "path")}
     nodes = np.frombuffer(batch.column("nodes")[row].as_buffer(), np.uint8).reshape(-1, 32)
-    count = _count(of["total"].as_py(), of["block"].as_py(), height)
-    above = of["path"].as_py()
-    steps = sibling_steps(nodes, count, height).reshape(count, -1)
-    return nodes, addresses(height + 1)[height][:count], [step.tobytes() + above for step in steps]
+    # Only the last block of a tree has fewer leaves than fit in.
+    count = min(of["total"] - (of["block"] << block_height), 1 << of["height"])
+    steps = sibling_steps(nodes, count, of["height"]).reshape(count, -1)
+    return nodes, addresses(of["height"] + 1)[of["height"]][:count], [step.tobytes() + of["path"] for step in steps]
 
 
 def _names(batch: pa.RecordBatch, row: int, times: int) -> dict[str, pa.Array]:
@@ -226,21 +221,27 @@ def _names(batch: pa.RecordBatch, row: int, times: int) -> dict[str, pa.Array]:
     }
 
 
-def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _descend(block_height: int):
     """From blocks of a round with their paths to the paths of the blocks below."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            paths = _expanded(batch, row)[2]
-            first = batch.column("block")[row].as_py() << HEIGHT
-            columns = {"block": np.arange(first, first + len(paths)), "path": pa.array(paths, pa.binary())}
-            yield pa.RecordBatch.from_pydict(_names(batch, row, len(paths)) | columns)
 
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                paths = _expanded(batch, row, block_height)[2]
+                first = batch.column("block")[row].as_py() << block_height
+                columns = {"block": np.arange(first, first + len(paths)), "path": pa.array(paths, pa.binary())}
+                yield pa.RecordBatch.from_pydict(_names(batch, row, len(paths)) | columns)
+
+    return descend
+
+
+def _expand(block_height: int, carried: list[str]):
+    """From the lowest blocks with their paths to their leaves."""
 
-def _expand(carried: list[str]):
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                nodes, at, paths = _expanded(batch, row)
+                nodes, at, paths = _expanded(batch, row, block_height)
                 columns = _names(batch, row, len(paths)) | {
                     "leaf": pa.array([node.tobytes() for node in nodes[at]], pa.binary()),
                     "path": pa.array(paths, pa.binary()),
@@ -253,7 +254,7 @@ def _expand(carried: list[str]):
     return expand
 
 
-def grow(leaves: DataFrame, folder: str) -> Forest:
+def grow(leaves: DataFrame, folder: str, block_height: int = HEIGHT) -> Forest:
     """Writes the rounds of blocks over rows tree, place, total, digest; all other columns are carried."""
     spark = leaves.sparkSession
     ship(spark)
@@ -265,7 +266,7 @@ def grow(leaves: DataFrame, folder: str) -> Forest:
         def block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             table = table.sort_by("place")
             total, number = table.column("total")[0].as_py(), key[1].as_py()
-            height = HEIGHT if total > 1 << HEIGHT else (total - 1).bit_length()
+            height = block_height if total > 1 << block_height else (total - 1).bit_length()
             nodes = block_nodes(table.column("digest").to_pylist(), height)
             columns = {
                 "tree": pa.array([key[0].as_py()], pa.string()),
@@ -286,16 +287,16 @@ def grow(leaves: DataFrame, folder: str) -> Forest:
     most = leaves.agg(F.max("total")).first()[0] or 0
     rounds = 0
     while rounds == 0 or most > 1:
-        grouped = leaves.withColumn("block", F.shiftright("place", HEIGHT)).groupBy("tree", "block")
+        grouped = leaves.withColumn("block", F.shiftright("place", block_height)).groupBy("tree", "block")
         made = grouped.applyInArrow(build(carried if rounds == 0 else []), schema if rounds == 0 else _BLOCKS)
         made.write.parquet(f"{folder}/round={rounds}")
-        size = 1 << HEIGHT
+        size = 1 << block_height
         above = F.floor((F.col("total") + (size - 1)) / size).cast("bigint")
         read = spark.read.schema(_BLOCKS).parquet(f"{folder}/round={rounds}")
         leaves = read.select("tree", F.col("block").alias("place"), above.alias("total"), F.col("root").alias("digest"))
         most = -(-most // size)
         rounds += 1
-    return Forest(spark, folder, rounds, carried, types, schema)
+    return Forest(spark, folder, rounds, block_height, carried, types, schema)
 
 
 @dataclass
@@ -318,19 +319,25 @@ class Manifest:
 
 
 def write_manifest(
-    rows: DataFrame, folder: str, digest: Column, group: str = "lang", id_column: str = "doc_id", **carried: Column
+    rows: DataFrame,
+    folder: str,
+    digest: Column,
+    group: str = "lang",
+    id_column: str = "doc_id",
+    block_height: int = HEIGHT,
+    **carried: Column,
 ) -> Manifest:
     """Writes the manifest of `rows` by the given digests; the id, and the columns in `carried`, stand beside leaves."""
     key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
     kept = {"digest": digest, "id": F.col(id_column), **carried, "number": F.monotonically_increasing_id()}
     leaves = stored(rows.select(key.alias("tree"), *(value.alias(name) for name, value in kept.items())))
     placed, sorted_leaves = numbered(leaves.frame, ["id", "digest", "number"])
-    groups = grow(placed.drop("number"), f"{folder}/groups")
+    groups = grow(placed.drop("number"), f"{folder}/groups", block_height)
     leaves.remove()
     sorted_leaves.remove()
     roots = groups.roots().select(F.lit("").alias("tree"), F.col("tree").alias("group"), F.col("root").alias("digest"))
     placed, sorted_roots = numbered(roots, ["group"])
-    top = grow(placed, f"{folder}/top")
+    top = grow(placed, f"{folder}/top", block_height)
     sorted_roots.remove()
     return Manifest(groups, top)
 
