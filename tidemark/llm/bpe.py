@@ -9,6 +9,9 @@ next chunk agree on a border. From an agreed border on both are the same, as the
 them only; a word is certain if the text that decided it lies within the chunk. So the ids are exactly those of
 the whole text, whatever the cuts. Encoded joins are remembered like chunks.
 
+Words of chunks in the Latin scripts are found by the library's own pattern, with character classes asked from the library,
+and each distinct one is encoded by it once; chunks with other characters go to the library whole.
+
 Special tokens part a text before anything else, as the library has it. Taken are tokenizers of byte-level words without
 normalizer, prefix space or other conditions on special tokens; truncation and padding settings are not used.
 
@@ -44,6 +47,12 @@ REMEMBERED_BYTES = 8 << 20
 #: Chunks that are encoded in one call, and ids that are decoded at once (more only in one row): both take many times
 #: their size for a moment.
 CALL_CHUNKS, DECODED_IDS = 256, 1 << 17
+#: Bytes of distinct words that a task remembers.
+WORD_BYTES = 4 << 20
+#: Characters below the first are looked at here; in UTF-8 they have no byte above the second.
+PLAIN, PLAIN_BYTE = 0x240, 0xC8
+#: Fixed value: how byte-level tokenizers find words, with classes of letters, numbers and white space to be filled in.
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: A word is certain if so many bytes from its start are there: the longest contraction.
 CONTRACTION = 3
 
@@ -94,13 +103,9 @@ class Piece:
 
     __slots__ = ("ids", "first", "start", "tail", "size")
 
-    def __init__(self, ids: np.ndarray, words: np.ndarray, lengths: np.ndarray, size: int):
-        self.ids, self.size = ids, size
-        new = np.ones(len(ids), bool)
-        new[1:] = words[1:] != words[:-1]
-        self.first = np.flatnonzero(new).astype(np.int32)
-        self.start = (np.cumsum(lengths) - lengths)[self.first].astype(np.int32)
-        self.tail = min(len(self.start) - 1, int(np.searchsorted(self.start, size - CONTRACTION, "right")))
+    def __init__(self, ids: np.ndarray, first: np.ndarray, start: np.ndarray, size: int):
+        self.ids, self.first, self.start, self.size = ids, first, start, size
+        self.tail = min(len(start) - 1, int(np.searchsorted(start, size - CONTRACTION, "right")))
 
 
 def byte_characters() -> dict[str, int]:
@@ -141,6 +146,17 @@ class Vocabulary:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.content = np.frombuffer(b"".join(table), np.uint8)
 
+        self.words = re.compile(self._word_pattern())
+
+    def _word_pattern(self) -> str:
+        """The pattern of words of plain characters, each in the class that the library puts it in."""
+        found = {"L": "a", "N": "1", "S": "\n"}
+        for character in map(chr, range(PLAIN)):
+            for name, other in (("L", "a"), ("N", "1"), ("S", "\n")):
+                if len(self.tokenizer.pre_tokenizer.pre_tokenize_str(other + character)) == 1:
+                    found[name] += character
+        return WORD_PATTERN.format(**{name: re.escape(characters) for name, characters in found.items()})
+
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         lengths = self.lengths[ids]
         begun = np.cumsum(lengths) - lengths
@@ -174,23 +190,72 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+class WordIds:
+    """The ids of distinct words, each encoded alone."""
+
+    def __init__(self, of: Vocabulary):
+        self.of = of
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.held = 0
+        #: All ids, and by word where its ids start and how many they are, and its bytes.
+        self.flat = np.zeros(0, np.int32)
+        self.first, self.size, self.bytes = (np.zeros(0, np.int64) for _ in range(3))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        new = list(set(words).difference(self.number))
+        if new:
+            found = [e.ids for e in self.of.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            size = np.array([len(ids) for ids in found])
+            content = np.array([len(word.encode()) for word in new])
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.first = np.append(self.first, len(self.flat) + np.cumsum(size) - size)
+            self.size, self.bytes = np.append(self.size, size), np.append(self.bytes, content)
+            self.flat = np.append(self.flat, np.fromiter((i for ids in found for i in ids), np.int32, size.sum()))
+            self.held += int(content.sum())
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def pieces(self, texts: list[str]) -> Iterator[Piece]:
+        lists = [self.of.words.findall(text) for text in texts]
+        ends = np.cumsum([len(words) for words in lists])
+        numbers = self.numbers([word for words in lists for word in words])
+        size, content = self.size[numbers], self.bytes[numbers]
+        first, start = np.cumsum(size) - size, np.cumsum(content) - content
+        ids = self.flat[np.repeat(self.first[numbers] - first, size) + np.arange(size.sum())]
+        first, start = np.append(first, size.sum()), np.append(start, content.sum())
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            here = first[a:b] - first[a]
+            yield Piece(ids[first[a] : first[b]].copy(), here.astype(np.int32), (start[a:b] - start[a]).astype(np.int32), int(start[b] - start[a]))
+
+
 class Encoder:
     """Encodes whole columns of texts; remembers what it has encoded."""
 
     def __init__(self, path: str):
         self.of = vocabulary(path)
+        self.words = WordIds(self.of)
         self.known: dict[bytes, Piece] = {}
         self.held = 0
 
     def _learn(self, wanted: set[bytes]) -> None:
         new = [content for content in wanted if content not in self.known]
-        for low in range(0, len(new), CALL_CHUNKS):
-            part = new[low : low + CALL_CHUNKS]
-            found = self.of.tokenizer.encode_batch([content.decode() for content in part], add_special_tokens=False)
-            for content, encoding in zip(part, found):
-                ids = np.array(encoding.ids, np.int32)
-                self.known[content] = Piece(ids, np.array(encoding.word_ids), self.of.lengths[ids], len(content))
-                self.held += len(content)
+        plain = [content for content in new if np.frombuffer(content, np.uint8).max() <= PLAIN_BYTE]
+        others = list(set(new).difference(plain))
+        for contents, pieces in ((plain, self.words.pieces), (others, self._by_library)):
+            for low in range(0, len(contents), CALL_CHUNKS):
+                part = contents[low : low + CALL_CHUNKS]
+                self.known.update(zip(part, pieces([content.decode() for content in part])))
+        self.held += sum(map(len, new))
+
+    def _by_library(self, texts: list[str]) -> Iterator[Piece]:
+        for encoding in self.of.tokenizer.encode_batch(texts, add_special_tokens=False):
+            ids, words = np.array(encoding.ids, np.int32), np.array(encoding.word_ids)
+            first = np.flatnonzero(np.append(True, words[1:] != words[:-1])).astype(np.int32)
+            lengths = self.of.lengths[ids]
+            ends = np.cumsum(lengths)
+            yield Piece(ids, first, (ends - lengths)[first].astype(np.int32), int(ends[-1]))
 
     def _piece(self, content: bytes) -> Piece:
         if content not in self.known:
@@ -203,6 +268,8 @@ class Encoder:
             if self.held > REMEMBERED_BYTES:
                 self.known.clear()
                 self.held = 0
+            if self.words.held > WORD_BYTES:
+                self.words.forget()
             content = data.tobytes()
             cutter = Cutter(data)
             rows = [self._stretches(content, a, b, cutter) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
