@@ -36,6 +36,10 @@ SKIPPED = {
     "byte order mark": b'\xef\xbb\xbf{"a":1}',
     "single quotes": b"{'a':1}",
     "leading zero": b'{"a":01}',
+    "no number": b'{"a":NaN}',
+    "end mark of its own": b'{"a":1},{"~":"1"}] junk }',
+    "end mark and more": b'{"a":1},{"~":"1"}]',
+    "null and more": b'null,{"a":1}',
 }
 
 # text -> (outcome, ticket fields that must hold if the outcome is ok)

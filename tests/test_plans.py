@@ -5,10 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import gold, silver, tickets
+from tidemark.operators import decode, gold, silver, tickets
 from tidemark.plans.queries import QUERIES
 from tidemark.plans.rebuild import state_from_bronze
-from tidemark.schemas import BRONZE_STORE, SILVER_STORE
+from tidemark.schemas import BRONZE_STORE, MESSAGE, SILVER_STORE
 from tidemark.session import job_sizes
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -54,7 +54,24 @@ def scans(frame) -> list[set[str]]:
 def test_json_is_parsed_once(raw):
     changes = tickets.ticket_changes(tickets.classify_events(raw))
     for frame in (changes, silver.silver_state(changes), gold.gold_counts(silver.silver_state(changes))):
-        assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+        assert json_reads(frame) == 1
+
+
+def json_reads(frame) -> int:
+    """Expressions of the plan that read JSON, whatever they are called."""
+    names = "from_json|json_array_length|json_object_keys|get_json_object|json_tuple|parse_json|schema_of_json"
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(rf"({names})\(", text)) + text.count("invoke(JsonExpressionUtils")
+
+
+def test_messages_are_parsed_once(spark):
+    """From bytes to outcome, the test for one whole object included; raw text stays as it came."""
+    messages = spark.createDataFrame([], MESSAGE)
+    read = decode.bronze_rows(decode.decode_events(messages))
+    for frame in (read, tickets.classify_events(read), decode.decode_messages(messages)):
+        assert json_reads(frame) == 1
+    for name in ("decode_valid_messages", "envelope_classify", "ticket_changes", "gold_counts", "throughput_last60"):
+        assert json_reads(QUERIES[name](spark, SF_DIR)) <= 1
 
 
 def test_stored_events_are_read_without_their_text(bronze):

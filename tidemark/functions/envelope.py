@@ -36,7 +36,7 @@ def event_outcome(body: Column) -> Column:
     source, image = body["source"], row_image(body)
     return (
         F.when(source.isNull(), FAILED)
-        .when(~source["table"].eqNullSafe(TICKET_TABLE), IGNORED)
+        .when(~F.try_element_at(source, F.lit("table")).eqNullSafe(TICKET_TABLE), IGNORED)
         .when(~F.coalesce(body["op"].isin(*OPERATIONS), F.lit(False)), FAILED)
         .when(image.isNull(), FAILED)
         .when(image["id"].isNotNull() & ticket_id(image).isNull(), QUARANTINED)
@@ -44,18 +44,13 @@ def event_outcome(body: Column) -> Column:
     )
 
 
-def source_database(body: Column, raw_payload: Column) -> Column:
+def source_database(body: Column) -> Column:
     """Database name; `unknown` if the key is missing, NULL if it is there and null.
 
-    The typed parse cannot tell these two apart, so the keys are read, for rows without a name only.
+    The source is read as a map, which tells these two apart; of a repeated key the first counts.
     """
-    db = body["source"]["db"]
-    keys = F.json_object_keys(F.get_json_object(raw_payload, "$.payload.payload.source"))
-    return (
-        F.when(db.isNotNull(), db)
-        .when(F.array_contains(keys, "db"), F.lit(None).cast("string"))
-        .otherwise(UNKNOWN_DB)
-    )
+    named = F.map_contains_key(body["source"], F.lit("db"))
+    return F.when(named, F.try_element_at(body["source"], F.lit("db"))).otherwise(UNKNOWN_DB)
 
 
 def change_time(body: Column) -> Column:

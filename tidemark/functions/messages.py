@@ -1,27 +1,35 @@
-"""Message bytes to JSON text."""
+"""Message bytes to JSON text and to the parts of it that are read, in one parse."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# One pair of braces around everything but the white space JSON allows there. Most texts need no regex.
-_IN_BRACES = r'^[ \t\r\n]*\{[ \t\r\n]*("(?s:.*))?\}[ \t\r\n]*\z'
+# Name of the field that closes what was read.
+END = "~"
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def is_json_object(text: Column) -> Column:
-    """True when the whole text is one JSON object in valid UTF-8; false, not NULL, for all else.
+def parsed(text: Column, fields: T.StructType) -> Column:
+    """Everything that is to be known of a message: an array of its typed fields and an end mark.
 
-    Spark's JSON functions stop after the first value, so `{"a":1} x` would pass. Parsed as the first
-    of two elements of an array, anything after the object is an error or a further element, unless it
-    closes the array: `{"a":1},0] x }`. Then the number of elements does not depend on what follows, so
-    texts that have a bracket to close it must also be the first of three elements.
+    Spark's parser stops after the first value, so a text alone would not show what follows the object. Here it
+    is the first of two elements of an array; the second one is put behind it and holds the hash of the text.
+    If the array has these two elements, the text was one value from end to end: any other text makes the
+    array longer, closes it early, or breaks it, and none can hold its own hash.
     """
-    in_braces = F.when(text.startswith('{"') & text.endswith("}"), True).otherwise(text.rlike(_IN_BRACES))
+    mark = F.concat(F.lit(f',{{"{END}":"'), F.xxhash64(text).cast("string"), F.lit('"}]'))
+    element = T.StructType([*fields.fields, T.StructField(END, T.StringType())])
+    return F.from_json(F.concat(F.lit("["), text, mark), T.ArrayType(element), _STRICT)
 
-    def elements(more: str) -> Column:
-        return F.json_array_length(F.concat(F.lit("["), text, F.lit(f"{more}]")))
 
-    whole = (elements(",0") == 2) & (~F.contains(text, F.lit("]")) | (elements(",0,0") == 3))
-    return F.coalesce(F.is_valid_utf8(text) & in_braces & whole, F.lit(False))
+def is_json_object(text: Column, read: Column) -> Column:
+    """True when the whole text is one JSON object in valid UTF-8, by what `parsed` gave; false, not NULL, for all else.
+
+    A first element that is no object is NULL or makes the array NULL.
+    """
+    closed = F.get(read, F.lit(1))[END] == F.xxhash64(text).cast("string")
+    whole = (F.size(read) == 2) & F.get(read, F.lit(0)).isNotNull() & closed
+    return F.coalesce(F.is_valid_utf8(text) & whole, F.lit(False))
 
 
 # Fixed value: stands in for a topic that has no name.

@@ -14,28 +14,31 @@ POSITION = ["batch_id", "topic", "partition", "offset"]
 
 
 def classify_events(bronze: DataFrame) -> DataFrame:
-    """Adds outcome and ticket fields to Bronze rows; the fields count only where the outcome is `ok`."""
-    body = F.col("event.payload.payload")
+    """Adds outcome and ticket fields to Bronze rows; the fields count only where the outcome is `ok`.
+
+    Rows with `event` were read on the way in and lose it here; of others the text is parsed.
+    """
+    kept = [name for name in bronze.columns if name != "event"]
+    if "event" not in bronze.columns:
+        parsed = with_computed_once(bronze, wrapped=F.from_json("raw_payload", ENVELOPE))
+        bronze = parsed.select(*kept, F.col("wrapped.payload").alias("event"))
+    body = F.col("event.payload")
     image = F.col("image")
-    return (
-        with_computed_once(bronze, event=F.from_json("raw_payload", ENVELOPE))
-        .select(
-            *bronze.columns,
-            envelope.event_outcome(body).alias("outcome"),
-            envelope.row_image(body).alias("image"),
-            envelope.source_database(body, F.col("raw_payload")).alias("source_db"),
-            body["op"].alias("op"),
-            envelope.change_time(body).alias("ts_ms"),
-        )
-        .select(
-            *bronze.columns,
-            "outcome",
-            envelope.ticket_id(image).alias("id"),
-            *(image[name].alias(name) for name in ("project_id", "reporter_id", "status", "priority")),
-            "source_db",
-            "op",
-            "ts_ms",
-        )
+    return bronze.select(
+        *kept,
+        envelope.event_outcome(body).alias("outcome"),
+        envelope.row_image(body).alias("image"),
+        envelope.source_database(body).alias("source_db"),
+        body["op"].alias("op"),
+        envelope.change_time(body).alias("ts_ms"),
+    ).select(
+        *kept,
+        "outcome",
+        envelope.ticket_id(image).alias("id"),
+        *(image[name].alias(name) for name in ("project_id", "reporter_id", "status", "priority")),
+        "source_db",
+        "op",
+        "ts_ms",
     )
 
 

@@ -41,7 +41,7 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tickets.classify_events(decode.bronze_rows(decoded(spark, sf_dir)))
+    return tickets.classify_events(decode.bronze_rows(decode.decode_events(messages(spark, sf_dir))))
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def gold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes_of(events: DataFrame) -> DataFrame:
-    found = decode.decode_messages(on_topics(change_messages(events), TOPIC_PATTERN))
+    found = decode.decode_events(on_topics(change_messages(events), TOPIC_PATTERN))
     return tickets.ticket_changes(tickets.classify_events(decode.bronze_rows(found)))
 
 

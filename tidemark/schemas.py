@@ -26,39 +26,28 @@ _ROW_IMAGE = T.StructType(
 # As it is read: the id as text, so that one of another type can be told from none.
 _READ_IMAGE = T.StructType([T.StructField("id", T.StringType()), *_ROW_IMAGE.fields[1:]])
 
-# The part of a Bronze payload that is read; all other fields are skipped by the JSON parser.
-ENVELOPE = T.StructType(
+# The part of a message that is read; all other fields are skipped by the JSON parser. The source is a map, so that a
+# key that is there and null can be told from none.
+EVENT = T.StructType(
     [
         T.StructField(
             "payload",
             T.StructType(
                 [
-                    T.StructField(
-                        "payload",
-                        T.StructType(
-                            [
-                                T.StructField("op", T.StringType()),
-                                T.StructField("ts_ms", T.LongType()),
-                                T.StructField(
-                                    "source",
-                                    T.StructType(
-                                        [
-                                            T.StructField("db", T.StringType()),
-                                            T.StructField("table", T.StringType()),
-                                        ]
-                                    ),
-                                ),
-                                T.StructField("before", _READ_IMAGE),
-                                T.StructField("after", _READ_IMAGE),
-                            ]
-                        ),
-                    )
+                    T.StructField("op", T.StringType()),
+                    T.StructField("ts_ms", T.LongType()),
+                    T.StructField("source", T.MapType(T.StringType(), T.StringType())),
+                    T.StructField("before", _READ_IMAGE),
+                    T.StructField("after", _READ_IMAGE),
                 ]
             ),
         )
     ]
 )
 
+# The same in a Bronze payload, which wraps the message.
+ENVELOPE = T.StructType([T.StructField("payload", EVENT)])
+
 SILVER = T.StructType(
     [
         *_ROW_IMAGE.fields,

@@ -9,7 +9,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -61,9 +61,9 @@ class TicketWorker:
             raise ValueError(f"batch {batch_id} is older than batch {self._through} of {self.tables.root}")
         step = BRONZE_STEP
         try:
-            self._write_bronze(messages, batch_id)
+            counts = self._write_bronze(messages, batch_id)
             step = SILVER_STEP
-            counts = self._write_changes(batch_id)
+            counts["processed"] = self._write_changes(batch_id)
             self.tables.write_log(health.BATCH, batch_id, **counts)
         except Exception as error:
             self._log_failure(batch_id, f"{step} failed: {error}")
@@ -72,32 +72,38 @@ class TicketWorker:
         if counts["processed"] > 0:
             self._changed_through = batch_id
 
-    def _write_bronze(self, messages: DataFrame, batch_id: int) -> None:
-        """The only pass over the messages: decoded, parsed and stored with the raw text."""
-        rows = tickets.classify_events(decode.bronze_rows(decode.decode_messages(messages)))
-        rows.write.mode("overwrite").parquet(self.tables.batch_path("bronze", batch_id))
+    def _write_bronze(self, messages: DataFrame, batch_id: int) -> dict[str, int]:
+        """The only pass over the messages: decoded, read and stored with the raw text, and counted by outcome.
 
-    def _write_changes(self, batch_id: int) -> dict[str, int]:
+        The counts are taken by the tasks that write, once per task of the last stage whose result counts: a task that is
+        run again, after the loss of an executor or beside a slow one, adds nothing, and a repeated batch writes its counts
+        anew.
+        """
+        rows = tickets.classify_events(decode.bronze_rows(decode.decode_events(messages)))
+        seen, outcome = Observation(), F.col("outcome")
+        counted = rows.observe(
+            seen,
+            F.count(F.lit(1)).alias("received"),
+            F.count_if(outcome.isin(envelope.FAILED, envelope.QUARANTINED)).alias("failed"),
+            F.count_if(outcome == envelope.IGNORED).alias("ignored"),
+        )
+        counted.write.mode("overwrite").parquet(self.tables.batch_path("bronze", batch_id))
+        found = seen.get
+        return {name: found.get(name) or 0 for name in ("received", "failed", "ignored")}
+
+    def _write_changes(self, batch_id: int) -> int:
         """Reads the batch back from Bronze, without the raw text: the table is the cut in the lineage.
 
-        Counts come from what was written, never from task side effects, which a lost executor repeats.
+        Returns the number of changes, counted as they are written.
         """
-        events = self.tables.bronze_batch(batch_id)
-        winners = silver.latest_per_key(tickets.ticket_changes(events))
+        winners = silver.latest_per_key(tickets.ticket_changes(self.tables.bronze_batch(batch_id)))
         # The order the winners have already, so Spark drops this sort.
         ordered = winners.sortWithinPartitions("batch_id", *silver.KEY)
         stored = ordered.select(*(name for name in SILVER_STORE.fieldNames() if name != "batch_id"))
-        stored.write.mode("overwrite").parquet(self.tables.batch_path("changes", batch_id))
-        processed = self.tables.changes_batch(batch_id).select(F.lit("processed").alias("outcome"))
-        counted = events.select("outcome").unionByName(processed).groupBy("outcome").count()
-        counts = {row["outcome"]: row["count"] for row in counted.collect()}
-        processed = counts.pop("processed", 0)
-        return {
-            "received": sum(counts.values()),
-            "processed": processed,
-            "failed": counts.get(envelope.FAILED, 0) + counts.get(envelope.QUARANTINED, 0),
-            "ignored": counts.get(envelope.IGNORED, 0),
-        }
+        seen = Observation()
+        counted = stored.observe(seen, F.count(F.lit(1)).alias("processed"))
+        counted.write.mode("overwrite").parquet(self.tables.batch_path("changes", batch_id))
+        return seen.get.get("processed") or 0
 
     def _log_failure(self, batch_id: int, message: str) -> None:
         """A failed batch fails whole, as far as its rows reached Bronze; the first error is the one raised."""
