@@ -115,6 +115,10 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: Bytes, read as Latin-1, to the characters that stand for them.
+BYTE_NAMES = {byte: character for character, byte in byte_characters().items()}
+
+
 class Vocabulary:
     """A tokenizer file: the library's tokenizer, special tokens, and the bytes of each id."""
 
@@ -190,32 +194,45 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+class Numbers(dict):
+    """Numbers of words; a word that has none gets the next one and stands in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
+
+
 class WordIds:
     """The ids of distinct words, each encoded alone."""
 
     def __init__(self, of: Vocabulary):
-        self.of = of
+        self.of, self.model = of, of.tokenizer.model
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.held = 0
         #: All ids, and by word where its ids start and how many they are, and its bytes.
         self.flat = np.zeros(0, np.int32)
         self.first, self.size, self.bytes = (np.zeros(0, np.int64) for _ in range(3))
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        new = list(set(words).difference(self.number))
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new, self.number.new = self.number.new, []
         if new:
-            found = [e.ids for e in self.of.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.array([len(ids) for ids in found])
-            content = np.array([len(word.encode()) for word in new])
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            contents = [word.encode() for word in new]
+            ids = [[t.id for t in self.model.tokenize(c.decode("latin-1").translate(BYTE_NAMES))] for c in contents]
+            size, content = np.array([len(i) for i in ids]), np.array([len(c) for c in contents])
             self.first = np.append(self.first, len(self.flat) + np.cumsum(size) - size)
             self.size, self.bytes = np.append(self.size, size), np.append(self.bytes, content)
-            self.flat = np.append(self.flat, np.fromiter((i for ids in found for i in ids), np.int32, size.sum()))
+            self.flat = np.append(self.flat, np.fromiter((i for each in ids for i in each), np.int32, size.sum()))
             self.held += int(content.sum())
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return found
 
     def pieces(self, texts: list[str]) -> Iterator[Piece]:
         lists = [self.of.words.findall(text) for text in texts]
