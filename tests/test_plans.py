@@ -17,6 +17,10 @@ EAGER = {  # run while they are built
     "stream_gold",
     "stream_batch_log",
     "stream_throughput",
+    "stream_bronze",
+    "stream_gold_report",
+    "stream_last60",
+    "stream_minutes",
     "rebuild_gold",
     "worker_metrics",
     "worker_status",

@@ -19,7 +19,7 @@ from tidemark.plans.rebuild import rebuild
 from tidemark.schemas import GOLD, MESSAGE, SILVER, SILVER_STORE
 from tidemark.sources.replay import change_messages
 from tidemark.sources.streams import BrokerOptions, broker_messages, file_messages
-from tidemark.streaming import monitor
+from tidemark.streaming import monitor, tables
 from tidemark.streaming.tables import TicketTables
 from tidemark.streaming.worker import TicketWorker, WorkerOptions, gold_report, worker_report
 
@@ -162,7 +162,7 @@ def test_full_state_is_rewritten_and_old_changes_go(spark, feed, tmp_path):
     check_tables(feed, worker.tables)
 
 
-def test_rewrite_waits_for_enough_changes(spark, feed, tmp_path):
+def test_rewrite_waits_for_enough_changes(spark, feed, tmp_path, monkeypatch):
     worker = TicketWorker(spark, str(tmp_path / "lake"), WorkerOptions(min_pending_batches=2, pending_share=100.0))
     worker.apply_batch(feed.where("batch_id = 0"), 0)
     assert not worker.rewrite_silver_if_due()
@@ -174,8 +174,11 @@ def test_rewrite_waits_for_enough_changes(spark, feed, tmp_path):
         assert rows_of(worker.refresh_gold()) == rows_of(gold.gold_counts(state))
     # The full state is read only where ids of pending changes can be, and stays where it is.
     text = worker.tables.gold_rows(3)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(id,\d+\), LessThanOrEqual\(id,\d+\)", text)
+    assert re.search(r"PushedFilters: \[[^]]*In\(id, \[\d+,", text)
     assert "LeftSemi, BuildRight" in text and "SortMergeJoin" not in text
+    monkeypatch.setattr(tables, "KEY_LIST", 3)
+    text = worker.tables.gold_rows(3)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(id,\d+\), LessThanOrEqual\(id,\d+\)", text)
     assert not worker.rewrite_silver_if_due()
     worker.refresh_gold()
     check_tables(feed, worker.tables)

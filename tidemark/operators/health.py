@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# What a row of the log reports: a batch, a failed attempt, or a Gold refresh between batches.
-BATCH, FAILURE, GOLD_REFRESH = "batch", "failure", "gold"
+# What a row of the log reports: a batch, a failed attempt, a failure of the source that is tried again, or a Gold
+# refresh between batches.
+BATCH, FAILURE, RETRY, GOLD_REFRESH = "batch", "failure", "retry", "gold"
 
 
 def worker_metrics(batch_log: DataFrame) -> DataFrame:
     """Totals over the log, one row; `last_error` is cleared by the next good batch."""
-    attempts = batch_log.where(F.col("kind").isin(BATCH, FAILURE))
+    attempts = batch_log.where(F.col("kind").isin(BATCH, FAILURE, RETRY))
     newest = F.max_by(
         F.struct("finished_at", "success", "error_message"), F.struct("finished_at", "batch_id")
     )
@@ -32,7 +33,10 @@ def worker_metrics(batch_log: DataFrame) -> DataFrame:
     )
 
 
-def worker_status(metrics: DataFrame) -> DataFrame:
-    """`degraded` while the last attempt has an error, else `ok`."""
-    status = F.when(F.coalesce(F.col("last_error"), F.lit("")) != "", "degraded").otherwise("ok")
-    return metrics.withColumn("status", status)
+def worker_status(metrics: DataFrame, alive: bool = False, running: bool = False) -> DataFrame:
+    """`degraded` while the last attempt has an error, or the job has stopped though its process lives; else `ok`.
+
+    `alive` and `running` are facts of the job's process; nothing is known of them from the log alone.
+    """
+    troubled = (F.coalesce(F.col("last_error"), F.lit("")) != "") | F.lit(alive and not running)
+    return metrics.withColumn("status", F.when(troubled, "degraded").otherwise("ok"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timing import clock_label, per_second
@@ -19,6 +19,12 @@ def _duration(seconds: float) -> str:
     return f"{round(seconds * 1_000_000)} microseconds"
 
 
+def _interval_of(at: Column, interval_sec: float) -> Column:
+    """The start of the interval that holds a time."""
+    micros = round(interval_sec * 1_000_000)
+    return F.timestamp_micros(F.unix_micros(at) - F.pmod(F.unix_micros(at), F.lit(micros)))
+
+
 def interval_counts(decoded: DataFrame, interval_sec: float = INTERVAL_SEC) -> DataFrame:
     """Decoded messages per interval, foreign tables included; intervals without any are absent."""
     return (
@@ -28,13 +34,23 @@ def interval_counts(decoded: DataFrame, interval_sec: float = INTERVAL_SEC) -> D
     )
 
 
+def rolled_up(counts: DataFrame, interval_sec: float) -> DataFrame:
+    """The same events per longer interval; counts of counts add up, so tiers can be made of tiers."""
+    return (
+        counts.groupBy(F.window("interval_start", _duration(interval_sec)).alias("interval"))
+        .agg(F.sum("events_in_interval").alias("events_in_interval"))
+        .select(F.col("interval.start").alias("interval_start"), "events_in_interval")
+    )
+
+
 def fill_intervals(
     counts: DataFrame,
     interval_sec: float = INTERVAL_SEC,
     per_chunk: int = 3600,
     history_sec: float = HISTORY_SEC,
+    until: Column | None = None,
 ) -> DataFrame:
-    """Adds the intervals without events between the first and the last one.
+    """Adds the intervals without events between the first and the last one, or up to the time `until`.
 
     The time line is laid out in chunks first and then inside each chunk, so a long history is built
     by many tasks and no array holds more than `per_chunk` intervals. One message stamped years ago
@@ -46,6 +62,7 @@ def fill_intervals(
     chunks = (
         counts.agg(F.min("interval_start").alias("first"), F.max("interval_start").alias("last"))
         .where("first IS NOT NULL")
+        .withColumn("last", F.col("last") if until is None else F.greatest("last", _interval_of(until, interval_sec)))
         .withColumn("first", F.greatest(F.col("first"), F.col("last") - history))
         .select(F.explode(F.sequence("first", "last", chunk)).alias("start"), "last")
         .repartition("start")

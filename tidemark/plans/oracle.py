@@ -203,6 +203,11 @@ def _on_points(select: str) -> str:
     return _query(_FEED + _POINTS, select)
 
 
+def _per(unit: str) -> str:
+    return f"""SELECT {_START_TEXT}, events_in_interval FROM (
+  SELECT date_trunc('{unit}', s) AS interval_start, CAST(sum(c) AS BIGINT) AS events_in_interval FROM counted GROUP BY 1)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "topic_subscription": _query(
         _FEED,
@@ -260,6 +265,21 @@ WHERE EXISTS (SELECT 1 FROM batch b WHERE t.id = b.id AND t.source_db = b.source
     ),
     "silver_null_keys": _on_silver(f"SELECT {_SILVER_COLUMNS} FROM silver WHERE id IS NULL OR source_db IS NULL"),
     "silver_state": _on_silver(f"SELECT {_SILVER_COLUMNS} FROM silver"),
+    "silver_guarded": _on_changes(
+        f"""SELECT {_SILVER_COLUMNS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY id, source_db, CASE WHEN id IS NULL OR source_db IS NULL THEN batch_id END
+    ORDER BY ts_ms DESC, batch_id DESC, "offset" DESC) AS place
+  FROM changes)
+WHERE place = 1 AND op <> 'd'"""
+    ),
+    "late_changes": _query(
+        _FEED + _CHANGES + _WINNERS,
+        """SELECT batch_id, id, source_db, ts_ms, mark FROM (
+  SELECT *, max(ts_ms) OVER (PARTITION BY id, source_db ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    AS mark
+  FROM winners WHERE id IS NOT NULL AND source_db IS NOT NULL)
+WHERE ts_ms < mark""",
+    ),
     "gold_counts": _on_gold("""SELECT source_db, status, "count" FROM gold"""),
     "gold_refresh": _on_merge(
         f"""SELECT source_db, status, count(*) AS "count" FROM ({_MERGED}) merged GROUP BY source_db, status"""
@@ -299,6 +319,21 @@ FROM points"""
   events_in_interval AS events_per_sec
 FROM points ORDER BY points.interval_start DESC LIMIT 60"""
     ),
+    "throughput_minutes": _on_points(_per("minute")),
+    "throughput_hours": _on_points(_per("hour")),
+    "stream_minutes": _on_points(_per("minute")),
+    "stream_last60": _on_points(
+        f"""SELECT {_START_TEXT}, strftime(points.interval_start, '%H:%M:%S') AS "time",
+  events_in_interval AS events_per_sec
+FROM points ORDER BY points.interval_start DESC LIMIT 60"""
+    ),
+    "stream_bronze": _on_stream(
+        """SELECT batch_id, topic, "partition", "offset",
+  '{"topic":"' || topic || '","partition":' || "partition" || ',"offset":' || "offset" || ',"payload":' || text || '}'
+    AS raw_payload, outcome
+FROM classified"""
+    ),
+    "stream_gold_report": _on_stream("""SELECT source_db, status, "count" FROM named"""),
     "stream_silver": _on_stream(f"SELECT {_SILVER_COLUMNS} FROM silver"),
     "stream_gold": _on_stream("""SELECT source_db, status, "count" FROM gold"""),
     "rebuild_gold": _on_stream("""SELECT source_db, status, "count" FROM gold"""),

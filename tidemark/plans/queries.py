@@ -21,7 +21,7 @@ from tidemark.sources.replay import change_messages
 from tidemark.sources.streams import file_messages, on_topics
 from tidemark.streaming import monitor
 from tidemark.streaming.tables import TicketTables
-from tidemark.streaming.worker import TicketWorker, WorkerOptions
+from tidemark.streaming.worker import TicketWorker, WorkerOptions, gold_report
 
 TOPIC_PATTERN = "^tickets_server_.*"
 CUT_OVER = "2024-01-16 00:00:00"
@@ -159,6 +159,17 @@ def silver_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state(spark, sf_dir).where("id IS NULL OR source_db IS NULL")
 
 
+def silver_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver where no older change replaces a newer one, by `ts_ms` over all batches."""
+    return silver.silver_state(changes(spark, sf_dir), guard_ts=True)
+
+
+def late_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch winners that the guard refuses, and what their ticket had seen."""
+    late = silver.late_changes(silver.latest_per_key(changes(spark, sf_dir)))
+    return late.select("batch_id", "id", "source_db", "ts_ms", "mark")
+
+
 def gold_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold after the merge, from the counts before it and the rows the merge takes out and puts in."""
     target, winners = map(stored_once, merge_sides(spark, sf_dir))
@@ -218,27 +229,43 @@ def throughput_last60(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_text_start(throughput.last_points(points(spark, sf_dir)))
 
 
+def throughput_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages per minute, added up from the seconds."""
+    return _with_text_start(throughput.rolled_up(throughput.interval_counts(decoded(spark, sf_dir)), 60.0))
+
+
+def throughput_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages per hour, added up from the minutes."""
+    minutes = throughput.rolled_up(throughput.interval_counts(decoded(spark, sf_dir)), 60.0)
+    return _with_text_start(throughput.rolled_up(minutes, 3600.0))
+
+
 # A run of the streaming jobs
 
 STREAM_BATCHES = 24
 _streams: dict[tuple[str, str], str] = {}
 
 
-def _landed(events: DataFrame, folder: str, rows: int, batches: range) -> None:
-    """Lands the messages of some batches, a write after the other."""
+#: Messages of one landed file; a batch of more lands as several files, written by as many tasks.
+FILE_MESSAGES = 250_000
+
+
+def _landed(events: DataFrame, folder: str, rows: int, batches: range) -> int:
+    """Lands the messages of some batches, a write after the other; returns the files of each."""
+    files = max(1, -(-rows // FILE_MESSAGES))
     for batch in batches:
         part = events.where(F.col("event_id").between(batch * rows, (batch + 1) * rows - 1))
-        change_messages(part, batch_rows=rows).select(*MESSAGE.fieldNames()).coalesce(1).write.mode("append").parquet(
-            folder
-        )
+        messages = change_messages(part, batch_rows=rows).select(*MESSAGE.fieldNames())
+        messages.repartition(files).write.mode("append").parquet(folder)
+    return files
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the tables after the events went through both jobs, one run for all queries of a session.
 
-    The worker takes STREAM_BATCHES landed batches, is stopped half-way, rewrites Silver and goes on; last it
-    is given a batch that cannot be read. The monitor reads the same files newest first, so that
-    time stamps run backwards.
+    The worker takes STREAM_BATCHES landed batches, is stopped half-way, rewrites Silver, packs the older batches and goes
+    on; last it is given a batch that fails. The monitor reads the same files newest first, so that
+    time stamps run backwards, and rolls its counts up.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _streams:
@@ -249,20 +276,23 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
     count, last = events.agg(F.count(F.lit(1)), F.max("event_id")).first()
     rows, half = -(-count // STREAM_BATCHES), STREAM_BATCHES // 2
     for batches in (range(half), range(half, last // rows + 1)):
-        _landed(events, f"{root}/landed", rows, batches)
-        landed = file_messages(spark, f"{root}/landed", files_per_batch=1)
+        files = _landed(events, f"{root}/landed", rows, batches)
+        landed = file_messages(spark, f"{root}/landed", files_per_batch=files)
         worker.run(on_topics(landed, TOPIC_PATTERN), available_now=True)
         if half in batches:
             break
         worker.rewrite_silver()
+        for table in ("bronze", "log"):
+            worker.tables.packs(table).pack(worker.tables.committed_through() - 1, worker.options.pack_bytes)
     unreadable = spark.read.parquet(f"{root}/landed").withColumn("value", F.raise_error(F.lit("unreadable")).cast("binary"))
     try:
         worker.apply_batch(unreadable, worker.tables.committed_through() + 1)
     except Exception as error:
         if "unreadable" not in str(error):
             raise
-    backwards = file_messages(spark, f"{root}/landed", files_per_batch=1, latest_first=True)
+    backwards = file_messages(spark, f"{root}/landed", files_per_batch=files, latest_first=True)
     monitor.start_throughput(on_topics(backwards, TOPIC_PATTERN), root, available_now=True).awaitTermination()
+    monitor.roll_up(spark, root)
     _streams[key] = root
     return root
 
@@ -288,6 +318,26 @@ def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_text_start(monitor.throughput_points(spark, _streamed(spark, sf_dir)))
 
 
+def stream_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message once, from packed batches and from folders."""
+    rows = _tables(spark, sf_dir).bronze()
+    return rows.select("batch_id", "topic", "partition", "offset", "raw_payload", "outcome")
+
+
+def stream_gold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a viewer gets on connecting."""
+    return gold_report(_tables(spark, sf_dir)).select("source_db", F.explode("summary").alias("status", "count"))
+
+
+def stream_last60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest points of the chart, from the tier of seconds."""
+    return _with_text_start(monitor.last_points(spark, _streamed(spark, sf_dir)))
+
+
+def stream_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_text_start(monitor.tier_counts(spark, _streamed(spark, sf_dir), "minute"))
+
+
 def rebuild_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold after Silver was made anew from the text in Bronze."""
     tables = _tables(spark, sf_dir)
@@ -332,6 +382,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "silver_merge_inserts": silver_merge_inserts,
     "silver_null_keys": silver_null_keys,
     "silver_state": state,
+    "silver_guarded": silver_guarded,
+    "late_changes": late_changes,
     "gold_counts": gold_table,
     "gold_refresh": gold_refresh,
     "gold_summary_map": gold_summary_map,
@@ -343,10 +395,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "throughput_3s": throughput_3s,
     "throughput_running_total": throughput_running_total,
     "throughput_last60": throughput_last60,
+    "throughput_minutes": throughput_minutes,
+    "throughput_hours": throughput_hours,
     "stream_silver": stream_silver,
     "stream_gold": stream_gold,
     "stream_batch_log": stream_batch_log,
     "stream_throughput": stream_throughput,
+    "stream_bronze": stream_bronze,
+    "stream_gold_report": stream_gold_report,
+    "stream_last60": stream_last60,
+    "stream_minutes": stream_minutes,
     "rebuild_gold": rebuild_gold,
     "worker_metrics": worker_metrics,
     "worker_status": worker_status,

@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.operators import silver, tickets
 from tidemark.session import session_for
 from tidemark.streaming.tables import TicketTables
 
 
-def state_from_bronze(bronze: DataFrame, parse_again: bool = False) -> DataFrame:
-    """Every ticket's deciding change; one shuffle, of winners only.
+def deciding_changes(bronze: DataFrame, parse_again: bool = False, guard_ts: bool = False) -> DataFrame:
+    """Every ticket's deciding change, deletes included; one shuffle, of winners only.
 
     Reads the stored ticket fields, a few columns beside the raw text. `parse_again` reads the text
     instead, for rows stored before a change to the parsing.
     """
     if parse_again:
         bronze = tickets.classify_events(bronze.select(*tickets.POSITION, "raw_payload"))
-    return silver.last_change(tickets.ticket_changes(bronze)).where(silver.IS_UPSERT)
+    changes = tickets.ticket_changes(bronze)
+    # With a guard the highest time of all batches decides, not that of the batches' winners; it is one of them.
+    return silver.last_change(changes, guard_ts)
+
+
+def state_from_bronze(bronze: DataFrame, parse_again: bool = False) -> DataFrame:
+    """Every ticket as its deciding change leaves it."""
+    return deciding_changes(bronze, parse_again).where(silver.IS_UPSERT)
 
 
 def rebuild(tables: TicketTables, parse_again: bool = False) -> int:
@@ -29,9 +35,12 @@ def rebuild(tables: TicketTables, parse_again: bool = False) -> int:
     """
     through = tables.committed_through()
     if through >= 0:
-        sized = TicketTables(session_for(tables.spark, tables.size_of("bronze")), tables.root)
-        bronze = sized.bronze().where(F.col("batch_id") <= through)
+        bronze_bytes = tables.packs("bronze").size()
+        sized = tables.within(session_for(tables.spark, bronze_bytes))
         tables.remove("gold", f"through={through}")
-        sized.write_full_state(state_from_bronze(bronze, parse_again), through)
+        winners = deciding_changes(sized.bronze(), parse_again, tables.guard_ts)
+        # Bronze holds the raw text beside the ticket fields, so its size bounds that of the state.
+        keyed, unkeyed = sized.next_state(-1, winners)
+        sized.write_full_state(keyed, unkeyed, through, sized.buckets_for(bronze_bytes))
         tables.write_gold(through)
     return through

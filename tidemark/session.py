@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Ids that a lookup in a stored table gives to the scan one by one.
+KEY_LIST = 1_000
+
+
 def job_builder(app_name: str) -> SparkSession.Builder:
     """Settings every job of this package expects; sizes are left to the cluster.
 
@@ -19,6 +23,7 @@ def job_builder(app_name: str) -> SparkSession.Builder:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", str(KEY_LIST))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
@@ -73,6 +78,7 @@ def session_for(spark: SparkSession, input_bytes: int) -> SparkSession:
     """A session of its own for a large job, so that its sizes do not reach the micro-batches."""
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "UTC")
+    session.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(KEY_LIST))
     for name, value in job_sizes(input_bytes).items():
         session.conf.set(name, value)
     return session

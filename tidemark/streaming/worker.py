@@ -1,14 +1,19 @@
 """The streaming job that keeps Bronze, Silver and Gold.
 
 Every micro-batch runs through `apply_batch`; Spark commits its offsets only after that returns. An
-error in it, or in Gold, is logged and ends the job; the restarted job gets the same batch again.
+error in it, or in Gold, is logged and ends the job; the restarted job gets the same batch again. A failure of the
+source is logged too, and the job starts itself again after a wait: offsets and batches are as the last good batch left
+them, so nothing is lost or comes twice.
 """
 
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+import threading
+import time
+from dataclasses import dataclass, field
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,19 +22,23 @@ from tidemark.functions import envelope
 from tidemark.operators import decode, gold, health, silver, tickets
 from tidemark.schemas import SILVER_STORE
 from tidemark.session import session_for
+from tidemark.streaming.supervision import JobWatch, RestartPolicy, is_source_failure
 from tidemark.streaming.tables import TicketTables
 
 logger = logging.getLogger(__name__)
 
 # The steps an error message names.
 BRONZE_STEP, SILVER_STEP, GOLD_STEP = "Bronze write", "Silver merge", "Gold aggregation"
-REWRITE_STEP = "Silver rewrite"
+REWRITE_STEP, PACK_STEP = "Silver rewrite", "Packing"
+SOURCE_STEP = "Source"
 
 
 @dataclass(frozen=True)
 class WorkerOptions:
     """`gold_refresh_sec` is a fixed value; the others decide when the full Silver state is rewritten.
 
+    With `guard_ts` a change older than what its ticket has seen in earlier batches changes nothing. Folders of old batches
+    are joined up to files of `pack_bytes` once there are `pack_folders` of a table.
     It is rewritten once the pending changes have grown to `pending_share` of its size, so a byte of it is
     written about five times for a byte changed; or once there are so many folders that reading them takes longer.
     """
@@ -38,16 +47,26 @@ class WorkerOptions:
     min_pending_batches: int = 100
     max_pending_batches: int = 2_000
     pending_share: float = 0.2
+    guard_ts: bool = False
+    pack_folders: int = 1_000
+    pack_bytes: int = 256 << 20
+    restart: RestartPolicy = field(default_factory=RestartPolicy)
 
 
 class TicketWorker:
     def __init__(self, spark: SparkSession, root: str, options: WorkerOptions = WorkerOptions()):
         self.spark = spark
-        self.tables = TicketTables(spark, root)
+        self.tables = TicketTables(spark, root, options.guard_ts)
         self.options = options
         self._through = self.tables.committed_through()
         self._changed_through = self._through
         self._gold_through = self.tables.newest_written("gold", "through")
+        #: The job is in run(), and has not failed for good.
+        self.alive = self.running = False
+        self._stopped = threading.Event()
+        self._watch = JobWatch()
+        #: What ended the last batch: the text of the error, and whether it was the source's.
+        self._batch_error: tuple[str, bool] | None = None
 
     # One micro-batch
 
@@ -66,7 +85,10 @@ class TicketWorker:
             counts["processed"] = self._write_changes(batch_id)
             self.tables.write_log(health.BATCH, batch_id, **counts)
         except Exception as error:
-            self._log_failure(batch_id, f"{step} failed: {error}")
+            of_source = step == BRONZE_STEP and is_source_failure(None, self._causes(error), in_batch=True)
+            self._batch_error = str(error), of_source
+            if not of_source:
+                self._log_failure(batch_id, f"{step} failed: {error}")
             raise
         self._through = batch_id
         if counts["processed"] > 0:
@@ -105,6 +127,11 @@ class TicketWorker:
         counted.write.mode("overwrite").parquet(self.tables.batch_path("changes", batch_id))
         return seen.get.get("processed") or 0
 
+    def _causes(self, error: Exception) -> str:
+        """The error's text, with those of its causes in the engine."""
+        origin = getattr(error, "_origin", None)
+        return str(error) if origin is None else self.spark._jvm.org.apache.spark.util.Utils.exceptionString(origin)
+
     def _log_failure(self, batch_id: int, message: str) -> None:
         """A failed batch fails whole, as far as its rows reached Bronze; the first error is the one raised."""
         try:
@@ -145,19 +172,31 @@ class TicketWorker:
         base = self.tables.full_state_through(through)
         if base == through:
             return False
-        session = session_for(self.spark, sum(self.tables.state_sizes(base, through)))
-        tables = TicketTables(session, self.tables.root)
-        rows = tables.silver_rows(through)
-        if rows is None:
+        size = sum(self.tables.state_sizes(base, through))
+        tables = self.tables.within(session_for(self.spark, size))
+        if base < 0 and tables.silver_rows(through) is None:
             return False
-        tables.write_full_state(rows, through)
-        before = tables.drop_older("silver")
-        if before is not None:
+        before = tables._buckets(base) if base >= 0 else None
+        buckets = tables.buckets_for(size, before)
+        winners = silver.last_change(tables.changes_between(base, through), tables.guard_ts)
+        keyed, unkeyed = tables.next_state(base, winners)
+        tables.write_full_state(keyed, unkeyed, through, buckets, dealt=before == buckets)
+        older = tables.drop_older("silver")
+        if older is not None:
             for n in tables.numbered("changes", "batch_id"):
-                if n <= before:
+                if n <= older:
                     tables.remove("changes", f"batch_id={n}")
         return True
 
+    def pack_if_due(self) -> bool:
+        """Joins the folders of old batches up to large files once there are many of them."""
+        packed = False
+        for table in ("bronze", "log"):
+            packs = self.tables.packs(table)
+            if len(packs.folders(self._through - 1)) >= self.options.pack_folders:
+                packed = packs.pack(self._through - 1, self.options.pack_bytes) or packed
+        return packed
+
     # The job
 
     def start(self, messages: DataFrame, available_now: bool = False) -> StreamingQuery:
@@ -169,20 +208,73 @@ class TicketWorker:
             .start()
         )
 
+    def stop(self) -> None:
+        """Ends the job after its batch, or its wait."""
+        self._stopped.set()
+
     def run(self, messages: DataFrame, available_now: bool = False) -> None:
-        """Runs until the stream ends or fails; Gold follows at its own pace, also while the stream idles."""
+        """Runs until the stream ends or fails for good; Gold follows at its own pace, also while the stream idles."""
         try:
             self.refresh_gold()
         except Exception as error:
             logger.warning("Gold is not refreshed before the first batch: %s", error)
+        self._stopped.clear()
+        self.alive = self.running = True
+        self.spark.streams.addListener(self._watch)
+        attempt = 0
+        try:
+            while True:
+                before = self._through
+                failure = self._run_once(messages, available_now)
+                if failure is None or self._stopped.is_set():
+                    return
+                error, text = failure
+                attempt = 1 if self._through > before else attempt + 1
+                delay = self.options.restart.delay(attempt)
+                plan = "giving up" if delay is None else f"attempt {attempt} in {delay:g} s"
+                message = f"{SOURCE_STEP} failed, {plan}: {text}"
+                logger.warning(message)
+                self.tables.write_log(health.RETRY, self._through + 1, error_message=message, processed=0)
+                if delay is None:
+                    raise error
+                if self._stopped.wait(delay):
+                    return
+        except Exception:
+            self.running = False
+            raise
+        finally:
+            self.spark.streams.removeListener(self._watch)
+            self.alive = self.running = False
+
+    def _run_once(self, messages: DataFrame, available_now: bool) -> tuple[Exception, str] | None:
+        """One run of the stream: None when it ended, the error if the source failed; other errors are raised."""
+        self._batch_error = None
         query = self.start(messages, available_now)
+        self._watch.follow(str(query.runId))
         try:
-            while not query.awaitTermination(self.options.gold_refresh_sec):
+            while not self._stopped.is_set():
+                try:
+                    ended = query.awaitTermination(self.options.gold_refresh_sec)
+                except StreamingQueryException as error:
+                    if self._of_source(error):
+                        return error, self._batch_error[0] if self._batch_error else str(error)
+                    raise
                 self._after_batches()
-            self._after_batches()
+                if ended:
+                    break
+            return None
         finally:
             query.stop()
 
+    def _of_source(self, error: StreamingQueryException) -> bool:
+        """What the query's own last event says of it, unless a batch has judged it already."""
+        if self._batch_error is not None:
+            return self._batch_error[1]
+        until = time.monotonic() + 5
+        while not self._watch.ended and time.monotonic() < until:
+            time.sleep(0.01)
+        return is_source_failure(self._watch.error_class, self._watch.error or str(error), in_batch=False)
+
     def _after_batches(self) -> None:
         if self._changed_through <= self._gold_through:
             return
@@ -191,6 +283,8 @@ class TicketWorker:
             self.refresh_gold()
             step = REWRITE_STEP
             self.rewrite_silver_if_due()
+            step = PACK_STEP
+            self.pack_if_due()
         except Exception as error:
             self._log_failure(self._through, f"{step} failed: {error}")
             raise
@@ -210,6 +304,9 @@ def gold_report(tables: TicketTables) -> DataFrame | None:
         return None
 
 
-def worker_report(tables: TicketTables) -> DataFrame:
-    """Counters and health of the job in one row."""
-    return health.worker_status(health.worker_metrics(tables.log()))
+def worker_report(tables: TicketTables, worker: TicketWorker | None = None) -> DataFrame:
+    """Counters and health of the job in one row; with the worker itself, also whether it has stopped while it lives."""
+    metrics = health.worker_metrics(tables.log())
+    if worker is None:
+        return health.worker_status(metrics)
+    return health.worker_status(metrics, alive=worker.alive, running=worker.running)
