@@ -1,0 +1,264 @@
+"""The stored tables: buckets of Silver, lookups by id, packed batches, and counts taken while writing."""
+
+import json
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from test_silver import change
+from test_streaming import BATCHES, check_tables, feed, rows_of  # noqa: F401
+
+from tidemark.operators import gold, health, silver
+from tidemark.schemas import BRONZE_STORE, SILVER_STORE
+from tidemark.streaming import packs as packs_module
+from tidemark.streaming import tables as tables_module
+from tidemark.streaming.packs import Packs, packs_of
+from tidemark.streaming.tables import TicketTables
+from tidemark.streaming.worker import TicketWorker, WorkerOptions
+
+
+def plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def stored_changes(spark, n, batch_id, step=1):
+    ids = spark.range(0, n * step, step)
+    return ids.select(
+        "id", (F.col("id") % 2 + 1).alias("project_id"), (F.col("id") % 3 + 1).alias("reporter_id"),
+        F.lit("Open").alias("status"), F.lit("Low").alias("priority"),
+        F.concat(F.lit("db_"), (F.col("id") % 2).cast("string")).alias("source_db"), F.lit("u").alias("op"),
+        F.col("id").alias("ts_ms"), F.lit(batch_id).cast("bigint").alias("batch_id"),
+    )
+
+
+def write_changes(tables, rows, batch_id):
+    rows.drop("batch_id").write.mode("overwrite").parquet(tables.batch_path("changes", batch_id))
+    tables.write_log(health.BATCH, batch_id, received=1, processed=1, failed=0, ignored=0)
+
+
+@pytest.fixture()
+def dealt(spark, tmp_path):
+    """A state of 20,000 tickets in eight buckets with many small row groups, and a batch of changes after it."""
+    tables = TicketTables(spark, str(tmp_path / "lake"), bucket_bytes=1 << 20, row_group_bytes=4 << 10)
+    write_changes(tables, stored_changes(spark, 20_000, 0), 0)
+    keyed, unkeyed = tables.next_state(-1, silver.last_change(tables.changes_between(-1, 0)))
+    tables.write_full_state(keyed, unkeyed, 0, 8)
+    write_changes(tables, stored_changes(spark, 300, 1, step=7).withColumn("status", F.lit("Closed")), 1)
+    return tables
+
+
+def exchanged_sides(text):
+    """Scans that lie under an exchange by key, and those that do not."""
+    return [("Exchange hashpartitioning" in side, side) for side in text.split("SortMergeJoin")]
+
+
+def test_a_merge_of_any_size_moves_only_the_changes(spark, dealt, monkeypatch):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(tables_module, "BROADCAST_BYTES", 0)
+    try:
+        winners = silver.last_change(dealt.changes_between(0, 1))
+        merged, _ = dealt.next_state(0, winners)
+        text = plan(merged)
+        # The changes are grouped by ticket and dealt to the buckets; on the path from the state to the join there is no exchange.
+        assert "Bucketed: true" in text and "SelectedBucketsCount: 8 out of 8" in text
+        state = text[: text.index("FileScan parquet spark_catalog")].rsplit("SortMergeJoin", 1)[1]
+        assert "Exchange" not in state
+        assert text.count("Exchange hashpartitioning(source_db") == text.count("Exchange")
+        rewritten = merged.where(silver.IS_UPSERT)
+        assert rewritten.count() == 20_000 and rewritten.where("status = 'Closed'").count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_a_rewritten_state_is_dealt_as_before(spark, dealt, tmp_path):
+    worker = TicketWorker(spark, dealt.root, WorkerOptions(min_pending_batches=1))
+    worker.tables = dealt
+    assert dealt._buckets(0) == 8 and worker.rewrite_silver() and dealt._buckets(1) == 8
+    files = [p.name for p in (tmp_path / "lake" / "silver" / "through=1").glob("part-*")]
+    buckets = Counter(re.search(r"_(\d{5})\.", name)[1] for name in files)
+    assert len(buckets) == 8 and set(buckets.values()) == {1}  # a file for each bucket
+    assert dealt.silver().count() == 20_000
+    assert {(r.status, r["count"]) for r in worker.refresh_gold().collect()} == {("Open", 19_700 - 9_850), ("Open", 9_850), ("Closed", 150)}
+
+
+def test_gold_reads_few_row_groups(spark, dealt):
+    """Of changed ids that lie close together, only the row groups that can hold them are read."""
+    write_changes(dealt, stored_changes(spark, 40, 1).withColumn("id", F.col("id") + 5_000), 1)
+    near = dealt.state(0).where(dealt._ids_of(dealt.changes_between(0, 1)))
+    assert re.search(r"PushedFilters: \[[^]]*In\(id", plan(near))
+    assert near.count() == 40
+    rows = near.select("id", "source_db")
+    rows.collect()
+    scan = _first(rows._jdf.queryExecution().executedPlan(), "FileSourceScanExec")
+    read = scan.metrics().apply("numOutputRows").value()
+    assert 0 < read < 20_000 / 5
+    dealt.write_gold(1)
+    assert dealt.gold().where("status = 'Open'").agg(F.sum("count")).first()[0] == 20_000
+
+
+def _first(node, name):
+    if node.getClass().getSimpleName() == name:
+        return node
+    wrapped = {"AdaptiveSparkPlanExec": "executedPlan", "ResultQueryStageExec": "plan", "WholeStageCodegenExec": "child"}
+    inner = wrapped.get(node.getClass().getSimpleName())
+    children = [getattr(node, inner)()] if inner else []
+    listed = node.children()
+    children += [listed.apply(i) for i in range(listed.size())]
+    return next((found for child in children if (found := _first(child, name)) is not None), None)
+
+
+def test_buckets_grow_by_powers_of_two():
+    tables = TicketTables(None, "x", bucket_bytes=100)
+    assert [tables.buckets_for(n) for n in (0, 1, 100, 101, 399, 401, 6_400)] == [1, 1, 1, 2, 4, 8, 64]
+    assert [tables.buckets_for(n, 16) for n in (6_400, 1_600, 401, 400, 100)] == [64, 16, 16, 16, 1]
+
+
+def test_a_state_without_its_mark_is_read_as_files(spark, dealt, tmp_path):
+    (tmp_path / "lake" / "silver" / "through=0" / "_buckets=8").unlink()
+    assert dealt._buckets(0) is None and dealt.silver().count() == 20_000
+
+
+# Packs
+
+
+def test_packs_of_batches():
+    sizes = [(1, 40), (2, 70), (3, 10), (5, 10), (6, 200), (8, 1), (9, 0)]
+    assert packs_of(sizes, 100) == [2, 6, 9]
+    assert packs_of([], 100) == [] and packs_of([(4, 0)], 1) == [4]
+
+
+def bronze(spark, root, batches):
+    """Batches of three rows each, as folders."""
+    rows = spark.range(3 * batches).select(
+        F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"),
+        F.col("id").cast("string").alias("raw_payload"), F.lit("ok").alias("outcome"),
+        *(F.lit(None).cast(f.dataType).alias(f.name) for f in BRONZE_STORE.fields[5:-1]),
+        F.floor(F.col("id") / 3).alias("batch_id"),
+    )
+    rows.repartition(1).write.partitionBy("batch_id").mode("append").parquet(f"{root}/bronze")
+
+
+def content(packs):
+    return Counter((r.batch_id, r.offset, r.raw_payload) for r in packs.read().collect())
+
+
+def test_a_thousand_batches_become_few_files(spark, tmp_path):
+    packs = Packs(spark, str(tmp_path), "bronze", BRONZE_STORE)
+    bronze(spark, tmp_path, 1_000)
+    before = content(packs)
+    assert len(packs.folders()) == 1_000 and sum(before.values()) == 3_000
+    size = packs.size()
+    assert packs.pack(998, pack_bytes=size // 3)
+    assert len(packs.folders()) == 1 and len(packs.marker().packs) in (3, 4)
+    assert len(packs.read().inputFiles()) <= 5
+    assert content(packs) == before
+    assert not packs.pack(998, 1 << 20)  # nothing new; what the packs replaced is gone now
+    assert len(list((tmp_path / "bronze").glob("batch_id=*"))) == 1
+    assert content(packs) == before
+
+
+def test_a_crash_while_packing_is_harmless(spark, tmp_path, monkeypatch):
+    packs = Packs(spark, str(tmp_path), "bronze", BRONZE_STORE)
+    bronze(spark, tmp_path, 20)
+    before = content(packs)
+    with monkeypatch.context() as patched:  # before the switch
+        patched.setattr(Packs, "_switch", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            packs.pack(18, 1 << 20)
+    assert content(packs) == before and packs.marker().packs == []
+    torn = tmp_path / "packs" / "bronze" / "version=1"  # in the middle of it
+    torn.write_text('{"version": 1, "packs": ["packs/bron')
+    assert content(packs) == before
+    torn.unlink()
+    for crc in torn.parent.glob(".version*"):
+        crc.unlink()
+    assert packs.pack(18, 1 << 20)
+    with monkeypatch.context() as patched:  # after it, while old folders go
+        patched.setattr(Packs, "_remove", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            packs.pack(18, 1 << 20)
+    assert content(packs) == before
+    assert not packs.pack(18, 1 << 20) and content(packs) == before
+    assert len({p.name for p in (tmp_path / "packs" / "bronze").glob("data-*")}) == 1  # the orphan is gone
+
+
+def test_one_of_two_packers_fails(spark, tmp_path, monkeypatch):
+    packs = Packs(spark, str(tmp_path), "bronze", BRONZE_STORE)
+    bronze(spark, tmp_path, 10)
+    before = content(packs)
+    switch = Packs._switch
+
+    def after_another(self, marker):
+        switch(self, packs_module.Marker(marker.version, [], []))
+        switch(self, marker)
+
+    monkeypatch.setattr(Packs, "_switch", after_another)
+    with pytest.raises(Exception, match="(?i)exist"):
+        packs.pack(8, 1 << 20)
+    assert content(packs) == before
+
+
+def test_the_job_packs_and_goes_on(spark, feed, tmp_path):  # noqa: F811
+    worker = TicketWorker(spark, str(tmp_path / "lake"), WorkerOptions(pack_folders=2))
+    for batch_id in range(BATCHES):
+        batch = feed.where(F.col("batch_id") == batch_id)
+        worker.apply_batch(batch, batch_id)
+        worker._after_batches()
+        worker.apply_batch(batch, batch_id)  # the newest batch comes again
+    worker.refresh_gold()
+    check_tables(feed, worker.tables)
+    assert worker.tables.packs("bronze").marker().packs and worker.tables.packs("log").marker().packs
+    log = worker.tables.log().where("kind = 'batch'")
+    assert sorted(r.batch_id for r in log.collect()) == list(range(BATCHES))
+    assert TicketWorker(spark, str(tmp_path / "lake")).tables.committed_through() == BATCHES - 1
+
+
+def test_bronze_shows_committed_batches_only(spark, feed, tmp_path):  # noqa: F811
+    worker = TicketWorker(spark, str(tmp_path / "lake"))
+    worker.apply_batch(feed.where("batch_id = 0"), 0)
+    worker._write_bronze(feed.where("batch_id = 1"), 1)
+    assert {r.batch_id for r in worker.tables.bronze().select("batch_id").distinct().collect()} == {0}
+
+
+# Counts
+
+
+def test_counts_of_a_batch_are_taken_while_it_is_written(spark, feed, tmp_path, monkeypatch):  # noqa: F811
+    """No job but the two writes and the log; empty batches count too."""
+    worker = TicketWorker(spark, str(tmp_path / "lake"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("batch", "batch")
+    worker.apply_batch(feed.where("batch_id = 1"), 0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    row = worker.tables.log().first()
+    written = worker.tables.bronze_batch(0).groupBy("outcome").count().collect()
+    counts = {r.outcome: r["count"] for r in written}
+    assert row.received == sum(counts.values()) and row.ignored == counts["ignored"]
+    assert row.failed == counts["failed"] + counts["quarantined"]
+    assert row.processed == worker.tables.changes_batch(0).count()
+    assert len(tracker.getJobIdsForGroup("batch")) <= 5
+    worker.apply_batch(feed.limit(0), 1)
+    row = worker.tables.log().where("batch_id = 1").first()
+    assert (row.received, row.processed, row.failed, row.ignored) == (0, 0, 0, 0)
+
+
+def test_marker_is_plain_json(spark, tmp_path):
+    packs = Packs(spark, str(tmp_path), "bronze", BRONZE_STORE)
+    bronze(spark, tmp_path, 4)
+    packs.pack(2, 1 << 20)
+    stored = json.loads((tmp_path / "packs" / "bronze" / "version=1").read_text())
+    assert stored["replaced"] == [f"bronze/batch_id={n}" for n in range(3)] and len(stored["packs"]) == 1
+
+
+def test_gold_of_a_state_without_complete_keys(spark, tmp_path):
+    tables = TicketTables(spark, str(tmp_path / "lake"))
+    rows = spark.createDataFrame([(*change(0, 0, None, "a", "c", 1)[4:], 0)], SILVER_STORE)
+    write_changes(tables, rows, 0)
+    keyed, unkeyed = tables.next_state(-1, silver.last_change(tables.changes_between(-1, 0)))
+    tables.write_full_state(keyed, unkeyed, 0, 1)
+    write_changes(tables, rows, 1)
+    assert tables.silver().count() == 2
+    assert [tuple(r) for r in tables.gold_rows(1).collect()] == [("a", "Open", 2)]
+    assert gold.gold_counts(tables.silver()).first()["count"] == 2
