@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import map_arrow
-from tidemark.llm.words import slices
+from tidemark.llm.words import Numbers, slices
 
 #: Bytes that the rolling hash looks at, bits of it that are zero at a cut, and sizes of chunks in bytes.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
@@ -194,19 +194,6 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-class Numbers(dict):
-    """Numbers of words; a word that has none gets the next one and stands in `new`."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = number = len(self)
-        return number
-
-
 class WordIds:
     """The ids of distinct words, each encoded alone."""
 

@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import map_arrow
-from tidemark.llm.words import Words, mix, slices, split_words
+from tidemark.llm.words import Words, mix, slices, split_words, text_bytes
 
 BUCKET_BITS = 16
+#: Runs whose 64-bit codes are held at once.
+MIXED_AT_ONCE = 1 << 16
 SWITCH_PENALTY = 12.0
 #: A language is a candidate for a script if this share of its words is written in it.
 SCRIPT_SHARE = 0.005
@@ -43,22 +45,30 @@ N_SCRIPTS = int(SCRIPT_NUMBERS.max()) + 1
 
 
 def letters(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
-    for low, high, data, offsets in slices(pc.utf8_lower(column.cast(pa.large_string()))):
+    for low, high, _, _ in slices(column):
+        data, offsets = text_bytes(pc.utf8_lower(column.slice(low, high - low).cast(pa.large_string())))
         yield low, high, split_words(data, offsets, LETTERS)
 
 
 def word_features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the three-byte runs of all words, the first of each word, and each word's script."""
-    lengths = words.end - words.start
-    first = np.cumsum(lengths) - lengths
+    lengths = (words.end - words.start).astype(np.int32)
+    first = np.cumsum(lengths, dtype=np.int32) - lengths
     total = int(lengths.sum())
-    content = words.data[np.arange(total) - np.repeat(first - words.start, lengths)].astype(np.uint64)
-    before, after = np.zeros(total, np.uint64), np.zeros(total, np.uint64)
+    place = np.arange(total, dtype=np.int32)
+    place -= np.repeat(first - words.start.astype(np.int32), lengths)
+    content = words.data[place].astype(np.uint32)
+    del place
+    before, after = np.zeros(total, np.uint32), np.zeros(total, np.uint32)
     before[1:], after[:-1] = content[:-1], content[1:]
     before[first] = 0
     after[first + lengths - 1] = 0
-    code = before | content << np.uint64(8) | after << np.uint64(16)
-    buckets = (mix(code) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    before |= content << np.uint32(8)
+    before |= after << np.uint32(16)
+    buckets = np.empty(total, np.int32)
+    for low in range(0, total, MIXED_AT_ONCE):
+        part = slice(low, low + MIXED_AT_ONCE)
+        buckets[part] = mix(before[part].astype(np.uint64)) >> np.uint64(64 - BUCKET_BITS)
     scripts = np.zeros(total, np.int8)
     for lead, size in ((0xC0, 2), (0xE0, 3), (0xF0, 4)):
         at = np.flatnonzero((content >= lead) & (content < lead + (0x20 >> (size - 2))))

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import free_name
+
 SEED = 20_240
 #: Terms of a Poisson distribution beyond its mean: this many standard deviations, and this many more.
 TAIL_DEVIATIONS, TAIL_TERMS = 12, 30
@@ -74,15 +76,14 @@ def mix(
     """
     rates = source_rates(docs, weights, size, source_column)
     small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates = rates.select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
-    joined = docs.join(
-        F.broadcast(rates) if small else rates, F.col(source_column).eqNullSafe(F.col("_mix_source"))
-    )
+    # Names that no column of the documents has, also not `copy` and `mix_key`, which replace columns of that name.
+    source, cdf, draw, n = (free_name(docs.columns, f"_mix_{part}") for part in ("source", "cdf", "draw", "n"))
+    rates = rates.select(F.col("source").alias(source), F.col("cdf").alias(cdf))
+    joined = docs.join(F.broadcast(rates) if small else rates, F.col(source_column).eqNullSafe(F.col(source)))
     name = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
-    draw = uniform(F.lit(str(seed)), name)
-    counted = joined.withColumn("_mix_draw", draw).withColumn(
-        "_mix_n", F.expr("size(filter(_mix_cdf, c -> c < _mix_draw))")
-    )
-    copies = counted.where("_mix_n > 0").withColumn("copy", F.explode(F.expr("sequence(0L, _mix_n - 1L)")))
+    drawn = joined.withColumn(draw, uniform(F.lit(str(seed)), name))
+    counted = drawn.withColumn(n, F.size(F.filter(cdf, lambda c: c < F.col(draw))).cast("bigint"))
+    copies = counted.where(F.col(n) > 0)
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("copy").cast("string")))
-    return copies.withColumn("mix_key", key).drop("_mix_source", "_mix_cdf", "_mix_draw", "_mix_n").orderBy("mix_key")
+    return copies.withColumn("mix_key", key).drop(source, cdf, draw, n).orderBy("mix_key")

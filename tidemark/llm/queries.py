@@ -72,7 +72,9 @@ def token_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     token_files.write_ids(docs, folder, public_tokenizers.path(TOKENIZER))
     found = token_files.documents(spark, folder)
-    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("id_bytes").alias("ids_crc32"))
+    rows = cut(found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("id_bytes").alias("ids_crc32")))
+    remove(spark, folder)
+    return rows
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

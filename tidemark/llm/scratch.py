@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
@@ -32,6 +32,14 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(path))
 
 
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """`wanted`, or the same with so many line strokes behind it that no column in `taken` is called so."""
+    names = {name.lower() for name in taken}
+    while wanted.lower() in names:
+        wanted += "_"
+    return wanted
+
+
 def map_arrow(
     frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:

@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.scratch import map_arrow
-from tidemark.llm.words import byte_table, slices, split_words
+from tidemark.llm.words import Numbers, slices
 
 END_ID = 2
 #: Sample for the dictionary: documents, and bytes of each that are used to train it.
 DICTIONARY_DOCS, DICTIONARY_DOC_BYTES, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
 BLOCK_BYTES = 1 << 20
-#: Chunks whose ids a worker remembers.
-REMEMBERED_CHUNKS = 500_000
-CHUNK_BYTES = byte_table(" \n")
+#: Distinct chunks (of a few letters mostly) whose ids a worker remembers, and bytes of them.
+REMEMBERED_CHUNKS, REMEMBERED_BYTES = 100_000, 4 << 20
+CHUNK = re.compile("[^ \n]+")
 WORD_END = "</w>"
 #: What stays a token of its own behind a word.
 POINTS = (".", ",", ";", ":", "!", "?")
@@ -52,7 +54,7 @@ class Encoder:
     """Encodes whole columns by looking up the id arrays of chunks between blanks and line ends.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so chunks can be
-    encoded alone; each is encoded once while its 64-bit hash is remembered. Every run of letters ends with
+    encoded alone; each distinct one is encoded once while it is remembered. Every run of letters ends with
     a token that ends a word, so new chunks of letters alone are encoded together and parted at those
     tokens, and so are those with a point behind.
     """
@@ -67,7 +69,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted hashes of chunks, where their ids are in flat, and how many
+        self.number, self.held = Numbers(), 0
+        #: By the number of a chunk, where its ids are in flat, and how many.
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -96,39 +99,35 @@ class Encoder:
         first = np.concatenate([[0], last[:-1]])
         return self._put(ids) + first, last - first
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        """Adds sorted hashes, with their chunks."""
+    def _learn(self, chunks: list[str]) -> None:
+        """The ids of chunks that have just got the next numbers."""
         first, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         plain = np.array([c.isalpha() or (c[-1] in POINTS and c[:-1].isalpha()) for c in chunks])
         for rows, encode in ((np.flatnonzero(~plain), self._one_by_one), (np.flatnonzero(plain), self._together)):
             for low in range(0, len(rows), 1000):
                 part = rows[low : low + 1000]
                 first[part], size[part] = encode([chunks[i] for i in part])
-        at = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, at, hashes)
-        self.first, self.size = np.insert(self.first, at, first), np.insert(self.size, at, size)
+        self.first, self.size = np.append(self.first, first), np.append(self.size, size)
+        self.held += sum(map(len, chunks))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in slices(texts):
-            words = split_words(data, offsets, CHUNK_BYTES)
-            hashes, where, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            new = np.ones(len(hashes), bool)
-            if len(self.known):
-                new = self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] != hashes
-            if len(self.known) and len(self.known) + new.sum() > REMEMBERED_CHUNKS:
+        for low, high, data, offsets in slices(texts):
+            if len(self.number) > REMEMBERED_CHUNKS or self.held > REMEMBERED_BYTES:
                 self.forget()
-                new[:] = True
-            if new.any():
-                content, at = data.tobytes(), where[new]
-                places = zip(words.start[at].tolist(), words.end[at].tolist())
-                self._learn(hashes[new], [content[a:b].decode() for a, b in places])
-            at = np.searchsorted(self.known, hashes)[which]
+            content, places = data.tobytes(), offsets.tolist()
+            lists = [CHUNK.findall(content[a:b].decode()) for a, b in zip(places[:-1], places[1:])]
+            counts = np.array([len(chunks) for chunks in lists])
+            every = chain.from_iterable(lists)
+            at = np.fromiter(map(self.number.__getitem__, every), np.int64, counts.sum())
+            new, self.number.new = self.number.new, []
+            if new:
+                self._learn(new)
             first, size = self.first[at], self.size[at]
             before = np.concatenate([[0], np.cumsum(size)])
             ids = self.flat[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
-            ends = before[words.first]
-            for low, high in zip(ends[:-1], ends[1:]):
-                yield ids[low:high]
+            ends = before[np.concatenate([[0], np.cumsum(counts)])]
+            for a, b in zip(ends[:-1], ends[1:]):
+                yield ids[a:b]
 
 
 _encoders: dict[str, Encoder] = {}

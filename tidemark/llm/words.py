@@ -142,3 +142,16 @@ def run_starts(words: Words, n: int) -> np.ndarray:
     places = np.arange(len(words.start))
     ends = np.repeat(words.first[1:], words.counts)
     return places[places + n <= ends]
+
+
+class Numbers(dict):
+    """Numbers of texts; one that has none gets the next number and stands in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self.new.append(text)
+        self[text] = number = len(self)
+        return number
