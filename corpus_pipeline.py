@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, language, mixing
 from tidemark.llm.queries import row_key, token_rows
+from tidemark.llm.scratch import cut, free_name, remove
 from tidemark.session import shared_folder
 
 #: A document stays if this share of its letters is in its main language.
@@ -23,27 +24,39 @@ MIN_LANGUAGE_SHARE = 0.4
 
 def keep(docs: DataFrame, good: DataFrame) -> DataFrame:
     """The rows of `docs` whose id and text are in `good` (no repeats); repeated rows share their fate."""
-    return docs.withColumn("_row", row_key()).join(good, "_row", "left_semi").drop("_row")
+    return named(docs).join(good, row_name(docs), "left_semi").drop(row_name(docs))
+
+
+def row_name(docs: DataFrame) -> str:
+    """A column that the documents do not have."""
+    return free_name(docs.columns, "_row")
+
+
+def named(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(row_name(docs), row_key())
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language, or of several with none in the lead."""
-    found = language.identify(docs.withColumn("_row", row_key()), docs, id_column="_row")
+    name = row_name(docs)
+    found = language.identify(named(docs), docs, id_column=name)
     good = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE))
-    return keep(docs, good.select("_row"))
+    return keep(docs, good.select(name))
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the smallest id, and of repeated rows one."""
-    good = jaccard.representatives(docs.withColumn("_row", row_key()), "_row")
-    return docs.withColumn("_row", row_key()).join(good, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    name = row_name(docs)
+    good = jaccard.representatives(named(docs), name)
+    return named(docs).join(good, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of a benchmark item occurs."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_passages(docs.withColumn("_row", row_key()), benchmark, id_column="_row")
-    return keep(docs, decontaminate.hit_counts(found, "_row").where("NOT contaminated").select("_row"))
+    name = row_name(docs)
+    found = decontaminate.find_passages(named(docs), benchmark, id_column=name)
+    return keep(docs, decontaminate.hit_counts(found, name).where("NOT contaminated").select(name))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +83,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
+    for number, (name, stage) in enumerate(STAGES):
         rows = stage(spark, docs, sf_dir)
         rows.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
-    return docs
+        if number:
+            remove(spark, f"{folder}/{STAGES[number - 1][0]}")
+    found = cut(docs)
+    remove(spark, folder)
+    return found
