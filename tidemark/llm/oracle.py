@@ -44,28 +44,34 @@ masked AS (
     SELECT *, regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM plain WHERE plain <> ''
   )
 ),
-placed AS (SELECT *, len(tokens) || ':' || array_to_string(tokens[1:3], ' ') AS leaf FROM masked),
-leaves AS (SELECT leaf FROM placed GROUP BY leaf HAVING count(DISTINCT k) >= 10),
-within AS (SELECT placed.* FROM placed JOIN leaves USING (leaf)),
-exploded AS (SELECT rid, k, line_no, leaf, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS place FROM within),
-counts AS (SELECT leaf, place, token, count(*) AS n FROM exploded GROUP BY leaf, place, token),
-tops AS (
-  SELECT leaf, place, token, n, sum(n) OVER (PARTITION BY leaf, place) AS total,
-    row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) AS rank
-  FROM counts
+placed AS (
+  SELECT masked.*, len(tokens) AS n_tokens, len(tokens) || ':' || array_to_string(tokens[1:3], ' ') AS leaf,
+    first_value(masked.k) OVER (PARTITION BY masked.masked ORDER BY doc_id NULLS FIRST, masked.k) AS first_k
+  FROM masked JOIN docs USING (rid)
 ),
-constants AS (SELECT leaf, place, token FROM tops WHERE rank = 1 AND n >= 0.5 * total AND token <> '<*>'),
-likeness AS (
-  SELECT e.rid, e.line_no, count(c.token) / count(*) AS share
-  FROM exploded e LEFT JOIN constants c ON e.leaf = c.leaf AND e.place = c.place AND e.token = c.token
-  GROUP BY e.rid, e.line_no
+lines AS (SELECT masked, n_tokens, leaf, count(DISTINCT k) AS docs FROM placed GROUP BY masked, n_tokens, leaf),
+again AS (
+  SELECT rid, line_no FROM placed JOIN lines USING (masked)
+  WHERE docs >= 10 OR (placed.n_tokens >= 20 AND docs >= 2 AND k <> first_k)
+),
+leaves AS (SELECT leaf FROM lines WHERE n_tokens > 3 GROUP BY leaf HAVING sum(docs) >= 10 AND count(*) >= 2),
+exploded AS (
+  SELECT rid, k, line_no, leaf, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS place
+  FROM placed JOIN leaves USING (leaf)
+),
+constants AS (
+  SELECT leaf, place, token FROM exploded WHERE token <> '<*>' GROUP BY leaf, place, token HAVING count(*) >= 10
 ),
 judged AS (
-  SELECT w.rid, w.k, w.line_no, CASE WHEN share >= 0.6 THEN 'leaf:' || w.leaf ELSE 'line:' || w.masked END AS template
-  FROM within w JOIN likeness USING (rid, line_no)
+  SELECT e.rid, e.k, e.line_no, e.leaf, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY e.place) AS template
+  FROM exploded e LEFT JOIN constants c ON e.leaf = c.leaf AND e.place = c.place AND e.token = c.token
+  GROUP BY e.rid, e.k, e.line_no, e.leaf
+  HAVING 100 * count(c.token) FILTER (e.place >= 3) >= 60 * (count(*) - 3)
+),
+recurring AS (SELECT leaf, template FROM judged GROUP BY leaf, template HAVING count(DISTINCT k) >= 10),
+dropped AS (
+  SELECT rid, line_no FROM judged JOIN recurring USING (leaf, template) UNION SELECT rid, line_no FROM again
 ),
-recurring AS (SELECT template FROM judged GROUP BY template HAVING count(DISTINCT k) >= 10),
-dropped AS (SELECT rid, line_no FROM judged JOIN recurring USING (template)),
 kept AS (
   SELECT p.rid, string_agg(p.line, chr(10) ORDER BY p.line_no) FILTER (d.rid IS NULL) AS text,
     count(*) FILTER (p.plain <> '') AS n_lines, count(d.rid) AS n_dropped

@@ -48,29 +48,49 @@ def map_arrow(
     return frame.mapInArrow(function, schema)
 
 
+#: Partitions that a kept table has at most, if set.
+KEPT_PARTITIONS = "tidemark.kept.partitions"
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """`frame`, computed now and kept by checkpoint() in the shared folder; Spark removes it when unused."""
-    context = frame.sparkSession.sparkContext
+    spark = frame.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(frame.sparkSession))
-    return frame.checkpoint()
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        context.setCheckpointDir(shared_folder(spark))
+    parts = spark.conf.get(KEPT_PARTITIONS, None)
+    return (frame.coalesce(int(parts)) if parts else frame).checkpoint()
 
 
 @contextmanager
-def frees_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Has the queries made within drop their shuffle files when they end; a lost one is computed again."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Has the queries run within use some settings; `_` stands for a point in their names."""
+    named = {name.replace("_", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in named}
+    for name, value in named.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def frees_shuffles(spark: SparkSession):
+    """Has the queries run within drop their shuffle files when they end; a lost one is computed again."""
+    return settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true")
+
+
+def small_batches(spark: SparkSession):
+    """Has the queries run within use Arrow batches of a few MB, as a Python worker holds many times their size in arrays."""
+    return settings(spark, spark_sql_execution_arrow_maxBytesPerBatch=str(8 << 20), spark_sql_execution_arrow_maxRecordsPerBatch="4000")
+
+
+def few_files(docs: DataFrame, part_bytes: int = 16 << 20, least: int = 16):
+    """Has what is kept within lie in a file for so many bytes of `docs` at most, whatever the number of shuffle partitions."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = min(max(size // part_bytes, least), (1 << 31) - 1)
+    return settings(docs.sparkSession, tidemark_kept_partitions=str(parts))
 
 
 @dataclass
@@ -89,9 +109,9 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(frame: DataFrame) -> Stored:
+def stored(frame: DataFrame, codec: str = "zstd") -> Stored:
     """`frame` as compressed Parquet in the shared folder; for what is too large for a checkpoint."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    frame.write.option("compression", codec).parquet(path)
     return Stored(spark.read.schema(frame.schema).parquet(path), path)
