@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import brute
 from .conftest import SF_DIR
-from tidemark.llm import decontaminate, jaccard, licences, quality, queries, repeats
+from tidemark.llm import decontaminate, jaccard, licence_texts, licences, quality, queries, repeats
 from tidemark.llm.words import NOT_WHITE, slices, split_words
 
 
@@ -199,13 +199,68 @@ def test_licence_query(spark, documents):
 
 
 def test_licence_spans(spark):
-    text = f"{licences.TEMPLATES[3][0]} and so on. {licences.TEMPLATES[3][0].replace('software', 'program')}"
+    notice = next(text for text, label in licences.TEMPLATES if label == "mit" and text.startswith("Permission"))
+    text = f"{notice} and so on. {notice.replace('software', 'program')}"
     frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     row = licences.scan(frame).first()
     assert row.labels == "mit" and len(row.spans) == 2 and row.score == 1.0
     assert row.spans[0].first_word == 0 and 0.75 <= row.spans[1].coverage < 1
 
 
+def labels_of(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [row.labels for row in licences.scan(frame).orderBy("doc_id").collect()]
+
+
+def test_whole_licences_have_their_label_alone(spark):
+    texts = {label: text for label, text in licence_texts.WHOLE_TEXTS.items() if label != "gpl"}
+    noise = "Copyright 2020 by somebody. "
+    assert labels_of(spark, [noise + text + " The end of it." for text in texts.values()]) == list(texts)
+    # Without punctuation, and on lines of a comment.
+    commented = ["\n".join(" * " + line.replace(",", "") for line in text.splitlines()) for text in texts.values()]
+    assert labels_of(spark, commented) == list(texts)
+
+
+def test_sections_and_versions(spark):
+    texts = {
+        licence_texts.sections(licence_texts.MIT)[2]: "mit",
+        licence_texts.sections(licence_texts.ZLIB)[0]: "zlib",
+        licence_texts.sections(licence_texts.BSD)[4]: "bsd",
+        " ".join(licence_texts.sections(licence_texts.MIT)[2].split()[8:]): "mit",  # without its beginning
+        "Licensed under CC BY-SA 3.0": "cc-by,cc-by-sa",
+        "Licensed under CC BY-NC-SA 2.5": "cc-by,cc-by-nc-sa",
+        "Licensed under CC BY-NC": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License": "cc-by-sa-3.0",
+        "This work is licensed under the GNU General Public License, version 2": "gpl,gpl-2.0",
+        "CC0 1.0 Universal": "cc0",
+        "all of this work was done by the author and is provided as is with the use of this software in mind": "",
+        "the software is provided": "",
+    }
+    assert labels_of(spark, list(texts)) == list(texts.values())
+
+
+def test_coverage_against_every_chain(spark):
+    """Labels of mutilated sections against the words that runs of three or more can cover, found by trying all."""
+    import random
+
+    chosen = random.Random(7)
+    sections = [t for t in licences.TEMPLATES if len(brute.plain_words(t[0])) >= 40]
+    texts, expected = [], []
+    for text, label in sections:
+        words = brute.plain_words(text)
+        for changed in (2, len(words) // 12, len(words) // 4):
+            places = chosen.sample(range(len(words)), changed)
+            mutilated = [f"zz{i}" if i in places else w for i, w in enumerate(words)]
+            runs = "".join("x" if i in places else "." for i in range(len(words))).split("x")
+            covered = sum(len(r) for r in runs if len(r) >= licences.MIN_MATCH)
+            texts.append(" ".join(mutilated))
+            expected.append(label if covered >= licences.LABEL_COVERAGE * len(words) else None)
+    for found, label, text in zip(labels_of(spark, texts), expected, texts):
+        names = set(found.split(",")) - {""}
+        assert (label in names) == (label is not None), text
+        assert names <= {label, "gpl", "reserved"}
+
+
 def test_matching_statistics():
     """Against the longest run of any template, word by word."""
     templates = [("a b c d b c", "x"), ("b c b a d", "y"), ("c d b c b", "z")]

@@ -1,16 +1,21 @@
 """Licence scan with a generalised suffix automaton over the words of licence templates.
 
-Words are runs of ASCII letters, digits and all bytes outside ASCII, with A-Z lower-cased. A text is
+Words are runs of ASCII letters, digits and all bytes outside ASCII, with A-Z lower-cased. Templates are the sections
+of whole licence texts, and short notices with their versions (licence_texts.py). A text is
 streamed through the automaton, which gives at each word the longest run ending there that stands in
 any template (the matching statistics). Runs of MIN_MATCH words or more that cannot be made longer are
-chained per template, in the template's order, into spans; a span that covers LABEL_COVERAGE of its
-template gives the template's label. Base phrases are templates too: a phrase stands wherever the
-run reaches back over all its words.
+chained per template, in the template's order, into spans. A span counts if it covers LABEL_COVERAGE of its
+template, or all of it if that has fewer than SHORT words. Spans that count compete for the words they share: the
+one that covers most words of its template wins, then the better covered one, and the other keeps its label only if it
+has words of its own for most of its length. So the warranty of one licence is not taken for the similar one of another,
+and a notice with a version is not taken for that of a shorter one. Base phrases are templates too: a phrase stands
+wherever the run reaches back over all its words.
 
 Only words between two neighbours that are neighbours in a template can be part of a run of two or
 more, so the automaton steps over those alone; the rest is passed over in bulk.
 
-Phrases and templates have two words or more. Defined results: null, empty and wordless texts have no words, no labels and score 0; repeated documents are judged one by one; other columns are not read.
+Phrases and templates have two words or more. Defined results: null, empty and wordless texts have no words, no labels
+and score 0; repeated documents are judged one by one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,13 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import licence_texts
 from tidemark.llm.decontaminate import item_words, pairs
 from tidemark.llm.scratch import map_arrow
 from tidemark.llm.words import ALPHANUMERIC, LOWER, Words, slices, split_words
 
 MIN_MATCH = 3
 LABEL_COVERAGE = 0.75
+#: Templates with fewer words must be covered whole.
+SHORT = 15
 MAX_GAP = 8
+#: A span that lost words to others keeps its label if this share of its words is its own.
+OWN_SHARE = 0.5
 
 # Phrases and the labels they give.
 BASE_PHRASES = (
@@ -37,29 +47,7 @@ BASE_PHRASES = (
     ("all rights reserved", "reserved"),
 )
 
-# Notices of public licences and the labels they give.
-TEMPLATES = (
-    ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
-    ("you may not use this file except in compliance with the License. You may obtain a copy of the License at "
-     "http://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"),
-    ("Released under the MIT License", "mit"),
-    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-     "documentation files (the \"Software\"), to deal in the Software without restriction", "mit"),
-    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-     "granted", "isc"),
-    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-     "the following conditions are met", "bsd"),
-    ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
-    ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
-    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
-    ("This work is licensed under the GNU General Public License, version 3", "gpl-3.0"),
-    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-     "Public License as published by the Free Software Foundation", "gpl"),
-    ("under the terms of the GNU Lesser General Public License", "lgpl"),
-    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2.0"),
-    ("This is free and unencumbered software released into the public domain", "unlicense"),
-    ("This software is provided 'as-is', without any express or implied warranty", "zlib"),
-)
+TEMPLATES = licence_texts.templates()
 
 
 class Automaton:
@@ -73,6 +61,9 @@ class Automaton:
         sequences = [[number[w] for w in words] for words, _ in split]
         joined = [pairs(hashes[:-1], hashes[1:]) for _, hashes in split if len(hashes) > 1]
         self.neighbours = np.unique(np.concatenate(joined)) if joined else np.zeros(0, np.uint64)
+        of_phrases = [pairs(hashes[:-1], hashes[1:]) for _, hashes in split[len(templates) :]]
+        #: Two words alone are worth a look only if they are in a phrase; runs of templates are longer.
+        self.phrase_pairs = np.unique(np.concatenate(of_phrases)) if of_phrases else np.zeros(0, np.uint64)
         self.labels = [label for _, label in templates]
         self.sizes = [len(s) for s in sequences[: len(templates)]]
         self.phrases = [(label, len(s)) for (_, label), s in zip(phrases, sequences[len(templates) :])]
@@ -148,6 +139,10 @@ class Automaton:
         joined = self.neighbours[at] == keys
         rows = words.rows()
         joined &= rows[1:] == rows[:-1]
+        alone = joined.copy()
+        alone[1:] &= ~joined[:-1]
+        alone[:-1] &= ~joined[1:]
+        joined[alone] = np.isin(keys[alone], self.phrase_pairs)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], joined.astype(np.int8), [0]])))
         for first, last in zip(edges[::2], edges[1::2]):
             numbers = np.searchsorted(self.words, hashes[first : last + 1])
@@ -161,6 +156,7 @@ class Chains:
         self.automaton = automaton
         self.open: dict[int, list[int]] = {}  # template -> first word, end, place in the template, words covered
         self.spans: list[tuple[int, int, int, float]] = []  # first word, template, words, coverage
+        self.covered: dict[tuple[int, int, int, float], int] = {}
         self.best = 0.0
 
     def add(self, first: int, end: int, state: int) -> None:
@@ -187,15 +183,29 @@ class Chains:
     def close(self, template: int) -> None:
         chain = self.open.pop(template, None)
         if chain:
-            coverage = chain[3] / self.automaton.sizes[template]
+            size = self.automaton.sizes[template]
+            coverage = chain[3] / size
             self.best = max(self.best, coverage)
-            if coverage >= LABEL_COVERAGE:
-                self.spans.append((chain[0], template, chain[1] - chain[0], coverage))
+            if coverage >= (LABEL_COVERAGE if size >= SHORT else 1):
+                span = (chain[0], template, chain[1] - chain[0], coverage)
+                self.spans.append(span)
+                self.covered[span] = chain[3]
 
     def finish(self) -> None:
+        """Closes all chains and lets the spans compete; what stays is in order."""
         for template in list(self.open):
             self.close(template)
-        self.spans.sort()
+        won: list[tuple[int, int, int, float]] = []
+        for span in sorted(self.spans, key=lambda s: (-self.covered[s], -s[3], s)):
+            first, template, n, _ = span
+            label = self.automaton.labels[template]
+            taken = np.zeros(n, bool)
+            for other in won:
+                if self.automaton.labels[other[1]] != label:
+                    taken[max(other[0] - first, 0) : max(other[0] + other[2] - first, 0)] = True
+            if not taken.any() or n - taken.sum() >= OWN_SHARE * n:
+                won.append(span)
+        self.spans = sorted(won)
 
 
 def scan_words(automaton: Automaton, words: Words) -> tuple[dict[int, list[tuple[int, int]]], dict[int, Chains]]:
