@@ -107,6 +107,67 @@ def test_repeated_rows_are_one_document(spark):
     assert line_templates.drop_recurring(frame, min_docs=2).where("n_dropped != 1").isEmpty()
 
 
+def kept_lines(spark, texts):
+    """The texts of documents 0, 1, ... after the dedup."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [row.text for row in line_templates.drop_recurring(frame).orderBy("doc_id").collect()]
+
+
+def test_long_lines_stay_once(spark):
+    """A line of many words that two or more documents have stays in the first of them; short ones need more."""
+    line = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60))
+    texts = [f"own {'x' * i}\n{line}" for i in range(9)] + [f"{line} and\nshort line of a few"] * 2
+    found = kept_lines(spark, texts)
+    assert found[:9] == [texts[0]] + [f"own {'x' * i}" for i in range(1, 9)]
+    assert found[9] == texts[9] and found[10] == "short line of a few"
+
+
+def test_unique_lines_that_begin_alike_stay(spark):
+    words = "abcdefghijkl"
+    short = [f"the price of item{w}" for w in words]
+    longer = [f"the price of {w}one {w}two {w}three {w}four" for w in words]
+    assert kept_lines(spark, short + longer) == short + longer
+
+
+def test_several_templates_of_a_leaf_go(spark):
+    """Lines that begin alike and differ in single words behind, twelve documents for each of three templates."""
+    words = "abcdefghijkl"
+    texts = [f"user {n} says that door {w}x was {end} by hand" for n, end in (("one", "shut"), ("one", "left"), ("one", "seen")) for w in words]
+    single = ["user one says that nothing else is like this here"]
+    assert kept_lines(spark, texts + single) == [""] * 36 + single
+
+
+def test_many_lines_take_time_in_proportion(spark):
+    import time
+
+    def seconds(lines):
+        texts = [(i, "same short line\n" * lines + f"own {'x' * i}") for i in range(12)]
+        frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+        began = time.perf_counter()
+        assert line_templates.drop_recurring(frame).where(f"n_dropped != {lines}").isEmpty()
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(40_000) < 8 * seconds(5_000) + 5
+
+
+def test_hostile_texts_are_masked_in_time(spark):
+    texts = ["x" * 300_000, " " * 300_000 + "y", "\t" * 300_000, ("a" * 50 + " ") * 5_000, "9" * 300_000, "\n" * 300_000, "é1 " * 90_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_templates.drop_recurring(frame).collect()}
+    assert found == {0: (1, 0), 1: (1, 0), 2: (0, 0), 3: (1, 0), 4: (1, 0), 5: (0, 0), 6: (1, 0)}
+
+
+def test_names_that_clash(spark, documents):
+    """Columns called like those an operator uses within come back as they were."""
+    names = ("_key", "_hash", "_dropped", "_mix_source", "_mix_cdf", "_mix_draw", "_mix_n", "_row", "row", "id", "hash", "n")
+    docs = documents.limit(50).withColumns({name: F.lit(f"{name}!") for name in names})
+    mixed = mixing.mix(docs, mixing.tempered_weights(docs))
+    for found in (line_templates.drop_recurring(docs), mixed, *(stage(spark, docs, SF_DIR) for _, stage in corpus_pipeline.STAGES[:4])):
+        assert set(docs.columns) <= set(found.columns)
+        assert found.where(" OR ".join(f"`{name}` != '{name}!'" for name in names)).isEmpty() and not found.isEmpty()
+
+
 def test_line_plans_are_native(spark):
     plan = queries.op4_line_dedup(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
@@ -340,7 +401,7 @@ def by_hand(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     judged = {row.doc_id: row for row in language.identify(docs, docs).collect()}
     rows = sorted((row.doc_id, row.text, row.source) for row in docs.collect())
-    rows = [r for r in rows if judged[r[0]].lang_pred != "und" and judged[r[0]].score >= corpus_pipeline.MIN_LANGUAGE_SHARE]
+    rows = [r for r in rows if judged[r[0]].lang_pred != "und" and judged[r[0]].known >= corpus_pipeline.MIN_KNOWN_SHARE]
     found = brute.groups([r[:2] for r in rows])
     rows = [r for r, (n, component) in zip(rows, found) if n == 0 or component == r[0]]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
@@ -355,6 +416,18 @@ def by_hand(spark, sf_dir):
     return expected
 
 
+def test_language_stage_keeps_mixed_documents(spark, documents):
+    """Clean texts in three languages stay, texts mostly in another script go."""
+    good = {}
+    for row in documents.where("length(text) BETWEEN 500 AND 3000").orderBy("doc_id").collect():
+        good.setdefault(row.lang, row.text[:500])
+    mixed = " ".join(good[lang] for lang in sorted(good))
+    rows = [(10**6, mixed), (10**6 + 1, good["en"][:60] + " слово дело" * 40), (10**6 + 2, "123 !")]
+    added = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", "text", *(F.lit(None).cast(documents.schema[c].dataType).alias(c) for c in ("lang", "source", "n_chars")))
+    kept = corpus_pipeline.identify_language(spark, documents.unionByName(added), SF_DIR)
+    assert [r.doc_id for r in kept.where("doc_id >= 1000000").collect()] == [10**6]
+
+
 def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES][:2] == ["language_id", "ngram_jaccard_join"]
     found = sorted(map(tuple, corpus_pipeline.run(spark, SF_DIR).collect()))

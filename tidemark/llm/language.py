@@ -4,7 +4,7 @@ Words are runs of ASCII letters and bytes outside ASCII, lower-cased. A model ho
 log probabilities of hashed three-byte runs (a word's edges count as bytes) and the scripts its
 words are written in. Each word's script narrows the languages it may belong to; a Viterbi pass over
 the words then labels spans, where a change of language costs SWITCH_PENALTY. The document's language
-is the one with most bytes; the score is its share.
+is the one with most bytes; the score is its share, and `known` that of all letters whose script a learned language uses.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and no spans, as is every
 text if nothing was learned; letters of a script that no learned language uses give the language
@@ -190,7 +190,7 @@ def identify(
     lang_column: str = "lang",
     penalty: float = SWITCH_PENALTY,
 ) -> DataFrame:
-    """Per row of `docs`: id, lang_pred, score and spans, by what the rows of `teaching` teach.
+    """Per row of `docs`: id, lang_pred, score, known and spans, by what the rows of `teaching` teach.
 
     Spans count words (runs of letters) from 0.
     """
@@ -213,6 +213,7 @@ def identify(
                 total = np.bincount(of_word, words.end - words.start, high - low)
                 lang = np.where(share.sum(axis=1) > 0, share.argmax(axis=1), model.value.usual)
                 score = np.where(good, share[rows, lang if names else 0] / np.maximum(total, 1), 0.0)
+                covered = np.where(good, share.sum(axis=1) / np.maximum(total, 1), 0.0)
                 begins = np.flatnonzero((np.diff(path, prepend=-1) != 0) | (np.diff(of_word, prepend=-1) != 0))
                 begins = begins[good[of_word[begins]]]
                 ends = np.minimum(np.append(begins[1:], len(path)), words.first[1:][of_word[begins]])
@@ -229,13 +230,14 @@ def identify(
                     id_column: batch.column("id").slice(low, high - low),
                     "lang_pred": pa.array([names[i] if g else UNKNOWN for i, g in zip(lang, good)], pa.string()),
                     "score": score,
+                    "known": covered,
                     "spans": pa.ListArray.from_arrays(places, spans),
                 }
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = (
         f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, lang_pred string, score double, "
-        "spans array<struct<lang: string, first_word: bigint, n_words: bigint>>"
+        "known double, spans array<struct<lang: string, first_word: bigint, n_words: bigint>>"
     )
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     return map_arrow(plain, label, schema)
