@@ -18,8 +18,8 @@ from tidemark.llm.queries import row_key, token_rows
 from tidemark.llm.scratch import cut, free_name, remove
 from tidemark.session import shared_folder
 
-#: A document stays if this share of its letters is in its main language.
-MIN_LANGUAGE_SHARE = 0.4
+#: A document stays if this share of its letters is in learned languages, one or several.
+MIN_KNOWN_SHARE = 0.5
 
 
 def keep(docs: DataFrame, good: DataFrame) -> DataFrame:
@@ -37,10 +37,10 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language, or of several with none in the lead."""
+    """Drops documents without a language, or mostly in scripts of other languages than those learned."""
     name = row_name(docs)
     found = language.identify(named(docs), docs, id_column=name)
-    good = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    good = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("known") >= MIN_KNOWN_SHARE))
     return keep(docs, good.select(name))
 
 
