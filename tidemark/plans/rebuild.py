@@ -35,12 +35,12 @@ def rebuild(tables: TicketTables, parse_again: bool = False) -> int:
     """
     through = tables.committed_through()
     if through >= 0:
-        bronze_bytes = tables.packs("bronze").size()
-        sized = tables.within(session_for(tables.spark, bronze_bytes))
+        sized = tables.within(session_for(tables.spark, tables.packs("bronze").size()))
+        # The last full state and what came after it bound the size of the new one.
+        state_bytes = sum(tables.state_sizes(tables.full_state_through(through), through))
         tables.remove("gold", f"through={through}")
         winners = deciding_changes(sized.bronze(), parse_again, tables.guard_ts)
-        # Bronze holds the raw text beside the ticket fields, so its size bounds that of the state.
         keyed, unkeyed = sized.next_state(-1, winners)
-        sized.write_full_state(keyed, unkeyed, through, sized.buckets_for(bronze_bytes))
+        sized.write_full_state(keyed, unkeyed, through, sized.buckets_for(state_bytes))
         tables.write_gold(through)
     return through
