@@ -22,8 +22,8 @@ empty table gives a set without blocks; other columns are not stored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -36,15 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.scratch import map_arrow
-from tidemark.llm.words import Numbers, slices
+from tidemark.llm.words import byte_table, slices, spans_equal, split_words
 
 END_ID = 2
 #: Sample for the dictionary: documents, and bytes of each that are used to train it.
 DICTIONARY_DOCS, DICTIONARY_DOC_BYTES, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
 BLOCK_BYTES = 1 << 20
-#: Distinct chunks (of a few letters mostly) whose ids a worker remembers, and bytes of them.
-REMEMBERED_CHUNKS, REMEMBERED_BYTES = 100_000, 4 << 20
-CHUNK = re.compile("[^ \n]+")
+#: Distinct chunks whose ids and bytes a worker remembers (about 60 bytes each), and bytes of them.
+REMEMBERED_CHUNKS, REMEMBERED_BYTES = 500_000, 8 << 20
+CHUNK_BYTES = byte_table(" \n")
 WORD_END = "</w>"
 #: What stays a token of its own behind a word.
 POINTS = (".", ",", ";", ":", "!", "?")
@@ -54,25 +54,43 @@ class Encoder:
     """Encodes whole columns by looking up the id arrays of chunks between blanks and line ends.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so chunks can be
-    encoded alone; each distinct one is encoded once while it is remembered. Every run of letters ends with
+    encoded alone; each is encoded once while it is remembered. Chunks are looked up by hash, and their bytes are compared
+    before the ids of one are taken for another; where they differ, the texts around are encoded whole. Every run of letters ends with
     a token that ends a word, so new chunks of letters alone are encoded together and parted at those
-    tokens, and so are those with a point behind.
+    tokens, and so are those with a point behind. Of a tokenizer that only lowers ASCII letters, takes them as one
+    word and digits one by one, ASCII words go to the model as they are, and digits are looked up.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as file:
+            stored = json.load(file)
+        parts = (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))
+        steps = [(stored[part] or {}).get(name, []) for part, name in parts]
+        words = [step.get("pattern", {}).get("Regex", "").split("|")[-3:-1] for step in steps[1]]
+        single = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in (*POINTS, *"0123456789")}
+        self.direct = (
+            [step["type"] for step in steps[0]] == ["NFC", "Replace", "Lowercase"]
+            and [step["type"] for step in steps[1]] == ["Split", "ByteLevel"]
+            and words[0] == ["[\\p{L}]+", "[\\p{N}]"]
+            and all(len(ids) == 1 for ids in single.values())
+        )
+        self.single = {c: ids[0] for c, ids in single.items() if ids}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.number, self.held = Numbers(), 0
-        #: By the number of a chunk, where its ids are in flat, and how many.
+        self.known = np.zeros(0, np.uint64)  # sorted hashes of chunks, where their ids are in flat, and how many
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        #: The bytes of all chunks, and where those of each start and end.
+        self.content, self.held = np.zeros(1 << 16, np.uint8), 0
+        self.start, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _put(self, ids: np.ndarray) -> int:
         first, self.used = self.used, self.used + len(ids)
@@ -99,36 +117,77 @@ class Encoder:
         first = np.concatenate([[0], last[:-1]])
         return self._put(ids) + first, last - first
 
-    def _learn(self, chunks: list[str]) -> None:
-        """The ids of chunks that have just got the next numbers."""
+    def _direct(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ASCII words, or runs of digits, with or without a point behind."""
+        tokenize, single, found = self.model.tokenize, self.single, []
+        for chunk in chunks:
+            body = chunk[:-1] if chunk[-1] in POINTS else chunk
+            ids = [token.id for token in tokenize(body.lower())] if body.isalpha() else [single[c] for c in body]
+            if body is not chunk:
+                ids.append(single[chunk[-1]])
+            found.append(ids)
+        size = np.array([len(ids) for ids in found], np.int64)
+        first = self._put(np.fromiter(chain.from_iterable(found), np.uint32, size.sum()))
+        return first + np.cumsum(size) - size, size
+
+    def _keep(self, content: bytes) -> int:
+        start, self.held = self.held, self.held + len(content)
+        if self.held > len(self.content):
+            self.content = np.concatenate([self.content, np.zeros(max(len(self.content), len(content)), np.uint8)])
+        self.content[start : self.held] = np.frombuffer(content, np.uint8)
+        return start
+
+    def _learn(self, hashes: np.ndarray, contents: list[bytes]) -> None:
+        """Adds sorted hashes, with their chunks."""
+        chunks = [content.decode() for content in contents]
         first, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
-        plain = np.array([c.isalpha() or (c[-1] in POINTS and c[:-1].isalpha()) for c in chunks])
-        for rows, encode in ((np.flatnonzero(~plain), self._one_by_one), (np.flatnonzero(plain), self._together)):
+        bodies = [c[:-1] if c[-1] in POINTS else c for c in chunks]
+        plain = np.array([body.isalpha() for body in bodies])
+        direct = np.array([self.direct and body.isascii() and (body.isalpha() or body.isdigit()) for body in bodies])
+        ways = ((~plain & ~direct, self._one_by_one), (plain & ~direct, self._together), (direct, self._direct))
+        for rows, encode in ((np.flatnonzero(chosen), encode) for chosen, encode in ways):
             for low in range(0, len(rows), 1000):
                 part = rows[low : low + 1000]
                 first[part], size[part] = encode([chunks[i] for i in part])
-        self.first, self.size = np.append(self.first, first), np.append(self.size, size)
-        self.held += sum(map(len, chunks))
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.first, self.size = np.insert(self.first, at, first), np.insert(self.size, at, size)
+        ends = self._keep(b"".join(contents)) + np.cumsum([len(content) for content in contents])
+        starts = ends - [len(content) for content in contents]
+        self.start, self.end = np.insert(self.start, at, starts), np.insert(self.end, at, ends)
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for low, high, data, offsets in slices(texts):
-            if len(self.number) > REMEMBERED_CHUNKS or self.held > REMEMBERED_BYTES:
+            words = split_words(data, offsets, CHUNK_BYTES)
+            hashes, where, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            new = self._unknown(hashes)
+            if len(self.known) and (len(self.known) + new.sum() > REMEMBERED_CHUNKS or self.held > REMEMBERED_BYTES):
                 self.forget()
-            content, places = data.tobytes(), offsets.tolist()
-            lists = [CHUNK.findall(content[a:b].decode()) for a, b in zip(places[:-1], places[1:])]
-            counts = np.array([len(chunks) for chunks in lists])
-            every = chain.from_iterable(lists)
-            at = np.fromiter(map(self.number.__getitem__, every), np.int64, counts.sum())
-            new, self.number.new = self.number.new, []
-            if new:
-                self._learn(new)
+                new[:] = True
+            if new.any():
+                content, at = data.tobytes(), where[new]
+                places = zip(words.start[at].tolist(), words.end[at].tolist())
+                self._learn(hashes[new], [content[a:b] for a, b in places])
+            at = np.searchsorted(self.known, hashes)[which]
+            if not spans_equal(data, words.start, words.end, self.content, self.start[at], self.end[at]):
+                yield from self._whole(texts.slice(low, high - low))
+                continue
             first, size = self.first[at], self.size[at]
             before = np.concatenate([[0], np.cumsum(size)])
             ids = self.flat[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
-            ends = before[np.concatenate([[0], np.cumsum(counts)])]
+            ends = before[words.first]
             for a, b in zip(ends[:-1], ends[1:]):
                 yield ids[a:b]
 
+    def _unknown(self, hashes: np.ndarray) -> np.ndarray:
+        if len(self.known) == 0:
+            return np.ones(len(hashes), bool)
+        return self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] != hashes
+
+    def _whole(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for text in texts.to_pylist():
+            yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -100,6 +100,27 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(terms, begun) ^ (lengths.astype(np.uint64) << np.uint64(40)))
 
 
+def _blocks(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of spans, eight at a time; the last ones of each are padded with zeros."""
+    blocks = (lengths + 7) >> 3
+    begun = np.cumsum(blocks) - blocks
+    within = np.arange(blocks.sum()) - np.repeat(begun, blocks)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    content = np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))[np.repeat(start, blocks) + (within << 3)]
+    content[begun + blocks - 1] &= _FIRST_BYTES[lengths - ((blocks - 1) << 3)]
+    return content
+
+
+def spans_equal(
+    data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_end: np.ndarray
+) -> bool:
+    """Whether each span, none of them empty, has the same bytes as its counterpart."""
+    lengths = end - start
+    if not np.array_equal(lengths, other_end - other_start):
+        return False
+    return len(start) == 0 or np.array_equal(_blocks(data, start, lengths), _blocks(other, other_start, lengths))
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> Words:
     inside = word_bytes[data]
     before, after = np.empty_like(inside), np.empty_like(inside)
