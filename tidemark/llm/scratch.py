@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -40,12 +41,28 @@ def free_name(taken: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def release_memory() -> None:
+    """Hands freed memory back to the system, where its C library can: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def map_arrow(
     frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """mapInArrow with a function of this package."""
     ship(frame.sparkSession)
-    return frame.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
+
+    return frame.mapInArrow(run, schema)
 
 
 #: Partitions that a kept table has at most, if set.
