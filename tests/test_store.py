@@ -262,3 +262,26 @@ def test_gold_of_a_state_without_complete_keys(spark, tmp_path):
     assert tables.silver().count() == 2
     assert [tuple(r) for r in tables.gold_rows(1).collect()] == [("a", "Open", 2)]
     assert gold.gold_counts(tables.silver()).first()["count"] == 2
+
+
+def test_packing_moves_no_rows(spark, tmp_path):
+    """One stage per job: a pack is not gathered and sorted in one task, but passed through."""
+    packs = Packs(spark, str(tmp_path), "bronze", BRONZE_STORE)
+    bronze(spark, tmp_path, 6)
+    before = content(packs)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("pack", "pack")
+    assert packs.pack(5, 1)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = tracker.getJobIdsForGroup("pack")
+    assert jobs and all(len(tracker.getJobInfo(job).stageIds) == 1 for job in jobs)
+    assert len(packs.marker().packs) == 6 == len(packs.read().inputFiles()) and content(packs) == before
+
+
+def test_many_packs_are_written_by_several_jobs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packs_module, "JOB_PACKS", 2)
+    packs = Packs(spark, str(tmp_path), "bronze", BRONZE_STORE)
+    bronze(spark, tmp_path, 7)
+    before = content(packs)
+    assert packs.pack(4, 1)
+    assert len(packs.marker().packs) == 5 and content(packs) == before

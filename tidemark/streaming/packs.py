@@ -4,6 +4,8 @@
     packs/TABLE/data-U/pack=K   the packs that one run wrote
 
 A run deals successive batches to packs by their bytes, writes each pack as one file, and then creates one marker.
+A pack is written by one task that passes its batches through row by row: nothing is shuffled or sorted, so the task holds
+a row group, whatever the size of the pack.
 Until the marker is there its packs do not count, and from then on the folders it names do not; so a reader sees
 every row once, whenever it looks, and a crash before or after the switch leaves nothing to repair. What a marker
 replaced is deleted by the next run, when nobody reads it any more. Of two runs at a time one fails to create its
@@ -14,12 +16,17 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Packs that one job writes, and a row group in them (of Parquet), which is also the least that a reader's task can take.
+JOB_PACKS = 64
+ROW_GROUP_BYTES = 8 << 20
+
 
 @dataclass(frozen=True)
 class Marker:
@@ -153,14 +160,25 @@ class Packs:
             sizes[_batch(folder)] = sizes.get(_batch(folder), 0) + size
         ends = packs_of(list(sizes.items()), pack_bytes)
         target = f"packs/{self.table}/data-{uuid.uuid4().hex}"
-        number = F.size(F.filter(F.array(*(F.lit(end).cast("bigint") for end in ends)), lambda end: end < F.col("batch_id")))
-        rows = self._read(self._path(self.table), *folders).withColumn("pack", number)
-        dealt = rows.repartition(len(ends), "pack").sortWithinPartitions("pack", "batch_id")
-        dealt.write.partitionBy("pack").parquet(self._path(target))
+        self._write_packs([[f for f in folders if last < _batch(f) <= end] for last, end in zip([-1, *ends], ends)], target)
         packs = [f"{target}/{name}" for name in self._names(*target.split("/")) if name.startswith("pack=")]
         self._switch(Marker(before.version + 1, [*before.packs, *packs], folders))
         return True
 
+    def _write_packs(self, packs: list[list[str]], target: str) -> None:
+        """Writes some lists of folders as a file each, in `target/pack=K`."""
+        session = self.spark.newSession()
+        # A task writes one pack, so it keeps one file open; without this Spark sorts its rows by pack first.
+        session.conf.set("spark.sql.maxConcurrentOutputFileWriters", "1")
+        reader = replace(self, spark=session)
+        for first in range(0, len(packs), JOB_PACKS):
+            parts = [
+                reader._read(self._path(self.table), *folders).coalesce(1).withColumn("pack", F.lit(number))
+                for number, folders in enumerate(packs[first : first + JOB_PACKS], first)
+            ]
+            writer = reduce(DataFrame.unionByName, parts).write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES)
+            writer.partitionBy("pack").parquet(self._path(target))
+
 
 def _batch(folder: str) -> int:
     return int(folder.rsplit("=", 1)[1])
