@@ -1,0 +1,41 @@
+"""The files that the messages of a streaming run land in."""
+
+from pyspark.sql import functions as F
+
+from tidemark.plans import queries
+
+
+def events(spark, *ranges):
+    rows = None
+    for start, end in ranges:
+        part = spark.range(start, end).selectExpr(
+            "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 50 AS user_id", "'view' AS event_type", "'{}' AS props"
+        )
+        rows = part if rows is None else rows.union(part)
+    return rows
+
+
+def by_time(folder):
+    return sorted(folder.glob("part-*"), key=lambda file: file.stat().st_mtime_ns)
+
+
+def test_a_large_batch_lands_in_files_for_several_tasks(spark, tmp_path):
+    files = queries._landed(events(spark, (0, 120_000)), str(tmp_path), 60_000, range(2))
+    landed = by_time(tmp_path)
+    assert files == 3 and len(landed) == 6
+    for batch in range(2):
+        rows = spark.read.parquet(*map(str, landed[3 * batch : 3 * batch + 3]))
+        assert rows.select("offset").distinct().count() == rows.count() == 60_000
+        assert rows.agg(F.min("offset"), F.max("offset")).first()[:] == (60_000 * batch, 60_000 * batch + 59_999)
+    sizes = [spark.read.parquet(str(file)).count() for file in landed]
+    assert max(sizes) < 30_000
+
+
+def test_a_batch_of_few_messages_lands_in_as_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_MESSAGES", 100)
+    files = queries._landed(events(spark, (0, 400), (800, 802)), str(tmp_path), 400, range(2))
+    files = queries._landed(events(spark, (0, 400), (800, 802)), str(tmp_path), 400, range(2, 3))
+    landed = by_time(tmp_path)
+    assert files == 4 and len(landed) == 12
+    counts = [spark.read.parquet(*map(str, landed[n : n + 4])).count() for n in (0, 4, 8)]
+    assert counts == [400, 0, 2]

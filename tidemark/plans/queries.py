@@ -246,20 +246,35 @@ STREAM_BATCHES = 24
 _streams: dict[tuple[str, str], str] = {}
 
 
-#: Messages of one landed file; a batch of more lands as several files, written by as many tasks.
-FILE_MESSAGES = 250_000
+#: Messages of one landed file; a batch of more lands as several files, each written, and later read, by a task of its own.
+FILE_MESSAGES = 25_000
 
 
 def _landed(events: DataFrame, folder: str, rows: int, batches: range) -> int:
-    """Lands the messages of some batches, a write after the other; returns the files of each."""
+    """Lands the messages of some batches, a write after the other; returns the files of each.
+
+    The events are dealt out before their messages are made of them. A batch of few messages, where event numbers have gaps,
+    gets empty files, as the streams tell batches by the number of files.
+    """
     files = max(1, -(-rows // FILE_MESSAGES))
+    held = _files_in(events.sparkSession, folder)
     for batch in batches:
         part = events.where(F.col("event_id").between(batch * rows, (batch + 1) * rows - 1))
-        messages = change_messages(part, batch_rows=rows).select(*MESSAGE.fieldNames())
-        messages.repartition(files).write.mode("append").parquet(folder)
+        messages = change_messages(part.repartition(files), batch_rows=rows).select(*MESSAGE.fieldNames())
+        messages.write.mode("append").parquet(folder)
+        held += files
+        for _ in range(held - _files_in(events.sparkSession, folder)):
+            events.sparkSession.createDataFrame([], MESSAGE).coalesce(1).write.mode("append").parquet(folder)
     return files
 
 
+def _files_in(spark: SparkSession, folder: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(path) if files.exists(path) else []
+    return sum(status.getPath().getName().startswith("part-") for status in found)
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the tables after the events went through both jobs, one run for all queries of a session.
 
